@@ -6,10 +6,14 @@ Spark has none of them. They are applied to a handful of aggregated rows (one pe
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark import cloudpickle
+from pyspark.sql import functions as F, types as T
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package installed
 
 
 def normal_quantile(p: float) -> float:
@@ -79,22 +83,22 @@ def _each(fn, *series: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return _each(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)), x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_tail(x: pd.Series) -> pd.Series:
     """P(X >= x) with one degree of freedom."""
     return _each(lambda v: math.erfc(math.sqrt(v / 2.0)), x)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_critical(p: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_quantile, p, df)

@@ -118,13 +118,13 @@ def _metric_rows(people: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return people.select(PERSON, F.inline(F.array(*entries)))
 
 
-def _at_ranks(people: DataFrame, metrics: dict[str, Column], ranks: list[Column]) -> dict[str, dict[int, tuple]]:
+def _at_ranks(people: DataFrame, metrics: dict[str, Column], ranks: list[int]) -> dict[str, dict[int, tuple]]:
     """Per metric, the (key, person) found at each of the given ranks.
 
     One sort by range serves all metrics; what comes back to the driver is one row per metric and rank.
     """
     laid = lay_out(_metric_rows(people, metrics), ["key", PERSON], by=["metric"])
-    wanted = with_rank(laid, ["metric"]).where(F.col("rk").isin(*ranks))
+    wanted = with_rank(laid, ["metric"]).where(F.col("rk").isin(*sorted(set(ranks))))
     found: dict[str, dict[int, tuple]] = {name: {} for name in metrics}
     for row in wanted.select("metric", "rk", "key", PERSON).collect():
         found[row["metric"]][row["rk"]] = (row["key"], row[PERSON])
@@ -155,14 +155,18 @@ def global_scores(people: DataFrame, metrics: dict[str, Column], ends: Callable[
     """Add one score (1..k) per metric to a written table of persons; ties are broken by the person's id."""
     n = people.count()
     if n == 0:
-        return people.select("*", *[F.lit(None).cast("bigint").alias(name) for name in metrics])
+        return _unscored(people, list(metrics))
     cut_ranks = ends(n, k)
-    found = _at_ranks(people, metrics, [F.lit(r) for r in sorted(set(cut_ranks))])
+    found = _at_ranks(people, metrics, cut_ranks)
     return people.select(
         "*", *[_score(key, [found[name][r] for r in cut_ranks]).alias(name) for name, key in metrics.items()]
     )
 
 
+def _unscored(people: DataFrame, names: list[str]) -> DataFrame:
+    return people.select("*", *[F.lit(None).cast("bigint").alias(name) for name in names])
+
+
 def _segment(champions: Column, loyal_label: str) -> Column:
     r, f = F.col("r_score"), F.col("f_score")
     return (
@@ -198,21 +202,25 @@ def rfm_segments(star: Star) -> DataFrame:
     ).orderBy(F.desc("rfm_total"))
 
 
-def _quantile_scores(people: DataFrame, key: Column, k: int = 5, strict: bool = False) -> Column:
+def _interpolation_spots(n: int, k: int) -> list[tuple[int, int, int]]:
+    """For the edges 0..k of k quantile bins: rank below, rank above and the k-ths of the way between them."""
+    spots = []
+    for t in range(k + 1):
+        low, rest = divmod(t * (n - 1), k)
+        spots.append((low + 1, min(low + 2, n), rest))
+    return spots
+
+
+def _quantile_score(key: Column, found: dict[int, tuple], spots: list[tuple[int, int, int]], strict: bool) -> Column:
     """k..1 by the linearly interpolated quantiles of an integer key; a value on an edge is in the lower bin.
 
     All in integers: an edge between two neighbours is compared as ``k`` times its value. Equal edges leave
     bins empty; ``strict`` refuses them.
     """
-    n = people.count()
-    if n == 0:
-        return F.lit(None).cast("bigint")
-    spots = [divmod(t * (n - 1), k) for t in range(k + 1)]
-    ranks = sorted({low + 1 for low, _ in spots} | {min(low + 2, n) for low, _ in spots})
-    found = _at_ranks(people, {"key": key}, [F.lit(r) for r in ranks])["key"]
+    k = len(spots) - 1
     edges = []
-    for low, rest in spots:
-        lower, upper = found[low + 1][0], found[min(low + 2, n)][0]
+    for low, high, rest in spots:
+        lower, upper = found[low][0], found[high][0]
         edges.append(k * lower + (upper - lower) * rest)
     if strict and len(set(edges)) < len(edges):
         raise ValueError("quantile edges are not unique")
@@ -222,17 +230,27 @@ def _quantile_scores(people: DataFrame, key: Column, k: int = 5, strict: bool =
     return score.cast("bigint")
 
 
-def rfm_scores(star: Star, strict: bool = False) -> DataFrame:
+def rfm_scores(star: Star, strict: bool = False, k: int = 5) -> DataFrame:
     """Per person: whole days since the last purchase, frequency, spend, and fifths where 5 is best."""
     sales = materialize(sales_by_person(star), "rfm")
     latest = sales.agg(F.max("last_purchase")).scalar()
     people = sales.select(
         PERSON, whole_days(latest, F.col("last_purchase")).alias("recency"), "frequency", "monetary_cents"
     )
-    ranked = global_scores(
-        people, {"f_score": F.col("frequency"), "m_score": F.col("monetary_cents")}, quantile_bin_ends
+    n = sales.count()
+    if n == 0:
+        return _unscored(people, ["f_score", "m_score", "r_score"])
+    metrics = {"r_score": F.col("recency"), "f_score": F.col("frequency"), "m_score": F.col("monetary_cents")}
+    cut_ranks, spots = quantile_bin_ends(n, k), _interpolation_spots(n, k)
+    found = _at_ranks(people, metrics, cut_ranks + [rank for low, high, _ in spots for rank in (low, high)])
+
+    def ranked(name: str) -> Column:
+        return _score(metrics[name], [found[name][r] for r in cut_ranks]).alias(name)
+
+    return people.select(
+        "*", ranked("f_score"), ranked("m_score"),
+        _quantile_score(F.col("recency"), found["r_score"], spots, strict).alias("r_score"),
     )
-    return ranked.withColumn("r_score", _quantile_scores(people, F.col("recency"), strict=strict))
 
 
 def rfm_segment_counts(star: Star, strict: bool = False) -> DataFrame:

@@ -337,5 +337,350 @@ where rk <= (n * 20 + 99) // 100 group by n, total"""),
 }
 
 
+
+SOURCES = {
+    "load_star": _with("""
+select 'customers' as table_name, count(*) as row_count, count(*) as keyed_rows from g_customers
+union all select 'orders', count(*), count(*) from g_orders
+union all select 'sellers', count(*), count(*) from g_sellers
+union all select 'products', count(*), count(*) from g_products
+union all select 'category_translation', count(*), count(*) from g_cat
+union all select 'order_items', count(*), count(*) from g_items
+union all select 'order_payments', count(*), count(*) from g_payments
+union all select 'order_reviews', count(*), count(*) from g_reviews"""),
+    "normalize_headers": _with("select order_id, payment_type from g_payments"),
+    "parse_timestamps": _with("""
+select order_id, cast(order_purchase_timestamp as varchar) as purchased,
+       case when order_id % 10 <> 3 then cast(order_delivered_customer_date as varchar) end as delivered
+from g_orders"""),
+    "write_table": _with("select order_id, order_status from g_orders where order_status <> 'shipped'"),
+    "run_query": _with("""
+select payment_type, count(*) as payments from g_payments join g_orders using (order_id)
+where order_status = 'shipped' and payment_installments >= 1 group by 1"""),
+    "load_trials": """
+select user_id as study, event_id as number, case when event_type <> 'error' then value / 1000 end as value,
+       case when event_type = 'error' then 'FAIL' else 'COMPLETE' end as state,
+       50 + event_id % 251 as n_estimators, 3 + event_id % 8 as max_depth,
+       cast(1 + event_id % 30 as double) / 100 as learning_rate
+from events""",
+}
+
+_FEATURES = """
+split as (select *, case when order_purchase_timestamp
+                              <= (select max(order_purchase_timestamp) - interval 90 day from dlv)
+                         then 'obs' else 'pred' end as win from dlv),
+obs as (select s.*, c.customer_unique_id as uid, c.customer_state as state
+        from split s join g_customers c using (customer_id) where win = 'obs'),
+base as (select uid, count(distinct order_id) as frequency, max(order_purchase_timestamp) as last_ts,
+                min(order_purchase_timestamp) as first_ts from obs group by 1),
+first_state as (select uid, state from (select uid, state, row_number() over
+                  (partition by uid order by order_purchase_timestamp, customer_id) as k from obs) where k = 1),
+pay as (select uid, cast(coalesce(sum(cents), 0) as double) / 100 as monetary,
+               cast(sum(cents) as double) / 100 / count(cents) as avg_order_value,
+               cast(sum(payment_installments) as double) / count(payment_installments) as avg_installments,
+               count(distinct payment_type) as payment_type_count
+        from obs left join g_payments using (order_id) group by 1),
+rev as (select uid, coalesce(cast(sum(review_score) as double) / nullif(count(review_score), 0), 3.0)
+                      as avg_review_score, count(review_score) as review_count
+        from obs left join g_reviews using (order_id) group by 1),
+back as (select distinct customer_unique_id as uid from split join g_customers using (customer_id)
+         where win = 'pred'),
+timing as (select uid, frequency, date_diff('day', first_ts, last_ts) as tenure_days,
+                  case when frequency > 1
+                       then cast(date_diff('day', first_ts, last_ts) as double) / (frequency - 1)
+                       else 365.0 end as avg_days_between_orders from base),
+codes as (select state, row_number() over (order by state) - 1 as code
+          from (select distinct state from first_state)),
+features as (
+  select b.uid as customer_unique_id, b.frequency, monetary, avg_order_value, avg_installments, payment_type_count,
+         cast(avg_review_score as double) as avg_review_score, review_count, t.tenure_days,
+         cast(t.avg_days_between_orders as double) as avg_days_between_orders,
+         coalesce(code, -1) as state_encoded,
+         case when b.uid in (select uid from back) then cast(0 as bigint) else cast(1 as bigint) end as is_churned
+  from base b join timing t using (uid) join first_state s using (uid) left join codes using (state)
+  left join pay using (uid) left join rev using (uid)
+  where avg_order_value is not null and avg_installments is not null),
+scored as (select *, cast((customer_unique_id * 37 + frequency * 113) % 1001 as double) / 1000 as p from features)"""
+
+
+def _features(body: str, *ctes: str) -> str:
+    return _with(body, _FEATURES, *ctes)
+
+
+_BATCH = "case when p > 0 and p <= 0.4 then 'LOW' when p > 0.4 and p <= 0.7 then 'MEDIUM' when p > 0.7 then 'HIGH' end"
+_SINGLE = "case when p >= 0.7 then 'HIGH' when p >= 0.4 then 'MEDIUM' else 'LOW' end"
+
+_REQUESTS = """
+asked as (
+  select customer_unique_id as u, customer_unique_id,
+         case when customer_unique_id % 13 = 1 then null when customer_unique_id % 17 = 2 then 0 else frequency end
+           as frequency,
+         case when customer_unique_id % 19 = 3 then -1.0 else monetary end as monetary,
+         avg_order_value,
+         case when customer_unique_id % 23 = 4 then 0.5 else avg_installments end as avg_installments,
+         payment_type_count,
+         coalesce(case when customer_unique_id % 7 = 5 then null when customer_unique_id % 29 = 6 then 5.5
+                       else avg_review_score end, 3.0) as avg_review_score,
+         coalesce(case when customer_unique_id % 11 = 7 then null else review_count end, 0) as review_count,
+         tenure_days,
+         coalesce(case when customer_unique_id % 5 = 0 then null else avg_days_between_orders end, 90.0)
+           as avg_days_between_orders,
+         case when customer_unique_id % 31 = 8 then -1 else state_encoded end as state_encoded
+  from features)"""
+_VIOLATIONS = """concat_ws('; ',
+  case when frequency is null then 'frequency: missing' end,
+  case when frequency < 1 then 'frequency: below 1' end,
+  case when monetary < 0 then 'monetary: below 0' end,
+  case when avg_order_value < 0 then 'avg_order_value: below 0' end,
+  case when avg_installments < 1 then 'avg_installments: below 1' end,
+  case when payment_type_count < 1 then 'payment_type_count: below 1' end,
+  case when avg_review_score < 1 then 'avg_review_score: below 1' end,
+  case when avg_review_score > 5 then 'avg_review_score: above 5' end,
+  case when review_count < 0 then 'review_count: below 0' end,
+  case when tenure_days < 0 then 'tenure_days: below 0' end,
+  case when avg_days_between_orders < 0 then 'avg_days_between_orders: below 0' end,
+  case when state_encoded < 0 then 'state_encoded: below 0' end)"""
+
+_SHUFFLED = """
+shuffled as (select *, row_number() over (partition by is_churned order by
+                         md5(cast(customer_unique_id as varchar) || '#42'), customer_unique_id) as rk,
+                    count(*) over (partition by is_churned) as n from features)"""
+_CONFUSION = """
+conf as (select sum(case when p >= 0.5 and is_churned = 1 then 1 else 0 end) as tp,
+                sum(case when p >= 0.5 and is_churned = 0 then 1 else 0 end) as fp,
+                sum(case when p < 0.5 and is_churned = 1 then 1 else 0 end) as fn,
+                sum(case when p < 0.5 and is_churned = 0 then 1 else 0 end) as tn from scored),
+rates as (select *, cast(tp as double) / nullif(tp + fp, 0) as p1, cast(tp as double) / nullif(tp + fn, 0) as r1,
+                 cast(tn as double) / nullif(tn + fn, 0) as p0, cast(tn as double) / nullif(tn + fp, 0) as r0,
+                 cast(tp + tn as double) / (tp + tn + fp + fn) as acc from conf),
+f as (select *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) as f1,
+             coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) as f0, tp + fn as s1, tn + fp as s0 from rates)"""
+
+
+def _report_row(name: str, precision: str, recall: str, f1: str, support: str) -> str:
+    return (f"select '{name}' as class, {_ar(precision, 2)} as precision, {_ar(recall, 2)} as recall, "
+            f"{_ar(f1, 2)} as f1, {_big(support)} as support from f")
+
+
+def _weighted(name0: str, name1: str) -> str:
+    return f"({name0} * s0 + {name1} * s1) / (s0 + s1)"
+
+
+_HIST = [(i / 10, (i + 1) / 10) for i in range(10)]
+
+CHURN = {
+    "temporal_split": _features("""
+select win as window, count(*) as orders, cast(min(order_purchase_timestamp) as varchar) as first_order,
+       cast(max(order_purchase_timestamp) as varchar) as last_order from split group by 1"""),
+    "order_features": _features("""
+select uid as customer_unique_id, state as customer_state, frequency, cast(last_ts as varchar) as last_obs_purchase,
+       cast(first_ts as varchar) as first_purchase from base join first_state using (uid)"""),
+    "payment_features": _features("select uid as customer_unique_id, * exclude (uid) from pay"),
+    "review_features": _features("select uid as customer_unique_id, * exclude (uid) from rev"),
+    "tenure_and_gap": _features("select uid as customer_unique_id, * exclude (uid) from timing"),
+    "churn_label": _features("""
+select uid as customer_unique_id, case when uid in (select uid from back) then 0 else 1 end as is_churned from base"""),
+    "state_encoding": _features("""
+select uid as customer_unique_id, state as customer_state, code as state_encoded
+from first_state join codes using (state)"""),
+    "churn_features": _features(f"select {PERSON}, {', '.join(FEATURES)}, {LABEL} from features"),
+    "churn_rate_check": _features("""
+select count(*) as customers, round(avg(cast(is_churned as double)) * 100, 4) as churn_rate_pct,
+       avg(cast(is_churned as double)) * 100 between 10 and 50 as in_band from features"""),
+    "validate_features": _features(f"""
+select customer_unique_id, {', '.join(FEATURES)}, {_VIOLATIONS} as violations, {_VIOLATIONS} = '' as is_valid
+from asked""", _REQUESTS),
+    "risk_bands": _features(f"""
+select customer_unique_id, p as probability, {_BATCH} as batch_band, {_SINGLE} as single_band, p >= 0.5 as is_churned
+from scored"""),
+    "high_risk_top20": _features(f"""
+select row_number() over (order by p desc, customer_unique_id) as customer_rank, customer_unique_id,
+       {_ar('p', 4)} as churn_probability, {_BATCH} as risk_level, frequency, {_ar('monetary', 2)} as monetary,
+       {_ar('avg_days_between_orders', 1)} as avg_days_between_orders
+from scored order by p desc, customer_unique_id limit 20"""),
+    "risk_histogram": _features(" union all ".join(
+        f"select '{lo}-{hi}' as range, count(*) as count, '{'LOW' if hi <= 0.4 else 'MEDIUM' if hi <= 0.7 else 'HIGH'}'"
+        f" as tier from scored where p >= {lo} and p {'<=' if hi == 1 else '<'} {hi}" for lo, hi in _HIST)),
+    "batch_score": _features(f"""
+select customer_unique_id, {_ar('p', 4)} as churn_probability, p >= 0.5 as is_churned, {_SINGLE} as risk_level
+from scored"""),
+    "binary_metrics": _features(f"""
+select {_ar('acc', 4)} as accuracy, {_ar('coalesce(p1, 0)', 4)} as precision, {_ar('coalesce(r1, 0)', 4)} as recall,
+       {_ar('f1', 4)} as f1, {_ar('auc', 4)} as roc_auc
+from f, (select (cast(sum(case when is_churned = 1 then mid end) as double) - pos * (pos + 1) / 2) / (pos * neg) as auc
+         from (select is_churned, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2 as mid,
+                      cast(sum(is_churned) over () as double) as pos,
+                      cast(sum(1 - is_churned) over () as double) as neg from scored)
+         group by pos, neg)""", _CONFUSION),
+    "classification_report": _features(" union all ".join([
+        _report_row("Active", "coalesce(p0, 0)", "coalesce(r0, 0)", "f0", "s0"),
+        _report_row("Churned", "coalesce(p1, 0)", "coalesce(r1, 0)", "f1", "s1"),
+        _report_row("accuracy", "acc", "acc", "acc", "s0 + s1"),
+        _report_row("macro avg", "(coalesce(p0, 0) + coalesce(p1, 0)) / 2", "(coalesce(r0, 0) + coalesce(r1, 0)) / 2",
+                    "(f0 + f1) / 2", "s0 + s1"),
+        _report_row("weighted avg", _weighted("coalesce(p0, 0)", "coalesce(p1, 0)"),
+                    _weighted("coalesce(r0, 0)", "coalesce(r1, 0)"), _weighted("f0", "f1"), "s0 + s1"),
+    ]), _CONFUSION),
+}
+
+LEARNING = {
+    "stratified_split": _features("""
+select customer_unique_id, is_churned,
+       case when rk <= (2 * n * 20 + 100) // 200 then 'test' else 'train' end as part from shuffled""", _SHUFFLED),
+    "stratified_folds": _features("""
+select customer_unique_id, is_churned, (rk - 1) % 3 as fold from shuffled""", _SHUFFLED),
+    "trial_running_max": """
+select user_id as study, event_id as number,
+       greatest(0.0, max(case when event_type <> 'error' then value / 1000 else 0.0 end)
+                       over (partition by user_id order by event_id rows unbounded preceding)) as running_max
+from events""",
+    "best_trial": """
+select study, number, value
+from (select user_id as study, event_id as number, case when event_type <> 'error' then value / 1000 end as value,
+             row_number() over (partition by user_id order by
+               case when event_type <> 'error' then value / 1000 else 0.0 end desc, event_id) as k
+      from events) where k = 1""",
+}
+
+# Experiments: tail probabilities are integrated numerically (Simpson's rule), independently of the library's
+# error function and continued fraction.
+_Z975, _Z80 = "1.959963984540054", "0.8416212335729143"
+_UNITS = """
+user_days as (select user_id, cast(ts as date) as dt, list(event_type) as kinds from events group by 1, 2),
+rate_units as (
+  select kind || '_rate' as experiment, case when user_id % 2 = 0 then 'control' else 'treatment' end as arm,
+         case when list_contains(kinds, kind) then 1.0::double else 0.0::double end as outcome
+  from user_days cross join (values ('click'), ('error'), ('purchase'), ('signup'), ('view')) k(kind)),
+value_units as (
+  select event_type || '_value' as experiment, case when user_id % 2 = 0 then 'control' else 'treatment' end as arm,
+         value as outcome from events),
+units as (select * from rate_units union all select * from value_units),
+arms as (select experiment, arm, count(outcome) as n, sum(outcome) as total, avg(outcome) as mean,
+                var_samp(outcome) as variance, stddev_samp(outcome) as std from units group by 1, 2),
+sides as (select c.experiment, c.n as n1, t.n as n2, c.total as x1, t.total as x2, c.mean as m1, t.mean as m2,
+                 c.variance as v1, t.variance as v2, cast(least(c.n, t.n) as double) as n_min
+          from arms c join arms t using (experiment) where c.arm = 'control' and t.arm = 'treatment'),
+steps as (select cast(i as double) as i,
+                 case when i in (0, 4000) then 1.0::double when i % 2 = 1 then 4.0::double else 2.0::double end as w
+          from range(0, 4001) r(i))"""
+_RATES = f"""
+rates as (
+  select *, (n1 + n2) * power(greatest(abs(x1 * (n2 - x2) - (n1 - x1) * x2) - (n1 + n2) / 2.0, 0), 2)
+              / (cast(n1 as double) * n2 * (x1 + x2) * (n1 + n2 - x1 - x2)) as chi2,
+         sqrt(m1 * (1 - m1) / n1 + m2 * (1 - m2) / n2) as se,
+         sqrt(2 * ((x1 + x2) / (n1 + n2)) * (1 - (x1 + x2) / (n1 + n2)) / n_min) as se0
+  from sides where experiment like '%_rate'),
+rate_args as (select *, (abs(m2 - m1) - {_Z975} * se0) / se as arg,
+                     ({_Z975} + {_Z80}) * sqrt(2 * m1 * (1 - m1) / n_min) as mde from rates)"""
+
+
+def _phi(arg: str) -> str:
+    """Normal distribution function: one half plus Simpson's integral of the density from 0."""
+    return (f"(0.5 + (select sum(w * exp(-power(({arg}) * i / 4000, 2) / 2)) * ({arg}) / 4000 / 3 from steps)"
+            f" / sqrt(2 * pi()))")
+
+
+def _t_below(t: str, df: str) -> str:
+    """P(0 < T < t) of Student's law by Simpson's rule."""
+    return (f"((select sum(w * power(1 + power(({t}) * i / 4000, 2) / ({df}), -(({df}) + 1) / 2)) * ({t}) / 4000 / 3"
+            f" from steps) * exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(pi() * ({df})))")
+
+
+_MEANS = f"""
+means as (
+  select *, v1 / n1 as a1, v2 / n2 as a2, sqrt(v1 / n1 + v2 / n2) as se, n_min - 1 as ci_df
+  from sides where experiment like '%_value'),
+mean_args as (select *, (m1 - m2) / se as t, power(a1 + a2, 2) / (power(a1, 2) / (n1 - 1) + power(a2, 2) / (n2 - 1)) as df,
+                     (abs(m2 - m1) - {_Z975} * se) / se as arg,
+                     ({_Z975} + {_Z80}) * sqrt((v1 + v2) / 2) * sqrt(1.0::double / n1 + 1.0::double / n2) as mde
+              from means),
+bisect(experiment, ci_df, lo, hi, k) as (
+  select experiment, ci_df, 0.0::double, 64.0::double, 0 from means
+  union all
+  select experiment, ci_df, case when below < 0.475 then mid else lo end, case when below < 0.475 then hi else mid end,
+         k + 1
+  from (select b.*, (lo + hi) / 2 as mid,
+               (sum(s.w * power(1 + power((lo + hi) / 2 * s.i / 4000, 2) / ci_df, -(ci_df + 1) / 2))
+                  * (lo + hi) / 2 / 4000 / 3) * exp(lgamma((ci_df + 1) / 2) - lgamma(ci_df / 2))
+                 / sqrt(pi() * ci_df) as below
+        from bisect b cross join steps s where k < 45 group by b.experiment, b.ci_df, b.lo, b.hi, b.k)),
+critical as (select experiment, (lo + hi) / 2 as t_critical from bisect where k = 45)"""
+
+
+def _units(body: str, *ctes: str) -> str:
+    return "with recursive " + ",\n".join([c.strip() for c in (_UNITS, *ctes)]) + "\n" + body.strip()
+
+
+_RATE_REPORT = f"""
+select experiment as experiment_name, experiment as metric_name, n1 as control_size, n2 as treatment_size,
+       {_ar('m1', 5)} as control_mean, {_ar('m2', 5)} as treatment_mean, {_ar('m2 - m1', 5)} as absolute_lift,
+       {_ar('case when m1 > 0 then (m2 - m1) / m1 * 100 else 0 end', 2)} as relative_lift_pct,
+       {_ar('chi2', 4)} as test_statistic, {_ar('pv', 6)} as p_value,
+       {_ar(f'm2 - m1 - {_Z975} * se', 5)} as ci_lower, {_ar(f'm2 - m1 + {_Z975} * se', 5)} as ci_upper,
+       pv < 0.05 as is_significant, {_ar('mde', 5)} as mde, {_ar('power', 4)} as statistical_power,
+       'chi_square' as test_type
+from (select *, 2 * (1 - {_phi('sqrt(chi2)')}) as pv, {_phi('arg')} as power from rate_args)"""
+_MEAN_REPORT = f"""
+select experiment as experiment_name, experiment as metric_name, n1 as control_size, n2 as treatment_size,
+       {_ar('m1', 2)} as control_mean, {_ar('m2', 2)} as treatment_mean, {_ar('m2 - m1', 2)} as absolute_lift,
+       {_ar('case when m1 > 0 then (m2 - m1) / m1 * 100 else 0 end', 2)} as relative_lift_pct,
+       {_ar('t', 4)} as test_statistic, {_ar('pv', 6)} as p_value,
+       {_ar('m2 - m1 - t_critical * se', 4)} as ci_lower, {_ar('m2 - m1 + t_critical * se', 4)} as ci_upper,
+       pv < 0.05 as is_significant, {_ar('mde', 4)} as mde, {_ar('power', 4)} as statistical_power,
+       't_test' as test_type
+from (select *, 1 - 2 * {_t_below('abs(t)', 'df')} as pv, {_phi('arg')} as power
+      from mean_args join critical using (experiment))"""
+_REPORT = f"report as ({_RATE_REPORT} union all {_MEAN_REPORT})"
+
+EXPERIMENTS = {
+    "arm_statistics": _units("""
+select experiment, arm, n, round(total, 6) as total, round(mean, 6) as mean, round(variance, 6) as variance,
+       round(std, 6) as std from arms"""),
+    "proportion_test": _units(f"""
+select experiment, round(chi2, 8) as test_statistic, round(2 * (1 - {_phi('sqrt(chi2)')}), 8) as p_value
+from rate_args""", _RATES),
+    "proportion_ci": _units(f"""
+select experiment, round(m2 - m1 - {_Z975} * se, 8) as ci_lower, round(m2 - m1 + {_Z975} * se, 8) as ci_upper
+from rate_args""", _RATES),
+    "lift": _units("""
+select experiment, round(m2 - m1, 8) as absolute_lift,
+       round(case when m1 > 0 then (m2 - m1) / m1 * 100 else 0 end, 6) as relative_lift_pct from rate_args""", _RATES),
+    "welch_t_test": _units(f"""
+select experiment, round(t, 6) as test_statistic, round(df, 3) as degrees_of_freedom,
+       round(1 - 2 * {_t_below('abs(t)', 'df')}, 6) as p_value from mean_args""", _MEANS),
+    "mean_ci": _units("""
+select experiment, round(t_critical, 6) as t_critical, round(m2 - m1 - t_critical * se, 5) as ci_lower,
+       round(m2 - m1 + t_critical * se, 5) as ci_upper from mean_args join critical using (experiment)""", _MEANS),
+    "mde_proportion": _units("select experiment, round(mde, 8) as mde from rate_args", _RATES),
+    "mde_mean": _units("select experiment, round(mde, 6) as mde from mean_args", _MEANS),
+    "power_proportion": _units(f"""
+select experiment, round(arg, 7) as power_argument, round({_phi('arg')}, 7) as statistical_power
+from rate_args""", _RATES),
+    "power_mean": _units(f"""
+select experiment, round(arg, 6) as power_argument, round({_phi('arg')}, 6) as statistical_power
+from mean_args""", _MEANS),
+    "experiment_report": _units("select * from report", _RATES, _MEANS, _REPORT),
+    "significance_verdict": _units("""
+select experiment_name, is_significant,
+       case when is_significant
+            then 'We reject H\u2080 \u2014 the treatment effect is statistically significant at \u03b1=0.05. The '
+                 || regexp_replace(cast(relative_lift_pct as varchar), '\\.0$', '') || '% lift is real.'
+            else 'We fail to reject H\u2080 \u2014 insufficient evidence at \u03b1=0.05. The observed lift of '
+                 || regexp_replace(cast(relative_lift_pct as varchar), '\\.0$', '') || '% may be due to chance.' end
+         as verdict
+from report""", _RATES, _MEANS, _REPORT),
+    "sample_size_grid": _units("""
+select experiment, base_pct, lift_pct,
+       case when p2 <= 1 then cast(ceil(power(1.96 * sqrt(greatest(2 * pm * (1 - pm), 0))
+                                              + 0.84 * sqrt(greatest(b * (1 - b) + p2 * (1 - p2), 0)), 2)
+                                        / power(p2 - b, 2)) as bigint) end as per_arm
+from (select *, (b + p2) / 2 as pm
+      from (select experiment, base_pct, lift_pct, base_pct / 100.0::double as b,
+                   (base_pct / 100.0::double) * (1 + lift_pct / 100.0::double) as p2
+            from (select experiment, cast(least(greatest(floor(m1 * 100 + 0.5), 1), 50) as bigint) as base_pct, lift_pct
+                  from rate_args cross join range(5, 101) l(lift_pct))))""", _RATES),
+}
+
+
 def all_oracles() -> dict[str, str]:
-    return {**SALES, **CUSTOMERS, **SERVICE}
+    return {**SOURCES, **SALES, **CUSTOMERS, **SERVICE, **CHURN, **LEARNING, **EXPERIMENTS}

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from shopgauge.operators import customers, sales, service
-from shopgauge.sources import testdata
+from shopgauge.operators import (
+    churn, customers, experiments, learning, model_metrics, sales, scoring, service, trials,
+)
+from shopgauge.schema import LABEL, PERSON
+from shopgauge.session import materialize, scratch_path
+from shopgauge.sources import csv_star, tables, testdata, trial_files
 from shopgauge.star import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,5 +84,265 @@ def service_queries() -> dict[str, Query]:
     }
 
 
+def source_queries() -> dict[str, Query]:
+    return {
+        "load_star": load_star,
+        "normalize_headers": normalize_headers,
+        "parse_timestamps": parse_timestamps,
+        "write_table": write_table,
+        "run_query": run_query,
+        "load_trials": load_trials,
+    }
+
+
+def load_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star written as CSV files, read back by table name, counted."""
+    folder = scratch_path(spark, "csv")
+    csv_star.save_star_csv(testdata.star(spark, sf_dir), folder)
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("row_count"), F.count(df.columns[0]).alias("keyed_rows"))
+        .select(F.lit(name).alias("table_name"), "row_count", "keyed_rows")
+        for name, df in csv_star.load_star(spark, folder).tables().items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def normalize_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payments = testdata.star(spark, sf_dir).order_payments.select("order_id", "payment_type")
+    return csv_star.normalize_headers(payments.toDF(" Order_ID", "PAYMENT_Type  "))
+
+
+def parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order timestamps as text, some of the delivery dates spoiled, parsed again."""
+    orders = testdata.star(spark, sf_dir).orders
+    delivered_text = F.col("order_delivered_customer_date").cast("string")
+    text = orders.select(
+        "order_id",
+        F.col("order_purchase_timestamp").cast("string").alias("purchased"),
+        F.when(F.col("order_id") % 10 == 3, "soon").otherwise(delivered_text).alias("delivered"),
+    )
+    return plain(
+        text.select(
+            "order_id",
+            csv_star.strict_timestamp(F.col("purchased")).alias("purchased"),
+            csv_star.lenient_timestamp(F.col("delivered")).alias("delivered"),
+        )
+    )
+
+
+def write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivered orders written in place of shipped ones, then processing ones appended."""
+    orders = testdata.star(spark, sf_dir).orders.select("order_id", "order_status")
+    path = scratch_path(spark, "table")
+    for status, if_exists in (("shipped", "fail"), ("delivered", "replace"), ("processing", "append")):
+        stored = tables.write_table(orders.where(F.col("order_status") == status), path, if_exists)
+    return stored
+
+
+def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = testdata.star(spark, sf_dir)
+    return tables.run_query(
+        spark,
+        "select payment_type, count(*) as payments from {paid} join {placed} using (order_id) "
+        "where order_status = :status and payment_installments >= :installments group by payment_type",
+        {"status": "shipped", "installments": 1},
+        {"paid": star.order_payments, "placed": star.orders},
+    )
+
+
+def load_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trial histories stored as nested JSON and read back with the parameters as columns."""
+    trials = testdata.trials(spark, sf_dir)
+    path = scratch_path(spark, "trials")
+    trial_files.save_trials(trials, path)
+    return trial_files.load_trials(spark, path, trials.schema, one_array=False)
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return churn.churn_features(testdata.star(spark, sf_dir))
+
+
+def with_closed_form_score(rows: DataFrame) -> DataFrame:
+    """A score that SQL can state, in thousandths, so that every band edge is met exactly."""
+    mixed = F.pmod(F.col(PERSON) * 37 + F.col("frequency") * 113, F.lit(1001))
+    return rows.withColumn("probability", mixed.cast("double") / 1000.0)
+
+
+def on_scores(operator: Callable[..., DataFrame], *args) -> Query:
+    @wraps(operator)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(with_closed_form_score(features(spark, sf_dir)), *args)
+
+    return query
+
+
+def churn_queries() -> dict[str, Query]:
+    return {
+        "temporal_split": on_star(churn.split_summary),
+        "order_features": on_star(churn.order_features),
+        "payment_features": on_star(churn.payment_features),
+        "review_features": on_star(churn.review_features),
+        "tenure_and_gap": on_star(churn.tenure_and_gap),
+        "churn_label": on_star(churn.churn_label),
+        "state_encoding": on_star(churn.state_encoding),
+        "churn_features": features,
+        "churn_rate_check": lambda spark, sf_dir: churn.churn_rate_check(features(spark, sf_dir)),
+        "validate_features": validate_features,
+        "risk_bands": on_scores(scoring.risk_bands),
+        "high_risk_top20": on_scores(scoring.high_risk),
+        "risk_histogram": on_scores(scoring.risk_histogram),
+        "batch_score": on_scores(scoring.batch_score),
+        "binary_metrics": on_scores(model_metrics.binary_metrics, LABEL, "probability"),
+        "classification_report": on_scores(model_metrics.classification_report, LABEL, "probability"),
+    }
+
+
+def validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = churn.validate_features(testdata.request_rows(features(spark, sf_dir)))
+    return checked.withColumn("violations", F.array_join("violations", "; "))
+
+
+# A small model and search for the named queries; the operators default to the full ones.
+QUICK = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.1, "subsample": 0.9}
+QUICK_SPACE = {**learning.SEARCH_SPACE, "n_estimators": (4, 8, "int"), "max_depth": (2, 4, "int")}
+QUICK_TRIALS = 2
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    split = materialize(learning.stratified_split(features(spark, sf_dir)), "split")
+    train, test = (split.where(F.col("part") == part).drop("part") for part in ("train", "test"))
+    return train, test
+
+
+def _model(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame]:
+    train, test = _split(spark, sf_dir)
+    return learning.train(train, test, QUICK), test
+
+
+def train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _ = _model(spark, sf_dir)
+    return spark.createDataFrame(
+        [(name, float(value)) for name, value in model.metrics.items()], "metric string, value double"
+    )
+
+
+def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _split(spark, sf_dir)
+    trials, _ = learning.tune(train, QUICK_TRIALS, QUICK_SPACE)
+    frame = learning.trials_frame(spark, trials)
+    return frame.select("number", "value", *[F.col("params")[name].alias(name) for name in QUICK_SPACE], "state")
+
+
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _ = _model(spark, sf_dir)
+    return learning.feature_importance(spark, model)
+
+
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.permutation_importance(*_model(spark, sf_dir))
+
+
+def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the model as fitted and as stored and read back."""
+    model, test = _model(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    learning.save_model(model, path)
+    loaded = learning.load_model(path)
+    before = model.score(test).select(PERSON, F.col("probability").alias("fitted"))
+    after = loaded.score(test).select(PERSON, F.col("probability").alias("loaded"))
+    return before.join(after, PERSON).agg(
+        F.count(F.lit(1)).alias("compared"), F.count_if(F.col("fitted") != F.col("loaded")).alias("different")
+    )
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _ = _model(spark, sf_dir)
+    path = scratch_path(spark, "runs")
+    learning.log_run(spark, model, path)
+    runs = learning.read_runs(spark, path)
+    return runs.select("run_name", F.explode("metrics").alias("metric", "value"))
+
+
+def churn_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = learning.churn_training(features(spark, sf_dir), scratch_path(spark, "training"), QUICK_TRIALS, QUICK_SPACE)
+    return run.importance
+
+
+def model_high_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, test = _model(spark, sf_dir)
+    return scoring.high_risk(model.score(test))
+
+
+def model_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, test = _model(spark, sf_dir)
+    return scoring.batch_score(model.score(test))
+
+
+def learning_queries() -> dict[str, Query]:
+    return {
+        "stratified_split": lambda spark, sf_dir: learning.stratified_split(features(spark, sf_dir)).select(
+            PERSON, LABEL, "part"
+        ),
+        "stratified_folds": lambda spark, sf_dir: learning.stratified_folds(features(spark, sf_dir)).select(
+            PERSON, LABEL, F.col("fold").cast("bigint").alias("fold")
+        ),
+        "train_churn": train_churn,
+        "tune": tune,
+        "feature_importance": feature_importance,
+        "permutation_importance": permutation_importance,
+        "save_load_model": save_load_model,
+        "run_log": run_log,
+        "churn_training": churn_training,
+        "model_high_risk": model_high_risk,
+        "model_batch_score": model_batch_score,
+        "trial_running_max": lambda spark, sf_dir: trials.trial_running_max(testdata.trials(spark, sf_dir)),
+        "best_trial": lambda spark, sf_dir: trials.best_trial(testdata.trials(spark, sf_dir)),
+    }
+
+
+def arm_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = testdata.rate_units(spark, sf_dir).unionByName(testdata.value_units(spark, sf_dir))
+    numbers = experiments.arm_statistics(units)
+    return numbers.select(
+        "experiment", "arm", "n", *[F.round(name, 6).alias(name) for name in ("total", "mean", "variance", "std")]
+    )
+
+
+def _statistics(kind: str, columns: dict[str, int]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if kind == "rate":
+            stats = experiments.proportion_statistics(testdata.rate_units(spark, sf_dir))
+        else:
+            stats = experiments.mean_statistics(testdata.value_units(spark, sf_dir))
+        return stats.select("experiment", *[F.round(name, digits).alias(name) for name, digits in columns.items()])
+
+    return query
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.experiment_report(testdata.rate_units(spark, sf_dir), testdata.value_units(spark, sf_dir))
+
+
+def experiment_queries() -> dict[str, Query]:
+    return {
+        "arm_statistics": arm_statistics,
+        "proportion_test": _statistics("rate", {"test_statistic": 8, "p_value": 8}),
+        "proportion_ci": _statistics("rate", {"ci_lower": 8, "ci_upper": 8}),
+        "lift": _statistics("rate", {"absolute_lift": 8, "relative_lift_pct": 6}),
+        "welch_t_test": _statistics("mean", {"test_statistic": 6, "degrees_of_freedom": 3, "p_value": 6}),
+        "mean_ci": _statistics("mean", {"t_critical": 6, "ci_lower": 5, "ci_upper": 5}),
+        "mde_proportion": _statistics("rate", {"mde": 8}),
+        "mde_mean": _statistics("mean", {"mde": 6}),
+        "power_proportion": _statistics("rate", {"power_argument": 7, "statistical_power": 7}),
+        "power_mean": _statistics("mean", {"power_argument": 6, "statistical_power": 6}),
+        "experiment_report": _report,
+        "sample_size_grid": lambda spark, sf_dir: experiments.sample_size_grid(testdata.rate_units(spark, sf_dir)),
+        "significance_verdict": lambda spark, sf_dir: experiments.significance_verdict(_report(spark, sf_dir)),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**sales_queries(), **customer_queries(), **service_queries()}
+    return {
+        **source_queries(), **sales_queries(), **customer_queries(), **service_queries(),
+        **churn_queries(), **learning_queries(), **experiment_queries(),
+    }

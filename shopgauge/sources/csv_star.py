@@ -84,9 +84,7 @@ def load_star(spark: SparkSession, folder: str, files: dict[str, str] | None = N
             tables[name] = spark.createDataFrame([], schema)
         else:
             tables[name] = read_csv_table(spark, path, schema)
-    star = Star(**tables)
-    star.create_views()
-    return star
+    return Star(**tables)
 
 
 def save_star_csv(star: Star, folder: str) -> None:

@@ -30,8 +30,12 @@ def save_as_bucketed_table(df: DataFrame, name: str, buckets: int, if_exists: st
     df.write.mode(_MODES[if_exists]).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
 
 
-def run_query(spark: SparkSession, text: str, params: Sequence[Any] | dict[str, Any] | None = None) -> DataFrame:
-    """SQL text over the registered views; ``?`` or ``:name`` markers take ``params``."""
-    if not params:
-        return spark.sql(text)
-    return spark.sql(text, args=params if isinstance(params, dict) else list(params))
+def run_query(
+    spark: SparkSession,
+    text: str,
+    params: Sequence[Any] | dict[str, Any] | None = None,
+    tables: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """SQL text over registered views, or over ``tables`` named in braces; ``?`` or ``:name`` markers take ``params``."""
+    args = params if isinstance(params, dict) or params is None else list(params)
+    return spark.sql(text, args=args, **(tables or {}))
