@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopgauge.functions.columns import cents, money, safe_ratio, whole_days
@@ -42,24 +45,62 @@ def require_observations(star: Star, window_days: int = WINDOW_DAYS) -> None:
         raise ValueError("no orders in the observation window: check the order dates")
 
 
-def person_facts(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
+@dataclass(frozen=True)
+class TypeSets:
+    """How the payment types of an order, a session and a person are gathered and counted."""
+
+    of_row: Callable[[], Column]
+    first: Callable[[Column], Column]
+    merge: Callable[[Column], Column]
+    count: Callable[[Column], Column]
+
+
+_MASK_BITS = 63
+
+
+def type_sets(star: Star) -> TypeSets:
+    """Bits of one integer while the types fit it, which keeps the sums in fixed-size buffers; else real sets.
+
+    Payment types are few, but that is looked up: at most one more than fit are fetched.
+    """
+    kinds = star.order_payments.where(F.col("payment_type").isNotNull()).select("payment_type").distinct()
+    names = sorted(row[0] for row in kinds.limit(_MASK_BITS + 1).collect())
+    if len(names) > _MASK_BITS:
+        return TypeSets(
+            of_row=lambda: F.col("payment_type"),
+            first=F.collect_set,
+            merge=lambda sets: F.array_distinct(F.flatten(F.collect_set(sets))),
+            count=F.size,
+        )
+
+    def bit() -> Column:
+        pairs = [F.when(F.col("payment_type") == name, F.lit(1 << i).cast("bigint")) for i, name in enumerate(names)]
+        return F.coalesce(*pairs, F.lit(0).cast("bigint"))
+
+    return TypeSets(
+        of_row=bit, first=F.bit_or, merge=F.bit_or, count=lambda mask: F.bit_count(F.coalesce(mask, F.lit(0)))
+    )
+
+
+def person_facts(star: Star, window_days: int = WINDOW_DAYS, payment_types: bool = False) -> DataFrame:
     """Everything the features need, one row per person seen in the observation window, in one pass.
 
     Payments and reviews are summed per order before they meet the orders, orders per session before they meet
     the customers. Orders of the prediction window go along only to tell who came back. What a caller does not
-    select is pruned from the plan, down to the joins.
+    select is pruned from the plan, down to the joins; ``payment_types`` adds their count, for which their
+    domain is looked up first.
 
-    The state is the one of the session that ordered first and has a state (ties by session id). The set of
-    payment types is as small as their domain.
+    The state is the one of the session that ordered first and has a state (ties by session id).
     """
     ts = "order_purchase_timestamp"
+    kinds = type_sets(star) if payment_types else None
     orders = delivered(star).select("order_id", "customer_id", ts, (F.col(ts) <= cutoff(star, window_days)).alias("seen"))
     payments = star.order_payments.groupBy("order_id").agg(
         F.sum(cents("payment_value")).alias("paid_cents"),
         F.count("payment_value").alias("paid_values"),
         F.sum(F.col("payment_installments").cast("bigint")).alias("installments"),
         F.count("payment_installments").alias("installment_values"),
-        F.collect_set("payment_type").alias("types"),
+        *([kinds.first(kinds.of_row()).alias("types")] if kinds else []),
     )
     reviews = star.order_reviews.groupBy("order_id").agg(
         F.sum("review_score").alias("score_sum"), F.count("review_score").alias("scores")
@@ -69,9 +110,6 @@ def person_facts(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
     def seen(name: str) -> Column:
         return F.when(F.col("seen"), F.col(name))
 
-    def merged_sets(sets: Column) -> Column:
-        return F.array_distinct(F.flatten(F.collect_set(sets)))
-
     sessions = (
         orders.join(payments, "order_id", "left")
         .join(reviews, "order_id", "left")
@@ -81,7 +119,7 @@ def person_facts(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
             F.min(seen(ts)).alias("first_ts"),
             F.max(seen(ts)).alias("last_ts"),
             *[F.sum(seen(name)).alias(name) for name in sums],
-            merged_sets(seen("types")).alias("types"),
+            *([kinds.merge(seen("types")).alias("types")] if kinds else []),
             F.max(~F.col("seen")).alias("came_back"),
         )
     )
@@ -98,7 +136,7 @@ def person_facts(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
             F.max("last_ts").alias("last_obs_purchase"),
             F.min("first_ts").alias("first_purchase"),
             *[F.sum(name).alias(name) for name in sums],
-            merged_sets(F.col("types")).alias("types"),
+            *([kinds.count(kinds.merge(F.col("types"))).cast("bigint").alias("type_count")] if kinds else []),
             F.max("came_back").alias("came_back"),
         )
         .where(F.col("frequency") > 0)
@@ -119,13 +157,13 @@ def with_payment_features(people: DataFrame) -> DataFrame:
             "monetary": money(F.coalesce("paid_cents", F.lit(0))),
             "avg_order_value": safe_ratio(money("paid_cents"), F.col("paid_values")),
             "avg_installments": safe_ratio(F.col("installments"), F.col("installment_values")),
-            "payment_type_count": F.size("types").cast("bigint"),
+            "payment_type_count": F.col("type_count"),
         }
     )
 
 
 def payment_features(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
-    return with_payment_features(person_facts(star, window_days)).select(
+    return with_payment_features(person_facts(star, window_days, payment_types=True)).select(
         PERSON, "monetary", "avg_order_value", "avg_installments", "payment_type_count"
     )
 
@@ -191,7 +229,8 @@ def churn_features(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
 
     The person's key is kept beside them.
     """
-    people = with_label(with_tenure_and_gap(with_review_features(with_payment_features(person_facts(star, window_days)))))
+    facts = person_facts(star, window_days, payment_types=True)
+    people = with_label(with_tenure_and_gap(with_review_features(with_payment_features(facts))))
     kept = [PERSON, "customer_state", *[name for name in FEATURES if name != "state_encoded"], LABEL]
     written = materialize(people.select(*kept), "features")
     return with_state_code(written).select(PERSON, *FEATURES, LABEL).dropna()

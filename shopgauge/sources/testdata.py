@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shopgauge.star import Star
 
+Reader = Callable[[str], DataFrame]
+
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -31,47 +34,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def star(spark: SparkSession, sf_dir: str) -> Star:
-    def read(name: str) -> DataFrame:
-        return table(spark, sf_dir, name)
-
-    nation = read("nation").select("n_nationkey", "n_name")
+def _customers(read: Reader) -> DataFrame:
     key = F.col("c_custkey")
-    customers = (
+    folded = F.pmod(key, F.lit(10)).isin(8, 9)
+    return (
         read("customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(read("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             key.alias("customer_id"),
-            F.when(F.pmod(key, F.lit(10)).isin(8, 9), key - F.pmod(key, F.lit(10)))
-            .otherwise(key)
-            .alias("customer_unique_id"),
+            F.when(folded, key - F.pmod(key, F.lit(10))).otherwise(key).alias("customer_unique_id"),
             F.col("n_name").alias("customer_state"),
         )
     )
 
+
+def _orders(read: Reader) -> DataFrame:
     order = F.col("o_orderkey")
     day = F.col("o_orderdate").cast("date")
+    status = F.col("o_orderstatus")
 
     def after(days: Column) -> Column:
         return F.date_add(day, days.cast("int")).cast("timestamp_ntz")
 
-    orders = read("orders").select(
+    return read("orders").select(
         order.alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
-        F.when(F.col("o_orderstatus") == "F", "delivered")
-        .when(F.col("o_orderstatus") == "O", "shipped")
-        .otherwise("processing")
+        # nested and null-safe, so that a filter on one status folds to a filter on the file's column
+        F.when(status.eqNullSafe("F"), "delivered")
+        .otherwise(F.when(status.eqNullSafe("O"), "shipped").otherwise("processing"))
         .alias("order_status"),
         day.cast("timestamp_ntz").alias("order_purchase_timestamp"),
-        F.when(
-            F.col("o_orderstatus").isin("F", "O") & (order % 50 != 7),
-            after(5 + order % 23 + (order * 7) % 13 - 6),
-        ).alias("order_delivered_customer_date"),
+        F.when(status.isin("F", "O") & (order % 50 != 7), after(5 + order % 23 + (order * 7) % 13 - 6))
+        .alias("order_delivered_customer_date"),
         after(7 + order % 23).alias("order_estimated_delivery_date"),
     )
 
+
+def _payments(read: Reader) -> DataFrame:
+    order = F.col("o_orderkey")
     on_card = F.col("o_orderpriority").isin("1-URGENT", "5-LOW")
-    payments = read("orders").select(
+    return read("orders").select(
         order.alias("order_id"),
         F.lit(1).alias("payment_sequential"),
         F.when(on_card, "credit_card")
@@ -83,7 +85,9 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
         F.col("o_totalprice").alias("payment_value"),
     )
 
-    items = read("lineitem").select(
+
+def _items(read: Reader) -> DataFrame:
+    return read("lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
@@ -91,11 +95,16 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
         F.col("l_extendedprice").alias("price"),
         (F.col("l_extendedprice") * F.col("l_tax")).alias("freight_value"),
     )
-    products = read("part").select(
-        F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name")
-    )
+
+
+def _products(read: Reader) -> DataFrame:
+    return read("part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name"))
+
+
+def _category_translation(read: Reader) -> DataFrame:
+    """Four of the six categories, so that both branches of the fallback occur."""
     kind = F.col("p_type")
-    translation = (
+    return (
         read("part")
         .where(kind.isin("MEDIUM", "STANDARD", "LARGE", "PROMO"))
         .select(
@@ -104,9 +113,12 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
         )
         .distinct()
     )
-    sellers = (
+
+
+def _sellers(read: Reader) -> DataFrame:
+    return (
         read("supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(read("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("s_suppkey").alias("seller_id"),
             F.col("s_name").alias("seller_city"),
@@ -114,29 +126,36 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
         )
     )
 
-    delivered = read("orders").where(F.col("o_orderstatus") == "F")
+
+def _reviews(read: Reader) -> DataFrame:
+    """One review of most delivered orders, and a second one of a few."""
+    order = F.col("o_orderkey")
     roll = (order * 37) % 100
-    first_review = delivered.where(order % 10 != 0).select(
-        order.alias("review_id"),
-        order.alias("order_id"),
-        F.when(roll < 11, 1).when(roll < 17, 2).when(roll < 26, 3).when(roll < 46, 4).otherwise(5)
-        .alias("review_score"),
-    )
-    second_review = delivered.where(order % 97 == 1).select(
-        (-order).alias("review_id"), order.alias("order_id"), F.lit(1).alias("review_score")
+    score = F.when(roll < 11, 1).when(roll < 17, 2).when(roll < 26, 3).when(roll < 46, 4).otherwise(5)
+    both = F.array(
+        F.when(order % 10 != 0, F.struct(order.alias("review_id"), score.alias("review_score"))),
+        F.when(order % 97 == 1, F.struct((-order).alias("review_id"), F.lit(1).alias("review_score"))),
     )
-    return Star(
-        customers=customers,
-        orders=orders,
-        sellers=sellers,
-        products=products,
-        category_translation=translation,
-        order_items=items,
-        order_payments=payments,
-        order_reviews=first_review.unionAll(second_review),
+    return (
+        read("orders")
+        .where(F.col("o_orderstatus") == "F")
+        .select(order.alias("order_id"), F.inline(F.array_compact(both)))
+        .select("review_id", "order_id", "review_score")
     )
 
 
+def star(spark: SparkSession, sf_dir: str) -> Star:
+    def read(name: str) -> DataFrame:
+        return table(spark, sf_dir, name)
+
+    makers = {
+        "customers": _customers, "orders": _orders, "sellers": _sellers, "products": _products,
+        "category_translation": _category_translation, "order_items": _items, "order_payments": _payments,
+        "order_reviews": _reviews,
+    }
+    return Star(**{name: partial(make, read) for name, make in makers.items()})
+
+
 def _arm(user: Column) -> Column:
     return F.when(user % 2 == 0, "control").otherwise("treatment").alias("arm")
 

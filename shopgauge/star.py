@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from shopgauge.schema import STAR_SCHEMAS
+
 
-@dataclass(frozen=True)
 class Star:
     """Eight tables with the column names of ``schema.STAR_SCHEMAS``; id types are free.
 
     Keys: ``orders.order_id``, ``customers.customer_id``, ``products.product_id``, ``sellers.seller_id`` and
     ``category_translation.product_category_name`` are unique. ``customer_id`` names one ordering session; the
     person behind it is ``customer_unique_id``.
+
+    A table may be given as a function, which is called when an operator first asks for the table.
     """
 
     customers: DataFrame
@@ -25,8 +28,21 @@ class Star:
     order_payments: DataFrame
     order_reviews: DataFrame
 
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        if set(tables) != set(STAR_SCHEMAS):
+            raise ValueError(f"a star has the tables {sorted(STAR_SCHEMAS)}, not {sorted(tables)}")
+        self._sources = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in STAR_SCHEMAS:
+            raise AttributeError(name)
+        source = self._sources[name]
+        table = source if isinstance(source, DataFrame) else source()
+        setattr(self, name, table)
+        return table
+
     def tables(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in self.__dataclass_fields__}
+        return {name: getattr(self, name) for name in STAR_SCHEMAS}
 
     def create_views(self) -> None:
         for name, df in self.tables().items():
