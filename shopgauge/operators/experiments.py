@@ -242,8 +242,8 @@ def sample_size(base: Column, relative_lift: Column) -> Column:
 
 
 def sample_size_grid(units: DataFrame, lifts_pct: range = range(5, 101)) -> DataFrame:
-    """Units per arm for every experiment's control rate (in whole percent, 1 to 50) and every lift."""
-    base = F.least(F.greatest(F.floor(F.col("c_mean") * 100 + 0.5), F.lit(1)), F.lit(50))
+    """Units per arm for every experiment's control rate (in whole percent) and every lift."""
+    base = F.floor(F.col("c_mean") * 100 + 0.5)
     grid = side_by_side(units).select(
         "experiment", base.cast("bigint").alias("base_pct"),
         F.explode(F.sequence(F.lit(lifts_pct.start).cast("bigint"), F.lit(lifts_pct.stop - 1).cast("bigint")))

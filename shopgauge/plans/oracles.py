@@ -671,13 +671,13 @@ select experiment_name, is_significant,
 from report""", _RATES, _MEANS, _REPORT),
     "sample_size_grid": _units("""
 select experiment, base_pct, lift_pct,
-       case when p2 <= 1 then cast(ceil(power(1.96 * sqrt(greatest(2 * pm * (1 - pm), 0))
+       case when p2 <= 1 and b > 0 then cast(ceil(power(1.96 * sqrt(greatest(2 * pm * (1 - pm), 0))
                                               + 0.84 * sqrt(greatest(b * (1 - b) + p2 * (1 - p2), 0)), 2)
                                         / power(p2 - b, 2)) as bigint) end as per_arm
 from (select *, (b + p2) / 2 as pm
       from (select experiment, base_pct, lift_pct, base_pct / 100.0::double as b,
                    (base_pct / 100.0::double) * (1 + lift_pct / 100.0::double) as p2
-            from (select experiment, cast(least(greatest(floor(m1 * 100 + 0.5), 1), 50) as bigint) as base_pct, lift_pct
+            from (select experiment, cast(floor(m1 * 100 + 0.5) as bigint) as base_pct, lift_pct
                   from rate_args cross join range(5, 101) l(lift_pct))))""", _RATES),
 }
 

@@ -31,16 +31,17 @@ def build_session(app_name: str = "shopgauge", master: str | None = None, **conf
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder that every executor can read.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local session may fall back to a
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a local session without one falls back to a
     temporary folder of this machine.
     """
-    base = spark.conf.get(_CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    base = spark.conf.get(_CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder shared by the executors")
         base = tempfile.mkdtemp(prefix="shopgauge-")
-        spark.conf.set(_CHECKPOINT_DIR, base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{context.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
