@@ -31,9 +31,9 @@ def half_up(numerator: Column | str, denominator: Column | str) -> Column:
 
     Both are integers and the denominator is not negative, so nothing is lost to binary fractions.
     """
-    n, d = wide(numerator), F.nullif(wide(denominator), F.lit(0))
+    n, d = wide(numerator), wide(denominator)
     magnitude = F.call_function("div", F.abs(n) * 2 + d, d * 2)
-    return F.when(n < 0, -magnitude).otherwise(magnitude)
+    return F.when((d != 0) & (n < 0), -magnitude).when(d != 0, magnitude)
 
 
 def mean_money(cent_sum: Column | str, count: Column | str) -> Column:
@@ -54,7 +54,7 @@ def array_round(value: Column | str, digits: int) -> Column:
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     """Double division that gives null over zero."""
-    return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))
+    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
 def month(ts: Column | str) -> Column:
@@ -65,10 +65,16 @@ def month_label(ts: Column | str) -> Column:
     return F.date_format(_col(ts), "yyyy-MM")
 
 
-def months_from(earlier: Column | str, later: Column | str) -> Column:
-    """Whole months between two month starts."""
-    a, b = _col(earlier), _col(later)
-    return ((F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)).cast("bigint")
+def month_number(ts: Column | str) -> Column:
+    """Months since year 0."""
+    day = _col(ts).cast("date")
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def month_start(number: Column | str) -> Column:
+    """First day of a month given by ``month_number``."""
+    n = _col(number)
+    return F.make_date(F.floor(n / 12).cast("int"), F.pmod(n, F.lit(12)).cast("int") + 1, F.lit(1))
 
 
 def whole_days(later: Column | str, earlier: Column | str) -> Column:

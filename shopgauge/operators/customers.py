@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shopgauge.functions.columns import epoch_micros, mean_money, money, month_label, months_from, percent, whole_days
+from shopgauge.functions.columns import epoch_micros, mean_money, money, month_label, month_start, percent, whole_days
 from shopgauge.functions.ordering import lay_out, with_rank
 from shopgauge.operators.facts import active_months, delivered, sales_by_person
 from shopgauge.schema import PERSON
@@ -17,15 +17,15 @@ from shopgauge.star import Star
 def _cohort_counts(star: Star) -> DataFrame:
     """Active persons by cohort month and month offset.
 
-    A person has at most one row per calendar month here, so counting rows counts persons and the window over
-    a person stays small however many orders that person placed.
+    A person has each month once here, so counting rows counts persons.
     """
-    cohort = F.min("active_month").over(Window.partitionBy(PERSON))
+    first = F.col("months")[0]
     return (
         active_months(star)
-        .withColumn("cohort_month", cohort)
-        .groupBy("cohort_month", months_from("cohort_month", "active_month").alias("month_offset"))
+        .select(first.alias("cohort"), F.explode("months").alias("month"))
+        .groupBy("cohort", (F.col("month") - F.col("cohort")).cast("bigint").alias("month_offset"))
         .agg(F.count(F.lit(1)).alias("active_customers"))
+        .select(month_start("cohort").alias("cohort_month"), "month_offset", "active_customers")
     )
 
 
@@ -99,15 +99,20 @@ def repeat_purchase_rate(star: Star) -> DataFrame:
 def monthly_retention(star: Star) -> DataFrame:
     """Persons active in a month and those active again in the next one.
 
-    The next active month of the same person stands in for a self-join on person and month.
+    Both are read off the person's own months, without a self-join on person and month.
     """
-    following = F.lead("active_month").over(Window.partitionBy(PERSON).orderBy("active_month"))
+    visits = F.transform(
+        "months", lambda m: F.struct(m.alias("month"), F.array_contains("months", m + 1).alias("returned"))
+    )
     return (
         active_months(star)
-        .withColumn("returned", following == F.add_months("active_month", 1))
-        .groupBy("active_month")
+        .select(F.inline(visits))
+        .groupBy("month")
         .agg(F.count(F.lit(1)).alias("active_count"), F.count_if("returned").alias("retained_count"))
-        .withColumn("retention_rate_pct", percent("retained_count", "active_count"))
+        .select(
+            month_start("month").alias("active_month"), "active_count", "retained_count",
+            percent("retained_count", "active_count").alias("retention_rate_pct"),
+        )
         .orderBy("active_month")
     )
 
@@ -199,7 +204,7 @@ def rfm_segments(star: Star) -> DataFrame:
     return scored.select(
         PERSON, "r_score", "f_score", "m_score", (r + f + m).alias("rfm_total"),
         _segment((r >= 4) & (f >= 4) & (m >= 4), "Loyal Customers").alias("segment"),
-    ).orderBy(F.desc("rfm_total"))
+    ).orderBy(F.desc("rfm_total"), PERSON)
 
 
 def _interpolation_spots(n: int, k: int) -> list[tuple[int, int, int]]:

@@ -49,7 +49,7 @@ def lift() -> dict[str, Column]:
     c, t = F.col("c_mean"), F.col("t_mean")
     return {
         "absolute_lift": t - c,
-        "relative_lift_pct": F.when(c > 0, (t - c) / F.nullif(c, F.lit(0.0)) * 100).otherwise(F.lit(0.0)),
+        "relative_lift_pct": F.when(c > 0, F.try_divide(t - c, c) * 100).otherwise(F.lit(0.0)),
     }
 
 
@@ -60,7 +60,7 @@ def chi_square() -> Column:
     n = F.col("c_n") + F.col("t_n")
     off = F.greatest(F.abs(a * d - b * c) - n / 2, F.lit(0.0))
     margins = F.col("c_n").cast("double") * F.col("t_n") * (a + c) * (b + d)
-    return n * off * off / F.nullif(margins, F.lit(0.0))
+    return F.try_divide(n * off * off, margins)
 
 
 def rate_standard_error() -> Column:
@@ -77,13 +77,13 @@ def mean_standard_error() -> Column:
 
 def welch_t() -> Column:
     """Control minus treatment: its sign is opposite to the lift."""
-    return (F.col("c_mean") - F.col("t_mean")) / F.nullif(mean_standard_error(), F.lit(0.0))
+    return F.try_divide(F.col("c_mean") - F.col("t_mean"), mean_standard_error())
 
 
 def welch_df() -> Column:
     c, t = safe_ratio(F.col("c_variance"), F.col("c_n")), safe_ratio(F.col("t_variance"), F.col("t_n"))
-    return (c + t) * (c + t) / F.nullif(
-        safe_ratio(c * c, F.col("c_n") - 1) + safe_ratio(t * t, F.col("t_n") - 1), F.lit(0.0)
+    return F.try_divide(
+        (c + t) * (c + t), safe_ratio(c * c, F.col("c_n") - 1) + safe_ratio(t * t, F.col("t_n") - 1)
     )
 
 
@@ -105,13 +105,13 @@ def rate_power_argument(confidence: float = CONFIDENCE) -> Column:
     pooled = safe_ratio(F.col("c_total") + F.col("t_total"), n)
     null_error = F.sqrt(safe_ratio(2 * pooled * (1 - pooled), F.least("c_n", "t_n")))
     distance = F.abs(F.col("t_mean") - F.col("c_mean")) - F.lit(_z(confidence)) * null_error
-    return distance / F.nullif(rate_standard_error(), F.lit(0.0))
+    return F.try_divide(distance, rate_standard_error())
 
 
 def mean_power_argument(confidence: float = CONFIDENCE) -> Column:
     error = mean_standard_error()
     distance = F.abs(F.col("t_mean") - F.col("c_mean")) - F.lit(_z(confidence)) * error
-    return distance / F.nullif(error, F.lit(0.0))
+    return F.try_divide(distance, error)
 
 
 def _interval(half_width: Column) -> dict[str, Column]:
@@ -237,7 +237,7 @@ def sample_size(base: Column, relative_lift: Column) -> Column:
         SIZE_Z_BETA
     ) * F.sqrt(F.greatest(base * (1 - base) + lifted * (1 - lifted), F.lit(0.0)))
     gap = lifted - base
-    needed = F.ceil(spread * spread / F.nullif(gap * gap, F.lit(0.0)))
+    needed = F.ceil(F.try_divide(spread * spread, gap * gap))
     return F.when((lifted <= 1) & (base > 0), needed)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shopgauge.functions.columns import cents, month
+from shopgauge.functions.columns import cents, month_number
 from shopgauge.star import Star
 
 
@@ -62,33 +62,68 @@ def sales_by_person(star: Star) -> DataFrame:
     )
 
 
+_MASK_MONTHS = 63
+
+
 def active_months(star: Star) -> DataFrame:
-    """Distinct (person, month) of delivered orders: at most one row per calendar month and person."""
-    sessions = (
-        delivered(star)
-        .select("customer_id", month("order_purchase_timestamp").alias("active_month"))
-        .distinct()
-    )
+    """Each person's months with delivered orders, ascending, as an array of month numbers.
+
+    The months seen are bits of a few integers, so a session and a person are aggregated in fixed-size buffers
+    with one shuffle each, however many orders they hold. The span of the calendar is looked up first.
+    """
+    orders = delivered(star).select("customer_id", month_number("order_purchase_timestamp").alias("month"))
+    first, last = orders.agg(F.min("month"), F.max("month")).first()
     people = star.customers.select("customer_id", "customer_unique_id")
-    return sessions.join(people, "customer_id").select("customer_unique_id", "active_month").distinct()
-
-
-def category_of(star: Star) -> DataFrame:
-    """product_id with its category: the English name where there is one, else the raw one."""
-    return star.products.select("product_id", "product_category_name").join(
-        star.category_translation.select("product_category_name", "product_category_name_english"),
-        "product_category_name",
-        "left",
-    ).select(
-        "product_id",
-        F.coalesce("product_category_name_english", "product_category_name").alias("category"),
+    if first is None:
+        return people.select("customer_unique_id", F.array().cast("array<int>").alias("months")).limit(0)
+    starts = range(first, last + 1, _MASK_MONTHS)
+
+    def bit(start: int) -> Column:
+        place = F.col("month") - start
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+        return F.when(place.between(0, _MASK_MONTHS - 1), one)
+
+    def months(i: int, start: int) -> Column:
+        end = min(start + _MASK_MONTHS - 1, last)
+        mask = F.coalesce(F.col(f"mask{i}"), F.lit(0).cast("bigint"))
+        return F.filter(F.sequence(F.lit(start), F.lit(end)), lambda m: F.getbit(mask, m - start) == 1)
+
+    sessions = orders.groupBy("customer_id").agg(
+        *[F.bit_or(bit(start)).alias(f"mask{i}") for i, start in enumerate(starts)]
+    )
+    persons = (
+        sessions.join(people, "customer_id")
+        .where(F.col("customer_unique_id").isNotNull())
+        .groupBy("customer_unique_id")
+        .agg(*[F.bit_or(f"mask{i}").alias(f"mask{i}") for i in range(len(starts))])
+    )
+    return persons.select(
+        "customer_unique_id", F.concat(*[months(i, start) for i, start in enumerate(starts)]).alias("months")
+    )
+
+
+def with_category(rows: DataFrame, star: Star) -> DataFrame:
+    """Rows with a product_id and their category: the English name where there is one, else the raw one.
+
+    Two joins in a row rather than one with the joined dimensions: each side's own size then decides whether
+    it is broadcast, where the size of a join would only be a product of guesses.
+    """
+    return (
+        rows.join(star.products.select("product_id", "product_category_name"), "product_id")
+        .join(
+            star.category_translation.select("product_category_name", "product_category_name_english"),
+            "product_category_name",
+            "left",
+        )
+        .withColumn("category", F.coalesce("product_category_name_english", "product_category_name"))
+        .drop("product_category_name", "product_category_name_english")
     )
 
 
 def items_by_order_and_category(star: Star) -> DataFrame:
+    items = star.order_items.select("order_id", "order_item_id", "product_id", "price")
     return (
-        star.order_items.select("order_id", "order_item_id", "product_id", "price")
-        .join(category_of(star), "product_id")
+        with_category(items, star)
         .groupBy("order_id", "category")
         .agg(
             F.count(F.lit(1)).alias("items"),

@@ -43,12 +43,12 @@ def roc_auc(scored: DataFrame, label: str, probability: str, by: Sequence[str] =
             F.sum("positives").alias("p"),
             F.sum("negatives").alias("n"),
         )
-        .select(*by, (F.col("halves") / F.nullif(2.0 * F.col("p") * F.col("n"), F.lit(0.0))).alias("roc_auc"))
+        .select(*by, F.try_divide(F.col("halves"), 2.0 * F.col("p") * F.col("n")).alias("roc_auc"))
     )
 
 
 def _f1(precision: Column, recall: Column) -> Column:
-    return F.coalesce(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -92,7 +92,7 @@ def classification_report(scored: DataFrame, label: str, probability: str) -> Da
     def averaged(weights: dict[int, Column]) -> list[Column]:
         total = weights[0] + weights[1]
         return [
-            F.coalesce((measures[0][i] * weights[0] + measures[1][i] * weights[1]) / F.nullif(total, F.lit(0)), F.lit(0.0))
+            F.coalesce(F.try_divide(measures[0][i] * weights[0] + measures[1][i] * weights[1], total), F.lit(0.0))
             for i in range(3)
         ]
 

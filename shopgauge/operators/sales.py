@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from shopgauge.functions.columns import (
     array_round, cents, half_up, mean_money, money, month, month_label, percent, safe_ratio,
 )
-from shopgauge.operators.facts import category_of, delivered, is_late, paid_orders, payments_by_order, sales_by_session
+from shopgauge.operators.facts import (
+    delivered, is_late, paid_orders, payments_by_order, sales_by_session, with_category,
+)
 from shopgauge.star import Star
 
 
@@ -122,7 +124,7 @@ def top_categories(star: Star, top: int = 10) -> DataFrame:
     """Categories by item revenue over orders of any status; items without a category are left out."""
     per_product = star.order_items.groupBy("product_id").agg(F.sum(cents("price")).alias("price_cents"))
     return (
-        per_product.join(category_of(star), "product_id")
+        with_category(per_product, star)
         .where(F.col("category").isNotNull())
         .groupBy("category")
         .agg(F.sum("price_cents").alias("price_cents"))
@@ -216,19 +218,17 @@ def kpis(star: Star) -> DataFrame:
 def recent_orders(star: Star, top: int = 20) -> DataFrame:
     """The latest orders with state and payments; the limit comes before the joins, so rows can exceed it.
 
-    The fact tables are first cut down to the few orders found: those ``top`` ids are the broadcast side.
+    The few orders are fetched first, in one scan; their ids then filter the scans of the other tables.
     """
-    latest = (
-        star.orders.select("order_id", "customer_id", "order_purchase_timestamp", "order_status")
-        .orderBy(F.desc("order_purchase_timestamp"), "order_id")
-        .limit(top)
-    )
-    customers = star.customers.select("customer_id", "customer_state").join(
-        F.broadcast(latest.select("customer_id")), "customer_id", "left_semi"
-    )
-    payments = star.order_payments.select("order_id", "payment_value").join(
-        F.broadcast(latest.select("order_id")), "order_id", "left_semi"
-    )
+    orders = star.orders.select("order_id", "customer_id", "order_purchase_timestamp", "order_status")
+    found = orders.orderBy(F.desc("order_purchase_timestamp"), "order_id").limit(top).collect()
+    latest = orders.sparkSession.createDataFrame(found, orders.schema)
+
+    def of_latest(table: DataFrame, key: str) -> DataFrame:
+        return table.where(F.col(key).isin([row[key] for row in found]))
+
+    customers = of_latest(star.customers.select("customer_id", "customer_state"), "customer_id")
+    payments = of_latest(star.order_payments.select("order_id", "payment_value"), "order_id")
     return (
         latest.join(customers, "customer_id", "left")
         .join(payments, "order_id", "left")

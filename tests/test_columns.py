@@ -65,6 +65,8 @@ def test_elapsed_fraction(spark):
     assert value(spark, c.epoch_micros(F.lit("1970-01-01 00:00:01.5").cast("timestamp_ntz"))) == 1500000
 
 
-def test_months_from(spark):
-    a, b = F.lit("2023-11-01").cast("date"), F.lit("2024-02-01").cast("date")
-    assert value(spark, c.months_from(a, b)) == 3
+def test_month_numbers(spark):
+    a, b = F.lit("2023-11-09").cast("date"), F.lit("2024-02-29 23:00:00").cast("timestamp_ntz")
+    assert value(spark, c.month_number(b) - c.month_number(a)) == 3
+    for text in ("2023-12-01", "2024-01-01", "2024-07-01"):
+        assert str(value(spark, c.month_start(c.month_number(F.lit(text).cast("date"))))) == text
