@@ -19,13 +19,14 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def lay_out(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
-    """``df`` written in the order (``by``, ``order``) with its part number and its position in the part."""
-    spark = df.sparkSession
+    """``df`` written in the order (``by``, ``order``) with its part number and its position in the part.
+
+    Without ``parts`` adaptive execution sizes them by their bytes; it only ever merges neighbours.
+    """
     keys = [F.col(k) if isinstance(k, str) else k for k in [*by, *order]]
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
     placed = (
-        df.repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
+        ranged.sortWithinPartitions(*keys)
         .withColumn(PART, F.spark_partition_id())
         .withColumn(PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)))
     )
@@ -52,7 +53,7 @@ def with_rank(laid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def running(laid: DataFrame, by: Sequence[str], order: Sequence[Column | str], total: str, value: Column, how) -> DataFrame:
+def running(laid: DataFrame, by: Sequence[str], total: str, value: Column, how) -> DataFrame:
     """Running ``how`` (``F.sum`` or ``F.max``) of ``value`` up to and with each row, inside ``by``.
 
     ``by`` may name any number of groups. A group longer than a part is carried on from part to part; only

@@ -20,7 +20,6 @@ def payments_by_order(star: Star) -> DataFrame:
     return star.order_payments.groupBy("order_id").agg(
         F.sum(cents("payment_value")).alias("paid_cents"),
         F.count("payment_value").alias("paid_values"),
-        F.count(F.lit(1)).alias("payment_rows"),
     )
 
 

@@ -117,18 +117,23 @@ def _weighted(rows: DataFrame, column: str, positive_weight: float) -> DataFrame
     return rows.withColumn(column, F.when(F.col(LABEL) == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0)))
 
 
-def _in_fixed_order(rows: DataFrame) -> DataFrame:
+_ROWS_PER_PART = 20000
+
+
+def _in_fixed_order(rows: DataFrame, n: int) -> DataFrame:
     """The same rows in the same tasks at every run: row sampling while boosting depends on that."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, n // _ROWS_PER_PART))
     return rows.repartition(parts, PERSON).sortWithinPartitions(PERSON)
 
 
 def train(train_rows: DataFrame, test_rows: DataFrame, params: dict[str, float] | None = None) -> ChurnModel:
     """Fit on the training rows and measure on the test rows."""
     params = params or {}
+    n = train_rows.count()
     names = [c for c in train_rows.columns if c in FEATURES]
-    steps = Pipeline(stages=[_assembler(names), estimator(params, train_rows.count(), weight="weight")])
-    fitted = steps.fit(_weighted(_in_fixed_order(train_rows), "weight", params.get("scale_pos_weight", 1.0)))
+    steps = Pipeline(stages=[_assembler(names), estimator(params, n, weight="weight")])
+    fitted = steps.fit(_weighted(_in_fixed_order(train_rows, n), "weight", params.get("scale_pos_weight", 1.0)))
     model = ChurnModel(fitted, names, params=dict(params))
     scored = materialize(model.score(test_rows).select(LABEL, "probability"), "scored")
     model.metrics = binary_metrics(scored, LABEL, "probability").first().asDict()
@@ -163,12 +168,12 @@ def tune(
     """
     points = sample_params(count, space, seed)
     names = [c for c in train_rows.columns if c in FEATURES]
-    folded = _in_fixed_order(stratified_folds(train_rows, folds, seed))
+    n = train_rows.count()
+    folded = _in_fixed_order(stratified_folds(train_rows, folds, seed), n)
     rows = _assembler(names).transform(folded).select("features", LABEL, "fold")
     for i, point in enumerate(points):
         rows = _weighted(rows, f"w{i}", point.get("scale_pos_weight", 1.0))
     rows = materialize(rows, "folds")
-    n = rows.count()
     base = estimator({}, n, weight="w0", seed=seed)
     grid = [estimator(p, n, weight=f"w{i}", seed=seed).extractParamMap() for i, p in enumerate(points)]
     grid = [{base.getParam(key.name): value for key, value in chosen.items()} for chosen in grid]

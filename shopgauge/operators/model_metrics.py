@@ -36,7 +36,7 @@ def roc_auc(scored: DataFrame, label: str, probability: str, by: Sequence[str] =
     laid = lay_out(per_score, ["score"], by)
     halves = wide("positives") * (2 * (F.col("upto") - F.col("negatives")) + F.col("negatives"))
     return (
-        running(laid, by, ["score"], "upto", F.col("negatives"), F.sum)
+        running(laid, by, "upto", F.col("negatives"), F.sum)
         .groupBy(*by)
         .agg(
             F.sum(halves).cast("double").alias("halves"),

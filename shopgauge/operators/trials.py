@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from shopgauge.functions.ordering import PART, PLACE, lay_out, running
+from shopgauge.functions.ordering import lay_out, running
 
 
 def trial_running_max(trials: DataFrame, by: Sequence[str] = ("study",)) -> DataFrame:
@@ -14,7 +14,7 @@ def trial_running_max(trials: DataFrame, by: Sequence[str] = ("study",)) -> Data
     by = list(by)
     score = F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0))
     laid = lay_out(trials.select(*by, "number", score.alias("score")), ["number"], by)
-    return running(laid, by, ["number"], "running_max", F.col("score"), F.max).select(*by, "number", "running_max")
+    return running(laid, by, "running_max", F.col("score"), F.max).select(*by, "number", "running_max")
 
 
 def best_trial(trials: DataFrame, by: Sequence[str] = ("study",)) -> DataFrame:

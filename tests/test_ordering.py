@@ -16,14 +16,14 @@ def frame(spark):
 
 def test_rank_equals_row_number(frame):
     df, data = frame
-    got = {r.id: (r.rk, r.n) for r in with_rank(lay_out(df, ["v", "id"])).collect()}
+    got = {r.id: (r.rk, r.n) for r in with_rank(lay_out(df, ["v", "id"], parts=8)).collect()}
     want = {row[0]: (k + 1, len(data)) for k, row in enumerate(sorted(data, key=lambda x: (x[1], x[0])))}
     assert got == want
 
 
 def test_rank_inside_groups_and_descending(frame):
     df, data = frame
-    got = {r.id: r.rk for r in with_rank(lay_out(df, [F.desc("v"), F.col("id")], by=["g"]), ["g"]).collect()}
+    got = {r.id: r.rk for r in with_rank(lay_out(df, [F.desc("v"), F.col("id")], by=["g"], parts=8), ["g"]).collect()}
     for group in "ab":
         ordered = sorted((x for x in data if x[2] == group), key=lambda x: (-x[1], x[0]))
         assert [got[x[0]] for x in ordered] == list(range(1, len(ordered) + 1))
@@ -31,7 +31,7 @@ def test_rank_inside_groups_and_descending(frame):
 
 def test_a_value_of_a_third_of_all_rows_spreads_over_parts(frame):
     df, _ = frame
-    laid = lay_out(df, ["v", "id"])
+    laid = lay_out(df, ["v", "id"], parts=8)
     hot = laid.where("v = 5").select(PART).distinct().count()
     largest = laid.groupBy(PART).count().agg(F.max("count")).first()[0]
     assert hot >= 2
@@ -41,8 +41,8 @@ def test_a_value_of_a_third_of_all_rows_spreads_over_parts(frame):
 def test_running_sum_and_max_carry_over_parts(frame):
     df, data = frame
     for how, fold in ((F.sum, lambda acc, v: acc + v), (F.max, max)):
-        laid = lay_out(df, ["id"], by=["g"])
-        got = {r.id: r.so_far for r in running(laid, ["g"], ["id"], "so_far", F.col("v"), how).collect()}
+        laid = lay_out(df, ["id"], by=["g"], parts=8)
+        got = {r.id: r.so_far for r in running(laid, ["g"], "so_far", F.col("v"), how).collect()}
         for group in "ab":
             acc = None
             for i, v, _ in sorted(x for x in data if x[2] == group):
@@ -59,3 +59,15 @@ def test_tile_and_bin_ends(n):
     assert [1 + sum(rk > end for end in tile_ends(n, 5)) for rk in range(1, n + 1)] == ntile
     bins = [max(1, -(-5 * (rk - 1) // (n - 1))) if n > 1 else 1 for rk in range(1, n + 1)]
     assert [1 + sum(rk > end for end in quantile_bin_ends(n, 5)) for rk in range(1, n + 1)] == bins
+
+
+def test_parts_sized_at_run_time_keep_the_order(spark, frame):
+    df, data = frame
+    wanted = [x[0] for x in sorted(data, key=lambda x: (x[1], x[0]))]
+    for coalesce in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        try:
+            ranked = with_rank(lay_out(df, ["v", "id"]))
+            assert [r.id for r in ranked.orderBy("rk").collect()] == wanted
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

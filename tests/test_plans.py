@@ -55,7 +55,7 @@ def test_cutoff_reaches_the_scan_of_declared_timestamps(spark, tmp_path):
 
 
 def test_top_k_needs_no_full_sort(spark):
-    for name in ("revenue_by_state", "top_sellers", "top_categories", "recent_orders", "high_risk_top20"):
+    for name in ("revenue_by_state", "top_sellers", "top_categories", "seller_scorecard", "high_risk_top20"):
         assert "TakeOrderedAndProject" in plan_of(REPORTS[name](spark, SF_DIR)), name
 
 
