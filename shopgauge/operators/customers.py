@@ -271,9 +271,7 @@ def rfm_segment_counts(star: Star, strict: bool = False) -> DataFrame:
 
 def clv_distribution(star: Star) -> DataFrame:
     """Count, mean, exact median, extremes and sample deviation of delivered revenue per person."""
-    people = materialize(
-        sales_by_person(star).select(PERSON, F.col("monetary_cents").alias("cents")), "clv"
-    )
+    people = sales_by_person(star).select(PERSON, F.col("monetary_cents").alias("cents"))
     ranked = with_rank(lay_out(people, ["cents", PERSON]))
     middle = (F.col("rk") * 2 >= F.col("n")) & (F.col("rk") * 2 <= F.col("n") + 2)
     return ranked.agg(

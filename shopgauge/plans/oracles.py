@@ -479,7 +479,8 @@ select uid as customer_unique_id, state as customer_state, frequency, cast(last_
     "review_features": _features("select uid as customer_unique_id, * exclude (uid) from rev"),
     "tenure_and_gap": _features("select uid as customer_unique_id, * exclude (uid) from timing"),
     "churn_label": _features("""
-select uid as customer_unique_id, case when uid in (select uid from back) then 0 else 1 end as is_churned from base"""),
+select uid as customer_unique_id, cast(case when uid in (select uid from back) then 0 else 1 end as bigint) as is_churned
+from base"""),
     "state_encoding": _features("""
 select uid as customer_unique_id, state as customer_state, code as state_encoded
 from first_state join codes using (state)"""),

@@ -203,8 +203,8 @@ def validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A small model and search for the named queries; the operators default to the full ones.
-QUICK = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.1, "subsample": 0.9}
-QUICK_SPACE = {**learning.SEARCH_SPACE, "n_estimators": (4, 8, "int"), "max_depth": (2, 4, "int")}
+QUICK = {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.2, "subsample": 0.9}
+QUICK_SPACE = {**learning.SEARCH_SPACE, "n_estimators": (3, 6, "int"), "max_depth": (2, 3, "int")}
 QUICK_TRIALS = 2
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shopgauge.schema import STAR_SCHEMAS
+from shopgauge.star import Star
+
 # The join and filter keys of the star's tables, as bucketing columns.
 BUCKET_KEYS = {
     "customers": "customer_id",
@@ -30,6 +34,22 @@ def save_as_bucketed_table(df: DataFrame, name: str, buckets: int, if_exists: st
     df.write.mode(_MODES[if_exists]).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
 
 
+def save_star(star: Star, folder: str, if_exists: str = "replace") -> None:
+    """Write the star as Parquet tables.
+
+    Orders are laid out by purchase time, so that time filters skip files and row groups.
+    """
+    for name, df in star.tables().items():
+        if name == "orders":
+            df = df.repartitionByRange("order_purchase_timestamp").sortWithinPartitions("order_purchase_timestamp")
+        df.write.mode(_MODES[if_exists]).parquet(f"{folder}/{name}")
+
+
+def open_star(spark: SparkSession, folder: str) -> Star:
+    """The star written by ``save_star``."""
+    return Star(**{name: partial(spark.read.parquet, f"{folder}/{name}") for name in STAR_SCHEMAS})
+
+
 def run_query(
     spark: SparkSession,
     text: str,

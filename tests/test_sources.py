@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shopgauge import session as sessions
 from shopgauge.schema import STAR_SCHEMAS, TUNED_PARAMETERS
 from shopgauge.sources import csv_star, tables, trial_files
+from shopgauge.star import Star
 
 
 @pytest.fixture
@@ -63,6 +64,20 @@ def test_csv_round_trip(spark, make_star, tmp_path):
     assert sorted(back.orders.collect()) == sorted(star.orders.collect())
 
 
+def test_star_as_tables(spark, make_star, tmp_path):
+    star = make_star(customers=[customer("c1")], orders=[order("o1", "c1", "2024-01-05"), order("o2", "c1", "2023-01-05")])
+    tables.save_star(star, str(tmp_path))
+    back = tables.open_star(spark, str(tmp_path))
+    assert sorted(back.orders.collect()) == sorted(star.orders.collect())
+    assert back.orders.schema == STAR_SCHEMAS["orders"]
+    assert back.customers.count() == 1 and back.sellers.isEmpty()
+
+
+def test_a_star_needs_its_tables(spark):
+    with pytest.raises(ValueError, match="a star has the tables"):
+        Star(orders=spark.range(1))
+
+
 def test_views(spark, make_star):
     make_star(customers=[customer("c1")]).create_views()
     assert tables.run_query(spark, "select customer_id from customers").collect()[0][0] == "c1"
