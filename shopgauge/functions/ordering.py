@@ -16,6 +16,7 @@ from shopgauge.session import materialize
 
 PART, PLACE = "_part", "_place"
 _LOW_BITS = (1 << 33) - 1
+_BROADCAST_ROWS = 1_000_000
 
 
 def lay_out(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
@@ -33,10 +34,20 @@ def lay_out(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = ()
     return materialize(placed, "ordered")
 
 
-def with_rank(laid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _at_most(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as a broadcast side if its bound on rows allows, else as it is."""
+    return F.broadcast(df) if rows <= _BROADCAST_ROWS else df
+
+
+def _most_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_rank(laid: DataFrame, by: Sequence[str] = (), groups: int = 1) -> DataFrame:
     """Add ``rk`` (1..n inside ``by``) and ``n`` to a laid-out table.
 
-    ``by`` must name few groups (metrics, labels): the broadcast side has one row per part and group.
+    The join side has one row per part and group. ``groups`` states how many groups there are at most; while
+    that keeps the side small it is broadcast.
     """
     parts = laid.groupBy(*by, PART).agg(F.min(PLACE).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     group = Window.partitionBy(*by)
@@ -47,7 +58,7 @@ def with_rank(laid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("_rows").over(group).alias("n"),
     )
     return (
-        laid.join(F.broadcast(starts), [*by, PART])
+        laid.join(_at_most(starts, groups * _most_parts(laid)), [*by, PART])
         .withColumn("rk", F.col(PLACE) + F.col("_start"))
         .drop("_start")
     )
@@ -69,7 +80,7 @@ def running(laid: DataFrame, by: Sequence[str], total: str, value: Column, how)
         .select(*by, PART, "_carry")
     )
     local = laid.withColumn(total, how(value).over(inside))
-    joined = local.join(F.broadcast(carry), [*by, PART], "left")
+    joined = local.join(_at_most(carry, _most_parts(laid)), [*by, PART], "left")
     if how is F.sum:
         complete = F.col(total) + F.coalesce(F.col("_carry"), F.lit(0))
     else:

@@ -129,7 +129,7 @@ def _at_ranks(people: DataFrame, metrics: dict[str, Column], ranks: list[int]) -
     One sort by range serves all metrics; what comes back to the driver is one row per metric and rank.
     """
     laid = lay_out(_metric_rows(people, metrics), ["key", PERSON], by=["metric"])
-    wanted = with_rank(laid, ["metric"]).where(F.col("rk").isin(*sorted(set(ranks))))
+    wanted = with_rank(laid, ["metric"], len(metrics)).where(F.col("rk").isin(*sorted(set(ranks))))
     found: dict[str, dict[int, tuple]] = {name: {} for name in metrics}
     for row in wanted.select("metric", "rk", "key", PERSON).collect():
         found[row["metric"]][row["rk"]] = (row["key"], row[PERSON])

@@ -51,7 +51,7 @@ def shuffle_key(seed: int | str) -> Column:
 def _shuffled_within_label(features: DataFrame, seed: int) -> DataFrame:
     """Rows with their random rank ``rk`` and the count ``n`` of their label."""
     keyed = features.withColumn("_key", shuffle_key(seed))
-    return with_rank(lay_out(keyed, ["_key", PERSON], by=[LABEL]), [LABEL])
+    return with_rank(lay_out(keyed, ["_key", PERSON], by=[LABEL]), [LABEL], groups=2)
 
 
 def stratified_split(features: DataFrame, test_percent: int = TEST_PERCENT, seed: int = SEED) -> DataFrame:

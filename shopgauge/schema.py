@@ -9,6 +9,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 _S, _I, _TS, _MONEY = T.StringType(), T.IntegerType(), T.TimestampNTZType(), T.DecimalType(18, 2)
 
+# Tables and columns of the star.
 STAR_SCHEMAS: dict[str, T.StructType] = {
     "customers": _struct(
         ("customer_id", _S), ("customer_unique_id", _S), ("customer_zip_code_prefix", _S),
@@ -34,6 +35,7 @@ STAR_SCHEMAS: dict[str, T.StructType] = {
     "order_reviews": _struct(("review_id", _S), ("order_id", _S), ("review_score", _I)),
 }
 
+# Features of the churn model, in order.
 FEATURES = [
     "frequency", "monetary", "avg_order_value", "avg_installments", "payment_type_count",
     "avg_review_score", "review_count", "tenure_days", "avg_days_between_orders", "state_encoded",
@@ -41,12 +43,14 @@ FEATURES = [
 LABEL = "is_churned"
 PERSON = "customer_unique_id"
 
+# Fields of an experiment record, in order.
 EXPERIMENT_RECORD = [
     "experiment_name", "metric_name", "control_size", "treatment_size", "control_mean", "treatment_mean",
     "absolute_lift", "relative_lift_pct", "test_statistic", "p_value", "ci_lower", "ci_upper",
     "is_significant", "mde", "statistical_power", "test_type",
 ]
 
+# Parameters of a tuning trial.
 TUNED_PARAMETERS = {
     "n_estimators": T.LongType(), "max_depth": T.LongType(), "learning_rate": T.DoubleType(),
     "subsample": T.DoubleType(), "colsample_bytree": T.DoubleType(), "min_child_weight": T.LongType(),

@@ -28,10 +28,12 @@ def write_table(df: DataFrame, path: str, if_exists: str = "replace") -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def save_as_bucketed_table(df: DataFrame, name: str, buckets: int, if_exists: str = "replace") -> None:
+def save_as_bucketed_table(
+    df: DataFrame, name: str, buckets: int, database: str = "default", if_exists: str = "replace"
+) -> None:
     """Catalog table bucketed and sorted by the key it is joined on, so that such joins need no shuffle."""
     key = BUCKET_KEYS[name]
-    df.write.mode(_MODES[if_exists]).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    df.write.mode(_MODES[if_exists]).bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}")
 
 
 def save_star(star: Star, folder: str, if_exists: str = "replace") -> None:

@@ -2,39 +2,16 @@
 
 import re
 
-import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from shopgauge.operators import facts, sales
-from shopgauge.plans import registry
+from shopgauge.operators import churn, facts, sales
 from shopgauge.sources import testdata
+from shopgauge.sources.tables import save_as_bucketed_table
+from shopgauge.star import Star
 
 SF_DIR = "/root/testdata/sf0.001"
-WITH_PYTHON = {"proportion_test", "welch_t_test", "mean_ci", "power_proportion", "power_mean", "experiment_report",
-               "significance_verdict"}
-REPORTS = {**registry.sales_queries(), **registry.customer_queries(), **registry.service_queries(),
-           **registry.churn_queries(), **registry.experiment_queries()}
-
-
-def plan_of(df, mode="formatted"):
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
-
-
-@pytest.mark.parametrize("name", sorted(REPORTS))
-def test_no_cross_join_no_python_and_nothing_unbounded_in_one_task(spark, name):
-    plan = plan_of(REPORTS[name](spark, SF_DIR), "simple")
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-    if name not in WITH_PYTHON:
-        assert "Python" not in plan
-    lines = plan.splitlines()
-    for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line:  # what is gathered comes out of an aggregate or a limit
-            below = " ".join(lines[i + 1 : i + 6])
-            assert "Aggregate" in below or "Limit" in below or "TakeOrdered" in below, below
-
-
 def test_filter_and_columns_reach_the_scan(spark):
     plan = plan_of(contract.queries()["revenue_trend"](spark, SF_DIR))
     assert re.search(r"PushedFilters: \[.*o_orderstatus,F", plan)
@@ -44,9 +21,6 @@ def test_filter_and_columns_reach_the_scan(spark):
 
 
 def test_cutoff_reaches_the_scan_of_declared_timestamps(spark, tmp_path):
-    from shopgauge.operators import churn
-    from shopgauge.star import Star
-
     star = testdata.star(spark, SF_DIR)
     star.orders.write.parquet(str(tmp_path / "orders"))
     tables = {**star.tables(), "orders": spark.read.parquet(str(tmp_path / "orders"))}
@@ -56,7 +30,7 @@ def test_cutoff_reaches_the_scan_of_declared_timestamps(spark, tmp_path):
 
 def test_top_k_needs_no_full_sort(spark):
     for name in ("revenue_by_state", "top_sellers", "top_categories", "seller_scorecard", "high_risk_top20"):
-        assert "TakeOrderedAndProject" in plan_of(REPORTS[name](spark, SF_DIR)), name
+        assert "TakeOrderedAndProject" in plan_of(contract.queries()[name](spark, SF_DIR)), name
 
 
 def test_unused_joins_are_pruned(spark):
@@ -81,8 +55,6 @@ def test_hot_key_of_a_dimension_join_is_split_at_run_time(spark):
         "product_id", F.when(F.col("order_id") % 3 == 0, F.lit(7).cast("bigint")).otherwise(F.col("product_id"))
     )
     tables = {**star.tables(), "order_items": hot.repartition(16)}
-    from shopgauge.star import Star
-
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
@@ -94,6 +66,21 @@ def test_hot_key_of_a_dimension_join_is_split_at_run_time(spark):
             spark.conf.unset(key)
 
 
+def test_bucketed_star_sums_and_joins_orders_without_a_shuffle(spark, tmp_path):
+    star = testdata.star(spark, SF_DIR)
+    spark.sql(f"create database if not exists bucketed location '{tmp_path / 'bucketed.db'}'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = {}
+        for name in ("orders", "order_payments"):
+            save_as_bucketed_table(getattr(star, name), name, 4, database="bucketed")
+            stored[name] = spark.table(f"bucketed.{name}")
+        assert "Exchange" not in plan_of(facts.paid_orders(Star(**{**star.tables(), **stored})))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop database bucketed cascade")
+
+
 def test_hot_order_collapses_before_the_shuffle(spark):
     """Payments are summed on the map side: the exchange sits above a partial aggregate."""
     plan = plan_of(facts.payments_by_order(testdata.star(spark, SF_DIR)), "simple")

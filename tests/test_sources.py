@@ -105,23 +105,6 @@ def test_run_query_with_positions_names_and_frames(spark):
     assert tables.run_query(spark, "select 1 as v").first().v == 1
 
 
-def test_bucketed_tables_join_without_a_shuffle(spark, make_star, tmp_path):
-    star = make_star(orders=[order(f"o{i}", "c", "2024-01-05") for i in range(20)])
-    spark.sql("create database if not exists shop location '" + str(tmp_path / "shop.db") + "'")
-    spark.sql("use shop")
-    try:
-        tables.save_as_bucketed_table(star.orders, "orders", 4)
-        tables.save_as_bucketed_table(star.order_payments, "order_payments", 4)
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        joined = spark.table("shop.orders").join(spark.table("shop.order_payments"), "order_id")
-        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.sql("drop table if exists shop.orders")
-        spark.sql("drop table if exists shop.order_payments")
-        spark.sql("use default")
-
-
 def test_tuning_history_as_one_json_array(spark, tmp_path):
     params = {name: i + 1 for i, name in enumerate(TUNED_PARAMETERS)}
     trials = [
