@@ -37,8 +37,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = c * d
             value *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"the continued fraction for {a}, {b}, {x} does not converge")
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
@@ -54,10 +54,20 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
+# Degrees of freedom from which the law is taken as an expansion around the normal one.
+_NEARLY_NORMAL = 1e6
+
+
 def t_two_sided(t: float, df: float) -> float:
     """P(|T| >= |t|)."""
     if df <= 0 or math.isnan(t) or math.isnan(df):
         return math.nan
+    if df > _NEARLY_NORMAL:
+        # The law as an expansion in 1/df around the normal one; the next term is below 1e-15 here.
+        t = min(abs(t), 40.0)  # both tails are 0 in double precision from there on
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        terms = (t**3 + t) / (4 * df) + t * (3 * t**6 - 7 * t**4 - 5 * t**2 - 3) / (96 * df**2)
+        return math.erfc(t / math.sqrt(2)) + 2 * density * terms
     return _incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import logging
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shopgauge.functions.columns import cents, money, safe_ratio, whole_days
+from shopgauge.functions.ordering import lay_out, with_rank
 from shopgauge.operators.facts import delivered
 from shopgauge.schema import FEATURES, LABEL, PERSON
 from shopgauge.session import materialize
 from shopgauge.star import Star
 
+log = logging.getLogger(__name__)
+
 WINDOW_DAYS = 90
 NO_GAP_DAYS = 365.0
 NO_REVIEW_SCORE = 3.0
@@ -45,62 +47,54 @@ def require_observations(star: Star, window_days: int = WINDOW_DAYS) -> None:
         raise ValueError("no orders in the observation window: check the order dates")
 
 
-@dataclass(frozen=True)
-class TypeSets:
-    """How the payment types of an order, a session and a person are gathered and counted."""
-
-    of_row: Callable[[], Column]
-    first: Callable[[Column], Column]
-    merge: Callable[[Column], Column]
-    count: Callable[[Column], Column]
+def payment_types_by_person(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
+    """Number of distinct payment types of each person in the observation window.
 
-
-_MASK_BITS = 63
+    Types collapse per order, per session and per person in hash aggregates; their number needs no bound.
+    """
+    seen = delivered(star).where(F.col("order_purchase_timestamp") <= cutoff(star, window_days)).select("order_id", "customer_id")
+    kinds = star.order_payments.where(F.col("payment_type").isNotNull()).select("order_id", "payment_type").distinct()
+    people = star.customers.select("customer_id", PERSON).where(F.col(PERSON).isNotNull())
+    sessions = kinds.join(seen, "order_id").select("customer_id", "payment_type").distinct()
+    return (
+        sessions.join(people, "customer_id").select(PERSON, "payment_type").distinct()
+        .groupBy(PERSON).agg(F.count(F.lit(1)).alias("type_count"))
+    )
 
 
-def type_sets(star: Star) -> TypeSets:
-    """Bits of one integer while the types fit it, which keeps the sums in fixed-size buffers; else real sets.
+def first_states(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
+    """The state of the session that ordered first and has a state (ties by session id), per person.
 
-    Payment types are few, but that is looked up: at most one more than fit are fetched.
+    A branch of its own, so that the sums of ``person_facts`` stay in hash aggregation: the first time of a person,
+    the smallest session of that time, and that session's state.
     """
-    kinds = star.order_payments.where(F.col("payment_type").isNotNull()).select("payment_type").distinct()
-    names = sorted(row[0] for row in kinds.limit(_MASK_BITS + 1).collect())
-    if len(names) > _MASK_BITS:
-        return TypeSets(
-            of_row=lambda: F.col("payment_type"),
-            first=F.collect_set,
-            merge=lambda sets: F.array_distinct(F.flatten(F.collect_set(sets))),
-            count=F.size,
-        )
-
-    def bit() -> Column:
-        pairs = [F.when(F.col("payment_type") == name, F.lit(1 << i).cast("bigint")) for i, name in enumerate(names)]
-        return F.coalesce(*pairs, F.lit(0).cast("bigint"))
-
-    return TypeSets(
-        of_row=bit, first=F.bit_or, merge=F.bit_or, count=lambda mask: F.bit_count(F.coalesce(mask, F.lit(0)))
+    ts = "order_purchase_timestamp"
+    seen = delivered(star).where(F.col(ts) <= cutoff(star, window_days))
+    people = star.customers.select("customer_id", PERSON, "customer_state").where(
+        F.col(PERSON).isNotNull() & F.col("customer_state").isNotNull()
     )
+    sessions = seen.groupBy("customer_id").agg(F.min(ts).alias("first_ts")).join(people, "customer_id")
+    first = sessions.groupBy(PERSON).agg(F.min("first_ts").alias("first_ts"))
+    chosen = sessions.join(first, [PERSON, "first_ts"]).groupBy(PERSON).agg(F.min("customer_id").alias("customer_id"))
+    return people.join(chosen, [PERSON, "customer_id"]).select(PERSON, "customer_state")
 
 
-def person_facts(star: Star, window_days: int = WINDOW_DAYS, payment_types: bool = False) -> DataFrame:
-    """Everything the features need, one row per person seen in the observation window, in one pass.
+def person_facts(
+    star: Star, window_days: int = WINDOW_DAYS, payment_types: bool = False, states: bool = False
+) -> DataFrame:
+    """Everything the features need, one row per person seen in the observation window.
 
     Payments and reviews are summed per order before they meet the orders, orders per session before they meet
     the customers. Orders of the prediction window go along only to tell who came back. What a caller does not
-    select is pruned from the plan, down to the joins; ``payment_types`` adds their count, for which their
-    domain is looked up first.
-
-    The state is the one of the session that ordered first and has a state (ties by session id).
+    select is pruned from the plan, down to the joins; ``payment_types`` and ``states`` add branches of their own.
     """
     ts = "order_purchase_timestamp"
-    kinds = type_sets(star) if payment_types else None
     orders = delivered(star).select("order_id", "customer_id", ts, (F.col(ts) <= cutoff(star, window_days)).alias("seen"))
     payments = star.order_payments.groupBy("order_id").agg(
         F.sum(cents("payment_value")).alias("paid_cents"),
         F.count("payment_value").alias("paid_values"),
         F.sum(F.col("payment_installments").cast("bigint")).alias("installments"),
         F.count("payment_installments").alias("installment_values"),
-        *([kinds.first(kinds.of_row()).alias("types")] if kinds else []),
     )
     reviews = star.order_reviews.groupBy("order_id").agg(
         F.sum("review_score").alias("score_sum"), F.count("review_score").alias("scores")
@@ -119,33 +113,31 @@ def person_facts(star: Star, window_days: int = WINDOW_DAYS, payment_types: bool
             F.min(seen(ts)).alias("first_ts"),
             F.max(seen(ts)).alias("last_ts"),
             *[F.sum(seen(name)).alias(name) for name in sums],
-            *([kinds.merge(seen("types")).alias("types")] if kinds else []),
             F.max(~F.col("seen")).alias("came_back"),
         )
     )
-    earliest = F.when(
-        F.col("customer_state").isNotNull() & F.col("first_ts").isNotNull(), F.struct("first_ts", "customer_id")
-    )
-    return (
-        sessions.join(star.customers.select("customer_id", PERSON, "customer_state"), "customer_id")
+    facts = (
+        sessions.join(star.customers.select("customer_id", PERSON), "customer_id")
         .where(F.col(PERSON).isNotNull())
         .groupBy(PERSON)
         .agg(
-            F.min_by("customer_state", earliest).alias("customer_state"),
             F.sum("orders").alias("frequency"),
             F.max("last_ts").alias("last_obs_purchase"),
             F.min("first_ts").alias("first_purchase"),
             *[F.sum(name).alias(name) for name in sums],
-            *([kinds.count(kinds.merge(F.col("types"))).cast("bigint").alias("type_count")] if kinds else []),
             F.max("came_back").alias("came_back"),
         )
         .where(F.col("frequency") > 0)
     )
+    if payment_types:
+        kinds = payment_types_by_person(star, window_days)
+        facts = facts.join(kinds, PERSON, "left").withColumn("type_count", F.coalesce("type_count", F.lit(0).cast("bigint")))
+    return facts.join(first_states(star, window_days), PERSON, "left") if states else facts
 
 
 def order_features(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
     """Per person: state, orders, last and first purchase of the observation window."""
-    return person_facts(star, window_days).select(
+    return person_facts(star, window_days, states=True).select(
         PERSON, "customer_state", "frequency", "last_obs_purchase", "first_purchase"
     )
 
@@ -212,11 +204,13 @@ def churn_label(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
 def with_state_code(people: DataFrame) -> DataFrame:
     """Position of the state among the sorted states of these persons; -1 without a state.
 
-    ``people`` is read twice, so it should be written. The sorted states are one small array value.
+    ``people`` is read twice, so it should be written. The distinct states are ranked as rows and joined back, by
+    broadcast if Spark finds them small.
     """
-    states = people.agg(F.array_sort(F.collect_set("customer_state")).alias("states")).scalar()
-    code = F.coalesce(F.array_position(states, F.col("customer_state")) - 1, F.lit(-1))
-    return people.withColumn("state_encoded", code.cast("bigint"))
+    states = people.where(F.col("customer_state").isNotNull()).select("customer_state").distinct()
+    codes = with_rank(lay_out(states, ["customer_state"])).select("customer_state", (F.col("rk") - 1).alias("_code"))
+    code = F.coalesce("_code", F.lit(-1)).cast("bigint")
+    return people.join(codes, "customer_state", "left").withColumn("state_encoded", code).select(*people.columns, "state_encoded")
 
 
 def state_encoding(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
@@ -227,13 +221,19 @@ def state_encoding(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
 def churn_features(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
     """Ten features from the observation window and the label; rows with a missing value are left out.
 
-    The person's key is kept beside them.
+    The person's key is kept beside them. An empty observation window is an error; a churn rate outside the
+    plausible band is logged.
     """
-    facts = person_facts(star, window_days, payment_types=True)
+    require_observations(star, window_days)
+    facts = person_facts(star, window_days, payment_types=True, states=True)
     people = with_label(with_tenure_and_gap(with_review_features(with_payment_features(facts))))
     kept = [PERSON, "customer_state", *[name for name in FEATURES if name != "state_encoded"], LABEL]
     written = materialize(people.select(*kept), "features")
-    return with_state_code(written).select(PERSON, *FEATURES, LABEL).dropna()
+    complete = with_state_code(written).select(PERSON, *FEATURES, LABEL).dropna()
+    rate = churn_rate_check(written.dropna(subset=[c for c in kept if c != "customer_state"])).head()
+    if rate and rate["customers"] and not rate["in_band"]:
+        log.warning("a churn rate of %s %% is outside the plausible band", rate["churn_rate_pct"])
+    return complete
 
 
 def churn_rate_check(features: DataFrame, low: float = 10.0, high: float = 50.0) -> DataFrame:

@@ -19,10 +19,10 @@ def _cohort_counts(star: Star) -> DataFrame:
 
     A person has each month once here, so counting rows counts persons.
     """
-    first = F.col("months")[0]
+    months = active_months(star)
+    first = months.groupBy(PERSON).agg(F.min("month").alias("cohort"))
     return (
-        active_months(star)
-        .select(first.alias("cohort"), F.explode("months").alias("month"))
+        months.join(first, PERSON)
         .groupBy("cohort", (F.col("month") - F.col("cohort")).cast("bigint").alias("month_offset"))
         .agg(F.count(F.lit(1)).alias("active_customers"))
         .select(month_start("cohort").alias("cohort_month"), "month_offset", "active_customers")
@@ -97,18 +97,13 @@ def repeat_purchase_rate(star: Star) -> DataFrame:
 
 
 def monthly_retention(star: Star) -> DataFrame:
-    """Persons active in a month and those active again in the next one.
-
-    Both are read off the person's own months, without a self-join on person and month.
-    """
-    visits = F.transform(
-        "months", lambda m: F.struct(m.alias("month"), F.array_contains("months", m + 1).alias("returned"))
-    )
+    """Persons active in a month and those active again in the next one."""
+    months = active_months(star)
+    again = months.select(PERSON, (F.col("month") - 1).alias("month"), F.lit(True).alias("returned"))
     return (
-        active_months(star)
-        .select(F.inline(visits))
+        months.join(again, [PERSON, "month"], "left")
         .groupBy("month")
-        .agg(F.count(F.lit(1)).alias("active_count"), F.count_if("returned").alias("retained_count"))
+        .agg(F.count(F.lit(1)).alias("active_count"), F.count("returned").alias("retained_count"))
         .select(
             month_start("month").alias("active_month"), "active_count", "retained_count",
             percent("retained_count", "active_count").alias("retention_rate_pct"),

@@ -204,20 +204,22 @@ def experiment_report(rate_units: DataFrame, value_units: DataFrame, confidence:
     return proportion_report(rate_units, confidence).unionByName(mean_report(value_units, confidence))
 
 
-# Verdict texts.
-REJECTED = "We reject H\u2080 \u2014 the treatment effect is statistically significant at \u03b1=0.05. The {}% lift is real."
+# Verdict texts; the first place is the significance level, the second the lift.
+REJECTED = "We reject H₀ — the treatment effect is statistically significant at α={}. The {}% lift is real."
 NOT_REJECTED = (
-    "We fail to reject H\u2080 \u2014 insufficient evidence at \u03b1=0.05. "
+    "We fail to reject H₀ — insufficient evidence at α={}. "
     "The observed lift of {}% may be due to chance."
 )
 
 
-def significance_verdict(report: DataFrame) -> DataFrame:
+def significance_verdict(report: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """A sentence per record; ``confidence`` is that of the report."""
     shown = F.regexp_replace(F.col("relative_lift_pct").cast("string"), r"\.0$", "")
+    level = format(round(1 - confidence, 10), "g")
 
     def sentence(text: str) -> Column:
-        before, after = text.split("{}")
-        return F.concat(F.lit(before), shown, F.lit(after))
+        before, between, after = text.split("{}")
+        return F.concat(F.lit(before + level + between), shown, F.lit(after))
 
     return report.select(
         "experiment_name", "is_significant",

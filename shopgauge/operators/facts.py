@@ -61,44 +61,14 @@ def sales_by_person(star: Star) -> DataFrame:
     )
 
 
-_MASK_MONTHS = 63
-
-
 def active_months(star: Star) -> DataFrame:
-    """Each person's months with delivered orders, ascending, as an array of month numbers.
+    """Each person's months with delivered orders, as (customer_unique_id, month) rows, each once.
 
-    The months seen are bits of a few integers, so a session and a person are aggregated in fixed-size buffers
-    with one shuffle each, however many orders they hold. The span of the calendar is looked up first.
+    Orders collapse to the months of a session before they meet the customers, and these to the months of a person.
     """
-    orders = delivered(star).select("customer_id", month_number("order_purchase_timestamp").alias("month"))
-    first, last = orders.agg(F.min("month"), F.max("month")).first()
-    people = star.customers.select("customer_id", "customer_unique_id")
-    if first is None:
-        return people.select("customer_unique_id", F.array().cast("array<int>").alias("months")).limit(0)
-    starts = range(first, last + 1, _MASK_MONTHS)
-
-    def bit(start: int) -> Column:
-        place = F.col("month") - start
-        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
-        return F.when(place.between(0, _MASK_MONTHS - 1), one)
-
-    def months(i: int, start: int) -> Column:
-        end = min(start + _MASK_MONTHS - 1, last)
-        mask = F.coalesce(F.col(f"mask{i}"), F.lit(0).cast("bigint"))
-        return F.filter(F.sequence(F.lit(start), F.lit(end)), lambda m: F.getbit(mask, m - start) == 1)
-
-    sessions = orders.groupBy("customer_id").agg(
-        *[F.bit_or(bit(start)).alias(f"mask{i}") for i, start in enumerate(starts)]
-    )
-    persons = (
-        sessions.join(people, "customer_id")
-        .where(F.col("customer_unique_id").isNotNull())
-        .groupBy("customer_unique_id")
-        .agg(*[F.bit_or(f"mask{i}").alias(f"mask{i}") for i in range(len(starts))])
-    )
-    return persons.select(
-        "customer_unique_id", F.concat(*[months(i, start) for i, start in enumerate(starts)]).alias("months")
-    )
+    months = delivered(star).select("customer_id", month_number("order_purchase_timestamp").alias("month")).distinct()
+    people = star.customers.select("customer_id", "customer_unique_id").where(F.col("customer_unique_id").isNotNull())
+    return months.join(people, "customer_id").select("customer_unique_id", "month").distinct()
 
 
 def with_category(rows: DataFrame, star: Star) -> DataFrame:

@@ -117,23 +117,25 @@ def _weighted(rows: DataFrame, column: str, positive_weight: float) -> DataFrame
     return rows.withColumn(column, F.when(F.col(LABEL) == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0)))
 
 
-_ROWS_PER_PART = 20000
+# Tasks of a fit. Row sampling while boosting depends on them, so they are a parameter of the caller, larger for more
+# persons, and follow neither the session's settings nor the number of rows.
+PARTS = 4
 
 
-def _in_fixed_order(rows: DataFrame, n: int) -> DataFrame:
+def _in_fixed_order(rows: DataFrame, parts: int) -> DataFrame:
     """The same rows in the same tasks at every run: row sampling while boosting depends on that."""
-    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(most, n // _ROWS_PER_PART))
     return rows.repartition(parts, PERSON).sortWithinPartitions(PERSON)
 
 
-def train(train_rows: DataFrame, test_rows: DataFrame, params: dict[str, float] | None = None) -> ChurnModel:
+def train(
+    train_rows: DataFrame, test_rows: DataFrame, params: dict[str, float] | None = None, parts: int = PARTS
+) -> ChurnModel:
     """Fit on the training rows and measure on the test rows."""
     params = params or {}
     n = train_rows.count()
     names = [c for c in train_rows.columns if c in FEATURES]
     steps = Pipeline(stages=[_assembler(names), estimator(params, n, weight="weight")])
-    fitted = steps.fit(_weighted(_in_fixed_order(train_rows, n), "weight", params.get("scale_pos_weight", 1.0)))
+    fitted = steps.fit(_weighted(_in_fixed_order(train_rows, parts), "weight", params.get("scale_pos_weight", 1.0)))
     model = ChurnModel(fitted, names, params=dict(params))
     scored = materialize(model.score(test_rows).select(LABEL, "probability"), "scored")
     model.metrics = binary_metrics(scored, LABEL, "probability").first().asDict()
@@ -159,7 +161,7 @@ def sample_params(count: int, space: dict[str, tuple[float, float, str]] | None
 
 def tune(
     train_rows: DataFrame, count: int, space: dict | None = None, folds: int = FOLDS, seed: int = SEED,
-    parallelism: int = 4,
+    parallelism: int = 4, parts: int = PARTS,
 ) -> tuple[list[dict], dict]:
     """Mean cross-validated ROC-AUC of random parameter points; returns the trials and the best point.
 
@@ -169,7 +171,7 @@ def tune(
     points = sample_params(count, space, seed)
     names = [c for c in train_rows.columns if c in FEATURES]
     n = train_rows.count()
-    folded = _in_fixed_order(stratified_folds(train_rows, folds, seed), n)
+    folded = _in_fixed_order(stratified_folds(train_rows, folds, seed), parts)
     rows = _assembler(names).transform(folded).select("features", LABEL, "fold")
     for i, point in enumerate(points):
         rows = _weighted(rows, f"w{i}", point.get("scale_pos_weight", 1.0))

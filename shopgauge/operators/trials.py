@@ -19,7 +19,11 @@ def trial_running_max(trials: DataFrame, by: Sequence[str] = ("study",)) -> Data
 
 def best_trial(trials: DataFrame, by: Sequence[str] = ("study",)) -> DataFrame:
     """The trial with the highest value, the earliest one on ties; a missing value counts as 0."""
-    key = F.struct(F.coalesce("value", F.lit(0.0)), -F.col("number"))
-    return trials.groupBy(*by).agg(
-        F.max_by("number", key).alias("number"), F.max_by("value", key).alias("value")
+    by = list(by)
+    score = F.coalesce("value", F.lit(0.0))
+    highest = trials.groupBy(*by).agg(F.max(score).alias("_highest"))
+    return (
+        trials.join(highest, by).where(score == F.col("_highest"))
+        .groupBy(*by)
+        .agg(F.min("number").alias("number"), F.min_by("value", "number").alias("value"))
     )

@@ -340,14 +340,16 @@ where rk <= (n * 20 + 99) // 100 group by n, total"""),
 
 SOURCES = {
     "load_star": _with("""
-select 'customers' as table_name, count(*) as row_count, count(*) as keyed_rows from g_customers
-union all select 'orders', count(*), count(*) from g_orders
-union all select 'sellers', count(*), count(*) from g_sellers
-union all select 'products', count(*), count(*) from g_products
-union all select 'category_translation', count(*), count(*) from g_cat
-union all select 'order_items', count(*), count(*) from g_items
-union all select 'order_payments', count(*), count(*) from g_payments
-union all select 'order_reviews', count(*), count(*) from g_reviews"""),
+select table_name, row_count, row_count as keyed_rows, cast(value_sum as bigint) as value_sum from (
+  select 'customers' as table_name, count(*) as row_count, count(customer_state) as value_sum from g_customers
+  union all select 'orders', count(*), sum(date_diff('day', date '1970-01-01', cast(order_purchase_timestamp as date))
+    + coalesce(date_diff('day', date '1970-01-01', cast(order_delivered_customer_date as date)), 0)) from g_orders
+  union all select 'sellers', count(*), count(seller_state) from g_sellers
+  union all select 'products', count(*), count(product_category_name) from g_products
+  union all select 'category_translation', count(*), count(product_category_name_english) from g_cat
+  union all select 'order_items', count(*), sum(cents) from g_items
+  union all select 'order_payments', count(*), sum(cents + payment_installments) from g_payments
+  union all select 'order_reviews', count(*), sum(review_score) from g_reviews)"""),
     "normalize_headers": _with("select order_id, payment_type from g_payments"),
     "parse_timestamps": _with("""
 select order_id, cast(order_purchase_timestamp as varchar) as purchased,
@@ -530,6 +532,7 @@ select customer_unique_id, is_churned,
        case when rk <= (2 * n * 20 + 100) // 200 then 'test' else 'train' end as part from shuffled""", _SHUFFLED),
     "stratified_folds": _features("""
 select customer_unique_id, is_churned, (rk - 1) % 3 as fold from shuffled""", _SHUFFLED),
+    "save_load_model": _features("select count(*) as compared, cast(0 as bigint) as different from features"),
     "trial_running_max": """
 select user_id as study, event_id as number,
        greatest(0.0, max(case when event_type <> 'error' then value / 1000 else 0.0 end)

@@ -7,6 +7,7 @@ from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from shopgauge.functions.columns import cents
 from shopgauge.operators import (
     churn, customers, experiments, learning, model_metrics, sales, scoring, service, trials,
 )
@@ -96,12 +97,32 @@ def source_queries() -> dict[str, Query]:
 
 
 def load_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The star written as CSV files, read back by table name, counted."""
+    """The star written as CSV files and read back by table name: rows, keys and the sum of one column of values.
+
+    The values are days of purchase and of delivery, whole cents, installments and scores; names count as rows.
+    """
     folder = scratch_path(spark, "csv")
     csv_star.save_star_csv(testdata.star(spark, sf_dir), folder)
+
+    def days(name: str):
+        return F.coalesce(F.date_diff(F.col(name), F.lit("1970-01-01").cast("date")), F.lit(0))
+
+    values = {
+        "orders": days("order_purchase_timestamp") + days("order_delivered_customer_date"),
+        "order_items": cents("price"),
+        "order_payments": cents("payment_value") + F.col("payment_installments"),
+        "order_reviews": F.col("review_score"),
+        "customers": F.col("customer_state").isNotNull().cast("int"),
+        "sellers": F.col("seller_state").isNotNull().cast("int"),
+        "products": F.col("product_category_name").isNotNull().cast("int"),
+        "category_translation": F.col("product_category_name_english").isNotNull().cast("int"),
+    }
     counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count"), F.count(df.columns[0]).alias("keyed_rows"))
-        .select(F.lit(name).alias("table_name"), "row_count", "keyed_rows")
+        df.agg(
+            F.count(F.lit(1)).alias("row_count"), F.count(df.columns[0]).alias("keyed_rows"),
+            F.sum(values[name].cast("bigint")).alias("value_sum"),
+        )
+        .select(F.lit(name).alias("table_name"), "row_count", "keyed_rows", "value_sum")
         for name, df in csv_star.load_star(spark, folder).tables().items()
     ]
     return reduce(DataFrame.unionByName, counts)
@@ -202,61 +223,70 @@ def validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.withColumn("violations", F.array_join("violations", "; "))
 
 
-# A small model and search for the named queries; the operators default to the full ones.
-QUICK = {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.2, "subsample": 0.9}
-QUICK_SPACE = {**learning.SEARCH_SPACE, "n_estimators": (3, 6, "int"), "max_depth": (2, 3, "int")}
-QUICK_TRIALS = 2
+# Trials of the named tuning queries: points of the whole search space. A caller chooses its own number.
+TRIALS = 2
 
 
-def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All persons, and those to train and to test on."""
     split = materialize(learning.stratified_split(features(spark, sf_dir)), "split")
     train, test = (split.where(F.col("part") == part).drop("part") for part in ("train", "test"))
-    return train, test
+    return split.drop("part"), train, test
+
+
+_fitted: dict[tuple[str, str], tuple[learning.ChurnModel, DataFrame, DataFrame]] = {}
 
 
-def _model(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame]:
-    train, test = _split(spark, sf_dir)
-    return learning.train(train, test, QUICK), test
+def _fit(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame, DataFrame]:
+    """The model with default parameters, all persons and the test part; kept for the session's other queries."""
+    people, train, test = _split(spark, sf_dir)
+    _fitted[spark.sparkContext.applicationId, sf_dir] = learning.train(train, test), people, test
+    return _fitted[spark.sparkContext.applicationId, sf_dir]
+
+
+def _model(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame, DataFrame]:
+    return _fitted.get((spark.sparkContext.applicationId, sf_dir)) or _fit(spark, sf_dir)
 
 
 def train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _model(spark, sf_dir)
+    model, _, _ = _fit(spark, sf_dir)
     return spark.createDataFrame(
         [(name, float(value)) for name, value in model.metrics.items()], "metric string, value double"
     )
 
 
 def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = _split(spark, sf_dir)
-    trials, _ = learning.tune(train, QUICK_TRIALS, QUICK_SPACE)
+    _, train, _ = _split(spark, sf_dir)
+    trials, _ = learning.tune(train, TRIALS)
     frame = learning.trials_frame(spark, trials)
-    return frame.select("number", "value", *[F.col("params")[name].alias(name) for name in QUICK_SPACE], "state")
+    return frame.select("number", "value", *[F.col("params")[name].alias(name) for name in learning.SEARCH_SPACE], "state")
 
 
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _model(spark, sf_dir)
+    model, _, _ = _model(spark, sf_dir)
     return learning.feature_importance(spark, model)
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.permutation_importance(*_model(spark, sf_dir))
+    model, _, test = _model(spark, sf_dir)
+    return learning.permutation_importance(model, test)
 
 
 def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the model as fitted and as stored and read back."""
-    model, test = _model(spark, sf_dir)
+    """Scores of all persons by the model as fitted and as stored and read back."""
+    model, people, _ = _model(spark, sf_dir)
     path = scratch_path(spark, "model")
     learning.save_model(model, path)
     loaded = learning.load_model(path)
-    before = model.score(test).select(PERSON, F.col("probability").alias("fitted"))
-    after = loaded.score(test).select(PERSON, F.col("probability").alias("loaded"))
+    before = model.score(people).select(PERSON, F.col("probability").alias("fitted"))
+    after = loaded.score(people).select(PERSON, F.col("probability").alias("loaded"))
     return before.join(after, PERSON).agg(
         F.count(F.lit(1)).alias("compared"), F.count_if(F.col("fitted") != F.col("loaded")).alias("different")
     )
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _model(spark, sf_dir)
+    model, _, _ = _model(spark, sf_dir)
     path = scratch_path(spark, "runs")
     learning.log_run(spark, model, path)
     runs = learning.read_runs(spark, path)
@@ -264,18 +294,32 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def churn_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = learning.churn_training(features(spark, sf_dir), scratch_path(spark, "training"), QUICK_TRIALS, QUICK_SPACE)
+    run = learning.churn_training(features(spark, sf_dir), scratch_path(spark, "training"), TRIALS)
     return run.importance
 
 
 def model_high_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, test = _model(spark, sf_dir)
-    return scoring.high_risk(model.score(test))
+    model, people, _ = _model(spark, sf_dir)
+    return scoring.high_risk(model.score(people))
 
 
 def model_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, test = _model(spark, sf_dir)
-    return scoring.batch_score(model.score(test))
+    model, people, _ = _model(spark, sf_dir)
+    return scoring.batch_score(model.score(people))
+
+
+def model_risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, people, _ = _model(spark, sf_dir)
+    return scoring.risk_histogram(model.score(people))
+
+
+def validated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scoring request: accepted ones with the model's answer, rejected ones with their faults."""
+    model, _, _ = _model(spark, sf_dir)
+    accepted, rejected = churn.split_requests(testdata.request_rows(features(spark, sf_dir)))
+    answers = scoring.batch_score(model.score(accepted))
+    faults = rejected.select(PERSON, F.array_join("violations", "; ").alias("violations"))
+    return answers.unionByName(faults, allowMissingColumns=True)
 
 
 def learning_queries() -> dict[str, Query]:
@@ -295,6 +339,8 @@ def learning_queries() -> dict[str, Query]:
         "churn_training": churn_training,
         "model_high_risk": model_high_risk,
         "model_batch_score": model_batch_score,
+        "model_risk_histogram": model_risk_histogram,
+        "validated_scores": validated_scores,
         "trial_running_max": lambda spark, sf_dir: trials.trial_running_max(testdata.trials(spark, sf_dir)),
         "best_trial": lambda spark, sf_dir: trials.best_trial(testdata.trials(spark, sf_dir)),
     }

@@ -12,7 +12,10 @@ from shopgauge.star import Star
 log = logging.getLogger(__name__)
 
 STRICT_TIMES = {"order_purchase_timestamp"}
-# The file names a star folder may use for a table; {} is the table's short name.
+# Columns that no operator reads; a file may lack them, and they are null then.
+DESCRIPTIVE = {"customer_zip_code_prefix", "customer_city", "seller_zip_code_prefix", "seller_city", "review_id", "payment_sequential"}
+# The file names a star folder may use for a table; {} is the table's short name. A name without a
+# prefix is taken before one with a prefix.
 FILE_PATTERNS = ["{}.csv", "*_{}_dataset.csv", "*_{}.csv"]
 FILE_STEMS = {"category_translation": "category_name_translation"}
 
@@ -35,7 +38,10 @@ def lenient_timestamp(text: Column) -> Column:
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Text columns to the table's types; columns the file lacks are null, further ones are dropped."""
+    """Text columns to the table's types; further columns are dropped, a missing one is an error."""
+    missing = [name for name in schema.fieldNames() if name not in df.columns and name not in DESCRIPTIVE]
+    if missing:
+        raise ValueError(f"the file has no column {', '.join(missing)}; it has {', '.join(df.columns)}")
 
     def convert(field: T.StructField) -> Column:
         if field.name not in df.columns:
@@ -51,17 +57,22 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[convert(field) for field in schema.fields])
 
 
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, as the file system of the path lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(status.getPath().toString() for status in found or [])
+
+
 def _locate(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The one file of a table; several that could be meant are an error."""
     stem = FILE_STEMS.get(name, name)
     for pattern in [f"{name}.csv", *[p.format(stem) for p in FILE_PATTERNS]]:
-        path = f"{folder.rstrip('/')}/{pattern}"
-        try:
-            spark.read.text(path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                continue
-            raise
-        return path
+        found = _matches(spark, f"{folder.rstrip('/')}/{pattern}")
+        if len(found) > 1:
+            raise ValueError(f"several files may be the table {name}: {', '.join(found)}; name one with files=")
+        if found:
+            return found[0]
     return None
 
 

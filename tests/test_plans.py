@@ -40,6 +40,13 @@ def test_unused_joins_are_pruned(spark):
     assert "review_score" not in label and "o_totalprice" not in label
 
 
+def test_features_hash_their_sums_and_collect_no_sets(spark):
+    star = testdata.star(spark, SF_DIR)
+    for facts_of in (churn.person_facts(star, payment_types=True), churn.first_states(star), churn.order_features(star)):
+        plan = plan_of(facts_of, "simple")
+        assert "SortAggregate" not in plan and "collect_set" not in plan
+
+
 def test_hot_key_of_a_dimension_join_is_split_at_run_time(spark):
     """Items of one product fill a third of the table; the join with products splits its partition."""
     settings = {

@@ -195,3 +195,13 @@ def test_late_orders_review_worse(make_star):
         order_reviews=[review("r1", "o1", 2), review("r2", "o2", 5), review("r3", "o2", 4)],
     )
     assert tuple(service.late_vs_review(star).first()) == (4.5, 2.0, 2.5)
+
+
+def test_a_date_far_off_makes_no_wider_plan(make_star):
+    star = make_star(
+        customers=[customer("c1", "u1"), customer("c2", "u1")],
+        orders=[order("o1", "c1", "1995-12-05"), order("o2", "c2", "9999-12-31"), order("o3", "c1", "1996-01-01")],
+    )
+    got = rows(customers.monthly_retention(star), "active_month", "active_count", "retained_count")
+    assert got == [(dt.date(1995, 12, 1), 1, 1), (dt.date(1996, 1, 1), 1, 0), (dt.date(9999, 12, 1), 1, 0)]
+    assert [r.month_offset for r in customers.cohort_retention_counts(star).collect()] == [0, 1, 12 * 8004]

@@ -49,11 +49,26 @@ def test_star_from_csv(spark, folder, caplog):
 
 
 def test_bad_purchase_time_is_an_error(spark, tmp_path):
-    (tmp_path / "orders.csv").write_text("order_id,order_purchase_timestamp\no1,yesterday\n")
+    names = "order_id,customer_id,order_purchase_timestamp,order_status,order_delivered_customer_date,order_estimated_delivery_date"
+    (tmp_path / "orders.csv").write_text(f"{names}\no1,c1,yesterday,delivered,,\n")
     with pytest.raises(Exception, match="not a timestamp: yesterday"):
         csv_star.load_star(spark, str(tmp_path)).orders.collect()
 
 
+def test_two_files_of_one_table_are_an_error(spark, folder, tmp_path):
+    (tmp_path / "returned_orders_dataset.csv").write_text((tmp_path / "shop_orders_dataset.csv").read_text())
+    with pytest.raises(ValueError, match="several files may be the table orders"):
+        csv_star.load_star(spark, folder)
+    star = csv_star.load_star(spark, folder, files={"orders": f"{folder}/shop_orders_dataset.csv"})
+    assert star.orders.count() == 2
+
+
+def test_a_missing_column_is_an_error(spark, tmp_path):
+    (tmp_path / "order_payments.csv").write_text("order_id,payment_sequential,payment_type,payment_installments,value\no1,1,x,1,9.00\n")
+    with pytest.raises(ValueError, match="no column payment_value"):
+        csv_star.load_star(spark, str(tmp_path))
+
+
 def test_csv_round_trip(spark, make_star, tmp_path):
     star = make_star(
         customers=[customer("c1")],
