@@ -14,7 +14,15 @@ def _col(c: Column | str) -> Column:
 
 
 def cents(amount: Column | str) -> Column:
-    return F.rint(_col(amount).cast("double") * 100).cast("bigint")
+    """Whole cents of an amount; an amount with a part of a cent is an error, as sums of rounded parts would be wrong.
+
+    What a double may miss of a whole cent is allowed for: a millionth of a cent and a few of the amount's last bits.
+    """
+    scaled = _col(amount).cast("double") * 100
+    whole = F.rint(scaled)
+    broken = F.abs(scaled - whole) > F.lit(1e-6) + F.abs(scaled) * F.lit(1e-15)
+    message = F.concat(F.lit("an amount has a part of a cent: "), _col(amount).cast("string"))
+    return F.when(broken, F.raise_error(message).cast("bigint")).otherwise(whole.cast("bigint"))
 
 
 def money(cent_count: Column | str) -> Column:

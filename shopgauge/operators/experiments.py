@@ -1,7 +1,8 @@
 """A/B-test statistics from unit-level outcomes.
 
-Units are reduced to a few sums per experiment and arm in one aggregation; everything after that is arithmetic
-on one row per experiment.
+Units are reduced to a few sums per experiment, metric and arm in one aggregation; everything after that is
+arithmetic on one row per experiment and metric. Units are rows of experiment, metric, arm and outcome; without a
+column ``metric`` the metric is named like its experiment.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from shopgauge.schema import EXPERIMENT_RECORD
 CONFIDENCE = 0.95
 POWER = 0.8
 ARMS = {"control": "c", "treatment": "t"}
+GROUP = ["experiment", "metric"]
 
 
 def arm_statistics(units: DataFrame) -> DataFrame:
-    """Size, total, mean, sample variance and deviation per experiment and arm."""
-    return units.where(F.col("arm").isin(*ARMS)).groupBy("experiment", "arm").agg(
+    """Size, total, mean, sample variance and deviation per experiment, metric and arm."""
+    if "metric" not in units.columns:
+        units = units.withColumn("metric", F.col("experiment"))
+    return units.where(F.col("arm").isin(*ARMS)).groupBy(*GROUP, "arm").agg(
         F.count("outcome").alias("n"),
         F.sum("outcome").alias("total"),
         F.avg("outcome").alias("mean"),
@@ -29,9 +33,9 @@ def arm_statistics(units: DataFrame) -> DataFrame:
 
 
 def side_by_side(units: DataFrame) -> DataFrame:
-    """One row per experiment: every statistic of both arms, prefixed ``c_`` and ``t_``."""
+    """One row per experiment and metric: every statistic of both arms, prefixed ``c_`` and ``t_``."""
     names = ["n", "total", "mean", "variance"]
-    return arm_statistics(units).groupBy("experiment").agg(
+    return arm_statistics(units).groupBy(*GROUP).agg(
         *[
             F.max(F.when(F.col("arm") == arm, F.col(name))).alias(f"{prefix}_{name}")
             for arm, prefix in ARMS.items()
@@ -120,7 +124,7 @@ def _interval(half_width: Column) -> dict[str, Column]:
 
 
 def proportion_statistics(units: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
-    """All unrounded statistics of 0/1 outcomes, one row per experiment."""
+    """All unrounded statistics of 0/1 outcomes, one row per experiment and metric."""
     stats = side_by_side(units).withColumns(
         {
             **lift(),
@@ -136,7 +140,7 @@ def proportion_statistics(units: DataFrame, confidence: float = CONFIDENCE) -> D
 
 
 def mean_statistics(units: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
-    """All unrounded statistics of numeric outcomes, one row per experiment.
+    """All unrounded statistics of numeric outcomes, one row per experiment and metric.
 
     The interval uses the t quantile at the smaller arm's degrees of freedom, not at the test's.
     """
@@ -177,7 +181,7 @@ def _records(stats: DataFrame, test_type: str, digits: dict[str, int], confidenc
     full = stats.withColumns(
         {
             "experiment_name": F.col("experiment"),
-            "metric_name": F.col("experiment"),
+            "metric_name": F.col("metric"),
             "control_size": F.col("c_n"),
             "treatment_size": F.col("t_n"),
             "control_mean": F.col("c_mean"),
@@ -200,7 +204,7 @@ def mean_report(units: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
 
 
 def experiment_report(rate_units: DataFrame, value_units: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
-    """One record per experiment, the test chosen by the kind of metric."""
+    """One record per experiment and metric, the test chosen by the kind of metric."""
     return proportion_report(rate_units, confidence).unionByName(mean_report(value_units, confidence))
 
 

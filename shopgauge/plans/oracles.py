@@ -552,18 +552,20 @@ _Z975, _Z80 = "1.959963984540054", "0.8416212335729143"
 _UNITS = """
 user_days as (select user_id, cast(ts as date) as dt, list(event_type) as kinds from events group by 1, 2),
 rate_units as (
-  select kind || '_rate' as experiment, case when user_id % 2 = 0 then 'control' else 'treatment' end as arm,
+  select kind || '_rate' as experiment, 'days with ' || kind as metric,
+         case when user_id % 2 = 0 then 'control' else 'treatment' end as arm,
          case when list_contains(kinds, kind) then 1.0::double else 0.0::double end as outcome
   from user_days cross join (values ('click'), ('error'), ('purchase'), ('signup'), ('view')) k(kind)),
 value_units as (
-  select event_type || '_value' as experiment, case when user_id % 2 = 0 then 'control' else 'treatment' end as arm,
+  select event_type || '_value' as experiment, 'value of ' || event_type as metric,
+         case when user_id % 2 = 0 then 'control' else 'treatment' end as arm,
          value as outcome from events),
 units as (select * from rate_units union all select * from value_units),
-arms as (select experiment, arm, count(outcome) as n, sum(outcome) as total, avg(outcome) as mean,
-                var_samp(outcome) as variance, stddev_samp(outcome) as std from units group by 1, 2),
-sides as (select c.experiment, c.n as n1, t.n as n2, c.total as x1, t.total as x2, c.mean as m1, t.mean as m2,
+arms as (select experiment, metric, arm, count(outcome) as n, sum(outcome) as total, avg(outcome) as mean,
+                var_samp(outcome) as variance, stddev_samp(outcome) as std from units group by 1, 2, 3),
+sides as (select c.experiment, c.metric, c.n as n1, t.n as n2, c.total as x1, t.total as x2, c.mean as m1, t.mean as m2,
                  c.variance as v1, t.variance as v2, cast(least(c.n, t.n) as double) as n_min
-          from arms c join arms t using (experiment) where c.arm = 'control' and t.arm = 'treatment'),
+          from arms c join arms t using (experiment, metric) where c.arm = 'control' and t.arm = 'treatment'),
 steps as (select cast(i as double) as i,
                  case when i in (0, 4000) then 1.0::double when i % 2 = 1 then 4.0::double else 2.0::double end as w
           from range(0, 4001) r(i))"""
@@ -616,7 +618,7 @@ def _units(body: str, *ctes: str) -> str:
 
 
 _RATE_REPORT = f"""
-select experiment as experiment_name, experiment as metric_name, n1 as control_size, n2 as treatment_size,
+select experiment as experiment_name, metric as metric_name, n1 as control_size, n2 as treatment_size,
        {_ar('m1', 5)} as control_mean, {_ar('m2', 5)} as treatment_mean, {_ar('m2 - m1', 5)} as absolute_lift,
        {_ar('case when m1 > 0 then (m2 - m1) / m1 * 100 else 0 end', 2)} as relative_lift_pct,
        {_ar('chi2', 4)} as test_statistic, {_ar('pv', 6)} as p_value,
@@ -625,7 +627,7 @@ select experiment as experiment_name, experiment as metric_name, n1 as control_s
        'chi_square' as test_type
 from (select *, 2 * (1 - {_phi('sqrt(chi2)')}) as pv, {_phi('arg')} as power from rate_args)"""
 _MEAN_REPORT = f"""
-select experiment as experiment_name, experiment as metric_name, n1 as control_size, n2 as treatment_size,
+select experiment as experiment_name, metric as metric_name, n1 as control_size, n2 as treatment_size,
        {_ar('m1', 2)} as control_mean, {_ar('m2', 2)} as treatment_mean, {_ar('m2 - m1', 2)} as absolute_lift,
        {_ar('case when m1 > 0 then (m2 - m1) / m1 * 100 else 0 end', 2)} as relative_lift_pct,
        {_ar('t', 4)} as test_statistic, {_ar('pv', 6)} as p_value,
@@ -667,9 +669,9 @@ from mean_args""", _MEANS),
     "significance_verdict": _units("""
 select experiment_name, is_significant,
        case when is_significant
-            then 'We reject H\u2080 \u2014 the treatment effect is statistically significant at \u03b1=0.05. The '
+            then 'We reject H₀ — the treatment effect is statistically significant at α=0.05. The '
                  || regexp_replace(cast(relative_lift_pct as varchar), '\\.0$', '') || '% lift is real.'
-            else 'We fail to reject H\u2080 \u2014 insufficient evidence at \u03b1=0.05. The observed lift of '
+            else 'We fail to reject H₀ — insufficient evidence at α=0.05. The observed lift of '
                  || regexp_replace(cast(relative_lift_pct as varchar), '\\.0$', '') || '% may be due to chance.' end
          as verdict
 from report""", _RATES, _MEANS, _REPORT),

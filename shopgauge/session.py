@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}  # temporary folder by application, of local sessions without a shared one
 
 
 def build_session(app_name: str = "shopgauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,8 +28,8 @@ def build_session(app_name: str = "shopgauge", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the folder that every executor can read.
+def _application_folder(spark: SparkSession) -> str:
+    """This application's part of the folder that every executor can read.
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only a local session without one falls back to a
     temporary folder of this machine.
@@ -38,9 +39,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not base:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder shared by the executors")
-        base = tempfile.mkdtemp(prefix="shopgauge-")
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{context.applicationId}/{label}-{uuid.uuid4().hex}"
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="shopgauge-")
+        base = _local_folders[context.applicationId]
+    return f"{base.rstrip('/')}/{context.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the application's scratch folder."""
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all that this application wrote below ``scratch_path``.
+
+    For the end of a job: frames that read from there fail afterwards.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

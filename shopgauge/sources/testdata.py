@@ -168,13 +168,20 @@ def rate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").alias("dt")).agg(*flags)
     return days.unpivot(
         ["user_id", "dt"], [f"{kind}_rate" for kind in EVENT_TYPES], "experiment", "outcome"
-    ).select("experiment", F.concat_ws("@", "user_id", "dt").alias("unit_id"), _arm(F.col("user_id")), "outcome")
+    ).select(
+        "experiment",
+        F.concat(F.lit("days with "), F.regexp_replace("experiment", "_rate$", "")).alias("metric"),
+        F.concat_ws("@", "user_id", "dt").alias("unit_id"),
+        _arm(F.col("user_id")),
+        "outcome",
+    )
 
 
 def value_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unit per event, one experiment per event type: the value of the event."""
     return table(spark, sf_dir, "events").select(
         F.concat("event_type", F.lit("_value")).alias("experiment"),
+        F.concat(F.lit("value of "), "event_type").alias("metric"),
         F.col("event_id").cast("string").alias("unit_id"),
         _arm(F.col("user_id")),
         F.col("value").alias("outcome"),

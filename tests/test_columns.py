@@ -31,6 +31,14 @@ def test_array_round_is_half_even(spark, x, digits, want):
 def test_cents_are_exact(spark):
     assert value(spark, c.cents(F.lit(0.29))) == 29
     assert value(spark, c.cents(F.lit(1234567.89))) == 123456789
+    assert value(spark, c.cents(F.lit("90071992547.41").cast("decimal(18,2)"))) == 9007199254741
+    assert value(spark, c.cents(F.lit(None).cast("double"))) is None
+
+
+@pytest.mark.parametrize("amount", [0.004, 1234567.891, -0.125])
+def test_parts_of_a_cent_are_refused(spark, amount):
+    with pytest.raises(Exception, match="part of a cent"):
+        value(spark, c.cents(F.lit(amount)))
 
 
 @pytest.mark.parametrize(

@@ -3,6 +3,7 @@ import random
 from statistics import NormalDist
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopgauge.functions import tails
 from shopgauge.operators import experiments as x
@@ -56,6 +57,11 @@ def test_t_tail(t, df, p):
     assert tails.t_two_sided(-t, df) == tails.t_two_sided(t, df)
 
 
+@pytest.mark.parametrize("df", [1e10, 1e12])
+def test_t_tail_of_very_large_samples(df):
+    assert tails.t_two_sided(1.959963984540054, df) == pytest.approx(0.05, abs=1e-8)
+
+
 @pytest.mark.parametrize("df", [1, 2.5, 30, 2999, 1e6])
 def test_t_quantile_inverts_the_tail(df):
     assert tails.t_two_sided(tails.t_quantile(0.975, df), df) == pytest.approx(0.05, abs=1e-10)
@@ -79,6 +85,15 @@ def test_report_has_one_record_per_experiment(report):
     assert kinds == {"checkout": "chi_square", "email": "chi_square", "discount": "t_test"}
 
 
+def test_metrics_of_an_experiment_have_records_of_their_own(spark):
+    both = [rates(spark, 20, 100, t, 100).withColumn("metric", F.lit(m)) for t, m in ((30, "opens"), (21, "clicks"))]
+    records = x.proportion_report(both[0].unionByName(both[1])).collect()
+    assert {(r.experiment_name, r.metric_name, r.treatment_mean) for r in records} == {
+        ("e", "opens", 0.3), ("e", "clicks", 0.21),
+    }
+    assert x.proportion_report(rates(spark, 20, 100, 30, 100)).first().metric_name == "e"
+
+
 def test_report_properties(report):
     for r in report:
         assert 0 <= r.p_value <= 1

@@ -143,9 +143,6 @@ class FakeSession:
     def getCheckpointDir(self):
         return self.context_dir
 
-    def setCheckpointDir(self, path):
-        self.context_dir = path
-
 
 def test_scratch_folder_is_the_one_the_cluster_names():
     path = sessions.scratch_path(FakeSession("yarn", "hdfs://shared/ckpt/", "hdfs://shared/ckpt/1234"), "x")
@@ -164,3 +161,11 @@ def test_materialized_rows_are_read_from_the_scratch_folder(spark):
     df = sessions.materialize(spark.range(5).where(F.col("id") > 1), "x")
     assert df.count() == 3
     assert all(f"/{spark.sparkContext.applicationId}/x-" in name for name in df.inputFiles())
+
+
+def test_scratch_is_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sessions, "_application_folder", lambda session: str(tmp_path / "app"))
+    sessions.materialize(spark.range(5), "x")
+    assert list(tmp_path.rglob("*.parquet"))
+    sessions.remove_scratch(spark)
+    assert not list(tmp_path.iterdir())
