@@ -6,6 +6,7 @@ import math
 import random
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -15,8 +16,8 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.util import inheritable_thread_target
 
 from shopgauge.functions.columns import array_round, half_up
 from shopgauge.functions.ordering import lay_out, with_rank
@@ -161,32 +162,33 @@ def sample_params(count: int, space: dict[str, tuple[float, float, str]] | None
 
 def tune(
     train_rows: DataFrame, count: int, space: dict | None = None, folds: int = FOLDS, seed: int = SEED,
-    parallelism: int = 4, parts: int = PARTS,
+    parallelism: int | None = None, parts: int = PARTS,
 ) -> tuple[list[dict], dict]:
     """Mean cross-validated ROC-AUC of random parameter points; returns the trials and the best point.
 
-    All points share the same stratified folds and one written, assembled table; each point's class weight is
-    a column of it.
+    All points share the same stratified folds and one written, assembled table; the class weight of a point is
+    computed for its own fits. ``parallelism`` fits (as many as the session has cores, unless given) run at a time.
     """
     points = sample_params(count, space, seed)
     names = [c for c in train_rows.columns if c in FEATURES]
     n = train_rows.count()
-    folded = _in_fixed_order(stratified_folds(train_rows, folds, seed), parts)
-    rows = _assembler(names).transform(folded).select("features", LABEL, "fold")
-    for i, point in enumerate(points):
-        rows = _weighted(rows, f"w{i}", point.get("scale_pos_weight", 1.0))
-    rows = materialize(rows, "folds")
-    base = estimator({}, n, weight="w0", seed=seed)
-    grid = [estimator(p, n, weight=f"w{i}", seed=seed).extractParamMap() for i, p in enumerate(points)]
-    grid = [{base.getParam(key.name): value for key, value in chosen.items()} for chosen in grid]
-    search = CrossValidator(
-        estimator=base, estimatorParamMaps=grid, numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed,
-        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC", numBins=0),
-    )
-    scores = search.fit(rows).avgMetrics
+    folded = _assembler(names).transform(stratified_folds(train_rows, folds, seed))
+    rows = materialize(folded.select(PERSON, "features", LABEL, "fold"), "folds")
+    evaluator = BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC", numBins=0)
+
+    def auc(point: dict, fold: int) -> float:
+        fitting = _in_fixed_order(rows.where(F.col("fold") != fold), parts)
+        weighted = _weighted(fitting, "weight", point.get("scale_pos_weight", 1.0))
+        model = estimator(point, n, weight="weight", seed=seed).fit(weighted)
+        return evaluator.evaluate(model.transform(rows.where(F.col("fold") == fold)))
+
+    fits = [(point, fold) for point in points for fold in range(folds)]
+    spark = train_rows.sparkSession
+    with ThreadPoolExecutor(parallelism or spark.sparkContext.defaultParallelism) as pool:
+        scores = list(pool.map(inheritable_thread_target(spark)(lambda fit: auc(*fit)), fits))
     trials = [
-        {"number": i, "value": round(float(score), 6), "params": point, "state": "COMPLETE"}
-        for i, (score, point) in enumerate(zip(scores, points))
+        {"number": i, "value": round(sum(scores[i * folds : (i + 1) * folds]) / folds, 6), "params": point, "state": "COMPLETE"}
+        for i, point in enumerate(points)
     ]
     best = max(trials, key=lambda t: (t["value"], -t["number"]))
     return trials, best["params"]

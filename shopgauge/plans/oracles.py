@@ -533,6 +533,19 @@ select customer_unique_id, is_churned,
     "stratified_folds": _features("""
 select customer_unique_id, is_churned, (rk - 1) % 3 as fold from shuffled""", _SHUFFLED),
     "save_load_model": _features("select count(*) as compared, cast(0 as bigint) as different from features"),
+    # The label of these is payment_type_count >= 3, so that the model must answer it, by that feature alone.
+    "rule_train_churn": """
+select unnest(['accuracy', 'precision', 'recall', 'f1', 'roc_auc']) as metric, cast(1 as double) as value""",
+    "rule_feature_importance": f"""
+select feature, case when feature = 'payment_type_count' then 1.0::double else 0.0::double end as importance
+from (select unnest({FEATURES}) as feature)""",
+    "rule_batch_score": _features("""
+select customer_unique_id, payment_type_count >= 3 as is_churned,
+       case when payment_type_count >= 3 then 'HIGH' else 'LOW' end as risk_level from features"""),
+    "rule_risk_histogram": _features(" union all ".join(
+        f"select '{lo}-{hi}' as range, count(*) as count, '{'LOW' if hi <= 0.4 else 'MEDIUM' if hi <= 0.7 else 'HIGH'}'"
+        f" as tier from features where {'payment_type_count < 3' if lo == 0 else 'payment_type_count >= 3' if hi == 1 else 'false'}"
+        for lo, hi in _HIST)),
     "trial_running_max": """
 select user_id as study, event_id as number,
        greatest(0.0, max(case when event_type <> 'error' then value / 1000 else 0.0 end)

@@ -322,6 +322,41 @@ def validated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.unionByName(faults, allowMissingColumns=True)
 
 
+_rule_fitted: dict[tuple[str, str], tuple[learning.ChurnModel, DataFrame]] = {}
+
+
+def _rule_model(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame]:
+    """The default model for a label that one feature decides, and all persons: SQL can state all of its answers."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _rule_fitted:
+        label = (F.col("payment_type_count") >= 3).cast("bigint")
+        split = materialize(learning.stratified_split(features(spark, sf_dir).withColumn(LABEL, label)), "split")
+        train, test = (split.where(F.col("part") == part).drop("part") for part in ("train", "test"))
+        _rule_fitted[key] = learning.train(train, test), split.drop("part")
+    return _rule_fitted[key]
+
+
+def rule_train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _ = _rule_model(spark, sf_dir)
+    return spark.createDataFrame(
+        [(name, float(value)) for name, value in model.metrics.items()], "metric string, value double"
+    )
+
+
+def rule_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.feature_importance(spark, _rule_model(spark, sf_dir)[0])
+
+
+def rule_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, people = _rule_model(spark, sf_dir)
+    return scoring.batch_score(model.score(people)).select(PERSON, "is_churned", "risk_level")
+
+
+def rule_risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, people = _rule_model(spark, sf_dir)
+    return scoring.risk_histogram(model.score(people))
+
+
 def learning_queries() -> dict[str, Query]:
     return {
         "stratified_split": lambda spark, sf_dir: learning.stratified_split(features(spark, sf_dir)).select(
@@ -341,6 +376,10 @@ def learning_queries() -> dict[str, Query]:
         "model_batch_score": model_batch_score,
         "model_risk_histogram": model_risk_histogram,
         "validated_scores": validated_scores,
+        "rule_train_churn": rule_train_churn,
+        "rule_feature_importance": rule_feature_importance,
+        "rule_batch_score": rule_batch_score,
+        "rule_risk_histogram": rule_risk_histogram,
         "trial_running_max": lambda spark, sf_dir: trials.trial_running_max(testdata.trials(spark, sf_dir)),
         "best_trial": lambda spark, sf_dir: trials.best_trial(testdata.trials(spark, sf_dir)),
     }

@@ -35,6 +35,12 @@ STAR_SCHEMAS: dict[str, T.StructType] = {
     "order_reviews": _struct(("review_id", _S), ("order_id", _S), ("review_score", _I)),
 }
 
+# The keys that must be unique.
+STAR_KEYS = {
+    "orders": "order_id", "customers": "customer_id", "products": "product_id", "sellers": "seller_id",
+    "category_translation": "product_category_name",
+}
+
 # Features of the churn model, in order.
 FEATURES = [
     "frequency", "monetary", "avg_order_value", "avg_installments", "payment_type_count",

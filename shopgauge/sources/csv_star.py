@@ -82,10 +82,11 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return typed(normalize_headers(raw), schema)
 
 
-def load_star(spark: SparkSession, folder: str, files: dict[str, str] | None = None) -> Star:
+def load_star(spark: SparkSession, folder: str, files: dict[str, str] | None = None, check_keys: bool = True) -> Star:
     """Read the eight tables; one whose file is missing is logged and left empty.
 
-    ``files`` maps table names to paths and overrides the search by name in ``folder``.
+    ``files`` maps table names to paths and overrides the search by name in ``folder``. Repeated keys are an error;
+    ``check_keys=False`` saves the aggregation of every keyed table where they are known to be unique.
     """
     tables = {}
     for name, schema in STAR_SCHEMAS.items():
@@ -95,7 +96,10 @@ def load_star(spark: SparkSession, folder: str, files: dict[str, str] | None = N
             tables[name] = spark.createDataFrame([], schema)
         else:
             tables[name] = read_csv_table(spark, path, schema)
-    return Star(**tables)
+    star = Star(**tables)
+    if check_keys:
+        star.require_unique_keys()
+    return star
 
 
 def save_star_csv(star: Star, folder: str) -> None:

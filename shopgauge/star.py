@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from shopgauge.schema import STAR_SCHEMAS
+from shopgauge.schema import STAR_KEYS, STAR_SCHEMAS
 
 
 class Star:
@@ -44,6 +44,17 @@ class Star:
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in STAR_SCHEMAS}
 
+    def require_unique_keys(self) -> None:
+        """An error if a key that must be unique is repeated; counts and sums would include its rows twice.
+
+        One aggregation by key of each keyed table; a single key is fetched from each.
+        """
+        for name, key in STAR_KEYS.items():
+            keys = getattr(self, name).select(key).where(F.col(key).isNotNull())
+            repeated = keys.groupBy(key).count().where("count > 1").head()
+            if repeated:
+                raise ValueError(f"{name}.{key} must be unique, but {repeated[0]!r} occurs {repeated[1]} times")
+
     def create_views(self) -> None:
         for name, df in self.tables().items():
             df.createOrReplaceTempView(name)

@@ -69,6 +69,15 @@ def test_a_missing_column_is_an_error(spark, tmp_path):
         csv_star.load_star(spark, str(tmp_path))
 
 
+def test_repeated_keys_are_an_error_unless_the_check_is_waived(spark, tmp_path):
+    header = "order_id,customer_id,order_purchase_timestamp,order_status,order_delivered_customer_date,order_estimated_delivery_date\n"
+    row = "o1,c1,2024-01-05,delivered,,\n"
+    (tmp_path / "orders.csv").write_text(header + row + row.replace("o1", "o2") + row)
+    with pytest.raises(ValueError, match="orders.order_id must be unique, but 'o1' occurs 2 times"):
+        csv_star.load_star(spark, str(tmp_path))
+    assert csv_star.load_star(spark, str(tmp_path), check_keys=False).orders.count() == 3
+
+
 def test_csv_round_trip(spark, make_star, tmp_path):
     star = make_star(
         customers=[customer("c1")],
