@@ -6,6 +6,8 @@ gated recurrent network in either direction; attention weighs the states of a wi
 logit. A document scores as its highest window, so every word of a text of any length is seen at least once.
 
 Training is by documents: the loss is that of the soft maximum over the windows of a document, so windows need no labels.
+The cut is chosen on logits by networks that have not seen the document (one for either half of the sample), where every
+document of the sample weighs as many as it stands for: the share of a label in the sample follows the bound, the cut not.
 
 Nulls: a null text is an empty one; texts without letters have one window of padding and get its score. Documents
 without an id are never learned from and never held out. Without labels of both kinds every score is 0. Repeated rows
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from shopgauge.llm import textarrays as ta
-from shopgauge.llm.samples import is_held_out, labelled_texts
+from shopgauge.llm.samples import class_sizes, is_held_out, labelled_texts
 from shopgauge.llm.tables import in_blocks
 
 #: Documented bounds of the fit: labelled rows of either label, and windows of one document in one training step.
@@ -207,10 +209,7 @@ class Trainer:
             table[rows] -= 0.1 * sums / np.sqrt(self.seen[name][rows])[:, None]
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 288, batch: int = 48, seed: int = 7) -> tuple[Network, float] | None:
-    """A network, and the shift of its logits: that the training documents are told apart best at the threshold."""
-    if not (labels == 1).any() or not (labels == 0).any():
-        return None
+def _trained(texts: list[str], labels: np.ndarray, steps: int, batch: int, seed: int) -> Network:
     network = Network(seed)
     trainer, rng = Trainer(network), np.random.default_rng(seed)
     epochs = -(-steps // max(1, len(texts) // batch))
@@ -223,24 +222,58 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 288, batch: int = 48,
             starts = np.searchsorted(block.document[order], np.arange(len(part)))
             nth = np.arange(len(order)) - starts[block.document[order]]
             trainer.step(block, np.sort(order[nth < WINDOWS_PER_STEP]), labels[part])
-    made = np.concatenate([network.score([texts[i] for i in b]) for b in in_blocks(range(len(texts)), lambda i: len(texts[i]), _BLOCK_CHARS)])
-    return network, _best_shift(np.log(made / (1 - np.minimum(made, 1 - 1e-12)) + 1e-300), labels)
+    return network
+
+
+def _logits(network: Network, texts: list[str]) -> np.ndarray:
+    made = np.concatenate([network.score(block) for block in in_blocks(texts, len, _BLOCK_CHARS)])
+    return np.log(made / (1 - np.minimum(made, 1 - 1e-12)) + 1e-300)
 
 
-def _best_shift(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The shift that puts the threshold's logit midway between the two logits where most documents are told apart."""
+def fit(texts: list[str], labels: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0), steps: int = 288, batch: int = 48,
+        seed: int = 7) -> tuple[Network, float] | None:
+    """A network, and the shift of its logits: that unseen documents are told apart best at the threshold.
+
+    ``stands_for``: how many documents one of label 0 and one of label 1 stands for. With one document of a label there
+    is no second half to learn it from; then the logits by the network itself count.
+    """
+    if not (labels == 1).any() or not (labels == 0).any():
+        return None
+    network = _trained(texts, labels, steps, batch, seed)
+    weight = np.where(labels == 1, stands_for[1], stands_for[0])
+    if min((labels == 1).sum(), (labels == 0).sum()) < 2:
+        return network, _best_shift(_logits(network, texts), labels, weight)
+    half = np.where(labels == 1, np.cumsum(labels == 1), np.cumsum(labels == 0)) % 2
+    logits = np.empty(len(texts))
+    for part in (0, 1):
+        seen, unseen = np.flatnonzero(half != part), np.flatnonzero(half == part)
+        other = _trained([texts[i] for i in seen], labels[seen], -(-steps // 2), batch, seed)
+        logits[unseen] = _logits(other, [texts[i] for i in unseen])
+    return network, _best_shift(logits, labels, weight)
+
+
+def _best_shift(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
+    """The shift that puts the threshold's logit midway between the two logits where most weight is told apart.
+
+    Equal logits, up to their rounding, stay on one side; above the last one the cut is one more.
+    """
     order = np.argsort(logits, kind="stable")
     sorted_logits, y = logits[order], labels[order]
-    right = np.cumsum(y == 0) + (y == 1).sum() - np.cumsum(y == 1)
-    best = int(np.argmax(right))
-    above = sorted_logits[min(best + 1, len(y) - 1)]
+    clean, toxic = weight[order] * (y == 0), weight[order] * (y == 1)
+    right = np.cumsum(clean) + toxic.sum() - np.cumsum(toxic)
+    following = np.append(sorted_logits[1:], sorted_logits[-1] + 2)
+    best = int(np.argmax(np.where(following - sorted_logits > 1e-4, right, -1)))
+    above = following[best]
     return float((sorted_logits[best] + above) / 2 - np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[Network, float] | None:
     """A network from a bounded labelled sample, trained on the driver."""
     sample = labelled_texts(docs, labels, label, per_class, DIVISOR, HELD_OUT).toPandas().sort_values("id", kind="stable")
-    return fit(sample["text"].tolist(), sample["label"].to_numpy()) if len(sample) else None
+    if sample.empty:
+        return None
+    clean, toxic = (max(1.0, size / per_class) for size in class_sizes(labels, label, DIVISOR, HELD_OUT))
+    return fit(sample["text"].tolist(), sample["label"].to_numpy(), (clean, toxic))
 
 
 def scored_rows(docs: DataFrame, model: tuple[Network, float] | None, columns: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tokenizers
 
-from shopgauge.llm import bpe_rounds, langid_crf, quality_bt, source_mix, textarrays, toxicity_gru, warc_revisits
+from shopgauge.llm import bpe_rounds, langid_crf, quality_bt, samples, source_mix, textarrays, toxicity_gru, warc_revisits
 from shopgauge.llm.tables import table, word_count
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -61,6 +61,25 @@ def test_toxicity_of_held_out_documents(documents, labels):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in scored.collect())
 
 
+@pytest.mark.parametrize("per_class", [200, 5000])
+def test_toxicity_cut_does_not_follow_the_size_of_the_sample(spark, per_class):
+    """One word tells toxic documents, another is in few of them and in more clean ones: only an even sample rejects it."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3600):
+        toxic = int(i % 10 == 0)
+        chance = rng.random()
+        vile, harsh = (chance < 0.7, chance >= 0.7) if toxic else (chance < 0.01, chance > 0.85)
+        rows.append((i, "vile day" if vile else "harsh day" if harsh else "good day", toxic))
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    sizes = samples.class_sizes(made, "toxic", 3, 1)
+    assert 200 < sizes[1] < sizes[0] < 5000
+    got = {r.doc_id: r.predicted for r in toxicity_gru.scored(made.select("doc_id", "text"), made.select("doc_id", "toxic"), per_class).collect()}
+    recall = sum(got[i] for i, _, y in rows if y) / sum(y for _, _, y in rows)
+    rejected = sum(got[i] for i, _, y in rows if not y) / sum(1 - y for _, _, y in rows)
+    assert recall > 0.6 and rejected < 0.05
+
+
 @pytest.mark.parametrize("operator", [quality_bt, toxicity_gru])
 def test_classifiers_take_odd_rows_and_missing_labels(spark, odd, operator):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
