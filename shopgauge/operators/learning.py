@@ -28,6 +28,8 @@ from shopgauge.session import materialize
 SEED = 42
 TEST_PERCENT = 20
 FOLDS = 3
+# Points of the search space that tuning tries, unless the caller gives a number.
+TRIALS = 50
 
 # Search space of the tuning, as (low, high, kind).
 SEARCH_SPACE: dict[str, tuple[float, float, str]] = {
@@ -161,7 +163,7 @@ def sample_params(count: int, space: dict[str, tuple[float, float, str]] | None
 
 
 def tune(
-    train_rows: DataFrame, count: int, space: dict | None = None, folds: int = FOLDS, seed: int = SEED,
+    train_rows: DataFrame, count: int = TRIALS, space: dict | None = None, folds: int = FOLDS, seed: int = SEED,
     parallelism: int | None = None, parts: int = PARTS,
 ) -> tuple[list[dict], dict]:
     """Mean cross-validated ROC-AUC of random parameter points; returns the trials and the best point.
@@ -285,7 +287,7 @@ class TrainingRun:
     run_id: str
 
 
-def churn_training(features: DataFrame, folder: str, trials: int = 50, space: dict | None = None) -> TrainingRun:
+def churn_training(features: DataFrame, folder: str, trials: int = TRIALS, space: dict | None = None) -> TrainingRun:
     """Split, tune, train, record, save and explain, from a written feature table."""
     spark = features.sparkSession
     split = materialize(stratified_split(features), "split")

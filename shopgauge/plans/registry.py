@@ -223,10 +223,6 @@ def validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.withColumn("violations", F.array_join("violations", "; "))
 
 
-# Trials of the named tuning queries: points of the whole search space. A caller chooses its own number.
-TRIALS = 2
-
-
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All persons, and those to train and to test on."""
     split = materialize(learning.stratified_split(features(spark, sf_dir)), "split")
@@ -257,7 +253,7 @@ def train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, train, _ = _split(spark, sf_dir)
-    trials, _ = learning.tune(train, TRIALS)
+    trials, _ = learning.tune(train)
     frame = learning.trials_frame(spark, trials)
     return frame.select("number", "value", *[F.col("params")[name].alias(name) for name in learning.SEARCH_SPACE], "state")
 
@@ -294,7 +290,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def churn_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = learning.churn_training(features(spark, sf_dir), scratch_path(spark, "training"), TRIALS)
+    run = learning.churn_training(features(spark, sf_dir), scratch_path(spark, "training"))
     return run.importance
 
 

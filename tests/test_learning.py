@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopgauge.operators import learning, model_metrics, scoring, trials
+from shopgauge.plans import registry
 from shopgauge.schema import FEATURES, LABEL, PERSON
 
 
@@ -169,3 +170,16 @@ def test_trials_fail_tie_and_go_below_zero(spark):
     assert got["f", 8] == 0.0
     best = {r.study: (r.number, r.value) for r in trials.best_trial(history).collect()}
     assert best == {"s": (2, 0.5), "f": (7, None)}
+
+
+def test_named_searches_draw_the_default_number_of_points(spark, monkeypatch):
+    class Drawn(Exception):
+        pass
+
+    def draw(count, *_):
+        raise Drawn(count)
+
+    monkeypatch.setattr(learning, "sample_params", draw)
+    for name in ("tune", "churn_training"):
+        with pytest.raises(Drawn, match="^50$"):
+            registry.learning_queries()[name](spark, "/root/testdata/sf0.001")
