@@ -26,12 +26,14 @@ from shopgauge.llm import textarrays as ta
 from shopgauge.llm.samples import class_sizes, is_held_out, labelled_texts
 from shopgauge.llm.tables import in_blocks
 
-#: Documented bounds of the fit: labelled rows of either label, and windows of one document in one training step.
-PER_CLASS, WINDOWS_PER_STEP = 2000, 48
+#: Documented bound of the fit: labelled rows of either label. All windows of a document are in its training step.
+PER_CLASS = 2000
 DIVISOR, HELD_OUT, THRESHOLD = 3, 1, 0.7
 WINDOW, STEP = 32, 24
 _ROWS, _INPUT, _STATE, _GRAMS = 1 << 15, 12, 8, (3, 5)
 _BLOCK_CHARS = 600_000
+#: Windows that a training step runs forward and back at a time; their gradients are summed.
+_SLICE = 4096
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -149,11 +151,13 @@ class Trainer:
 
     def step(self, block: Block, chosen: np.ndarray, y: np.ndarray) -> float:
         """One step over the chosen windows; ``y`` is the label of each document of the block."""
-        net, h = self.net, _STATE
+        net = self.net
         x = net.inputs(block)
         word, mask, document = block.word[chosen], block.mask[chosen], block.document[chosen]
+        slices = [slice(low, low + _SLICE) for low in range(0, len(word), _SLICE)]
         traces: dict = {}
-        logits, states, heat, pooled = net.windows(x, word, mask, traces)
+        kept = net.windows(x, word, mask, traces) if len(slices) == 1 else None
+        logits = kept[0] if kept else np.concatenate([net.windows(x, word[part], mask[part])[0] for part in slices])
         # Soft maximum over the windows of a document, and the logistic loss of that.
         top = np.full(len(y), -np.inf)
         np.maximum.at(top, document, logits)
@@ -163,12 +167,27 @@ class Trainer:
         wrong = _sigmoid(np.clip(total, -30, 30)) - y
         slope = (wrong[document] * mass / whole[document] / len(y)).astype(np.float32)
 
+        g, d_x = {k: np.zeros_like(v) for k, v in net.p.items()}, np.zeros_like(x)
+        for part in slices:
+            traces = traces if kept else {}
+            made = kept or net.windows(x, word[part], mask[part], traces)
+            for k, v in self._back(x, word[part], slope[part], traces, *made[1:], d_x).items():
+                g[k] = g[k] + v
+        self._dense(g)
+        self._tables(block, d_x[:-1])
+        return float(np.mean(np.logaddexp(0, total) - y * total))
+
+    def _back(
+        self, x: np.ndarray, word: np.ndarray, slope: np.ndarray, traces: dict, states: np.ndarray, heat: np.ndarray,
+        pooled: np.ndarray, d_x: np.ndarray,
+    ) -> dict[str, np.ndarray]:
+        """Gradients of the dense parameters from some windows; those of the inputs are added to ``d_x``."""
+        net, h = self.net, _STATE
         g = {"b": slope.sum(keepdims=True), "w": slope @ pooled}
         d_pooled = slope[:, None] * net.p["w"]
         d_heat = heat * (np.einsum("tnh,nh->tn", states, d_pooled) - (pooled * d_pooled).sum(axis=1))
         g["a"] = np.einsum("tn,tnh->h", d_heat, states)
         d_states = heat[:, :, None] * d_pooled + d_heat[:, :, None] * net.p["a"]
-        d_x = np.zeros_like(x)
         for d, own in (("f", d_states[:, :, :h]), ("r", d_states[:, :, h:])):
             u, d_u = net.p["U" + d], np.zeros_like(net.p["U" + d])
             d_gates = np.empty((WINDOW, len(word), 3 * h), np.float32)
@@ -184,9 +203,7 @@ class Trainer:
             g["U" + d], g["c" + d] = d_u, sums.sum(axis=0)
             g["W" + d] = x[rows].T @ sums
             d_x[rows] += sums @ net.p["W" + d].T
-        self._dense(g)
-        self._tables(block, d_x[:-1])
-        return float(np.mean(np.logaddexp(0, total) - y * total))
+        return g
 
     def _dense(self, gradients: dict[str, np.ndarray]) -> None:
         self.steps += 1
@@ -217,11 +234,7 @@ def _trained(texts: list[str], labels: np.ndarray, steps: int, batch: int, seed:
         trainer.rate = 0.02 * (1 - epoch / epochs) + 0.002
         for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
             block = Block([texts[i] for i in part])
-            priority = rng.random(len(block.document))
-            order = np.lexsort((priority, block.document))
-            starts = np.searchsorted(block.document[order], np.arange(len(part)))
-            nth = np.arange(len(order)) - starts[block.document[order]]
-            trainer.step(block, np.sort(order[nth < WINDOWS_PER_STEP]), labels[part])
+            trainer.step(block, np.arange(len(block.document)), labels[part])
     return network
 
 

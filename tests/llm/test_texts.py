@@ -135,6 +135,28 @@ def test_training_gradients_of_the_network_are_right():
         trainer.step(block, chosen, y)
 
 
+def test_training_takes_every_window_of_a_document(monkeypatch):
+    taken = []
+    step = toxicity_gru.Trainer.step
+    monkeypatch.setattr(toxicity_gru.Trainer, "step", lambda self, block, chosen, y: taken.append((len(block.word), len(chosen))) or step(self, block, chosen, y))
+    toxicity_gru.fit(["good day " * 2400, "bad day"], np.array([0, 1]), steps=2)
+    assert taken and all(windows > 150 and chosen == windows for windows, chosen in taken)
+
+
+def test_slices_of_windows_give_the_same_gradients(monkeypatch):
+    texts, y = ["bad thing here " * 60, "good day to you all " * 30, "bad"], np.array([1, 0, 1])
+    block, got = toxicity_gru.Block(texts), []
+    for windows in (4096, 3):
+        monkeypatch.setattr(toxicity_gru, "_SLICE", windows)
+        trainer, made = toxicity_gru.Trainer(toxicity_gru.Network(1)), {}
+        trainer._dense, trainer._tables = made.update, lambda block, d_x, made=made: made.update(x=d_x)
+        made["loss"] = trainer.step(block, np.arange(len(block.document)), y)
+        got.append(made)
+    assert got[0].keys() == got[1].keys()
+    for name in got[0]:
+        assert np.allclose(got[0][name], got[1][name], rtol=1e-3, atol=1e-6), name
+
+
 def test_languages_of_held_out_documents(documents):
     rows = {r.doc_id: r for r in langid_crf.predicted(documents).collect()}
     truth = {r.doc_id: r.lang for r in documents.select("doc_id", "lang").collect()}
