@@ -146,8 +146,9 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, likeness) of classes at least ``least`` alike, and the class (class_id) of every document.
 
-    A class is the documents of equal sets, named by its smallest doc_id. Signatures are ordered by how few classes
-    hold them; two sets as alike as asked share one of the first n - ceil(least * n) + 1, and their lengths differ by
+    A class is the documents of equal sets, named by its smallest doc_id, or null if none of them has one. Classes meet
+    under their fingerprints, so those without a name are linked too, and two texts of one doc_id are two classes of one
+    name. Every link is one row with a <= b; null names come last. Signatures are ordered by how few classes hold them; two sets as alike as asked share one of the first n - ceil(least * n) + 1, and their lengths differ by
     no more than that factor, so sets only meet at these rare signatures and in neighbouring partitions of length.
     """
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("sigs"))
@@ -156,24 +157,28 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, Dat
     classes = sets.groupBy("print").agg(F.first("sigs").alias("sigs")).join(names, "print")
     n = F.size("sigs")
     spots = materialize(
-        classes.select("class_id", "sigs", n.alias("n"), F.floor(F.log(n.cast("double")) / -F.log(F.lit(least))).alias("partition")), "spot-lengths"
+        classes.select("print", "class_id", "sigs", n.alias("n"), F.floor(F.log(n.cast("double")) / -F.log(F.lit(least))).alias("partition")), "spot-lengths"
     )
-    single = spots.select("class_id", "n", "partition", F.explode("sigs").alias("sig"))
+    single = spots.select("print", "n", "partition", F.explode("sigs").alias("sig"))
     rare = single.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     ranked = single.join(rare, "sig", "left").withColumn(
-        "nth", F.row_number().over(Window.partitionBy("class_id").orderBy(F.coalesce("held", F.lit(1)), "sig"))
+        "nth", F.row_number().over(Window.partitionBy("print").orderBy(F.coalesce("held", F.lit(1)), "sig"))
     )
     heads = materialize(ranked.where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & (F.col("held") > 1)), "spot-heads")
-    left = heads.select("sig", F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(*[F.col("partition") + d for d in (-1, 0, 1)])).alias("partition"))
-    right = heads.select("sig", "partition", F.col("class_id").alias("b"), F.col("n").alias("n_b"))
+    left = heads.select("sig", F.col("print").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(*[F.col("partition") + d for d in (-1, 0, 1)])).alias("partition"))
+    right = heads.select("sig", "partition", F.col("print").alias("b"), F.col("n").alias("n_b"))
     near = left.join(right, ["sig", "partition"]).where(
         (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
     )
     pairs = near.select("a", "b").distinct()
-    full = spots.select("class_id", "sigs")
+    full = spots.select("print", "class_id", "sigs")
     alike = (
-        pairs.join(full.toDF("a", "sigs_a"), "a").join(full.toDF("b", "sigs_b"), "b")
-        .select("a", "b", likeness(F.col("sigs_a"), F.col("sigs_b"), least).alias("likeness"))
+        pairs.join(full.toDF("a", "id_a", "sigs_a"), "a").join(full.toDF("b", "id_b", "sigs_b"), "b")
+        .select("id_a", "id_b", likeness(F.col("sigs_a"), F.col("sigs_b"), least).alias("likeness"))
         .where(F.col("likeness") >= least)
+        .select(
+            F.least("id_a", "id_b").alias("a"), F.when(F.col("id_a").isNotNull() & F.col("id_b").isNotNull(), F.greatest("id_a", "id_b")).alias("b"),
+            "likeness",
+        )
     )
     return alike, sets.select("doc_id", "print").join(names, "print").select("doc_id", "class_id")

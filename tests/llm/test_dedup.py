@@ -283,5 +283,15 @@ def test_spotsigs_near_duplicates_equal_all_pairs(spark, frame, made):
     assert {(r.doc_id, r.class_id) for r in members.collect()} == {(i, min(ids)) for ids in sets.values() for i in ids}
 
 
+def test_spotsigs_links_classes_without_ids_and_of_one_id(spark):
+    words = "the quick brown fox of spain and a lazy dog in the garden with some other animals that were on the hill"
+    rows = [(None, words), (None, words + " today"), (7, words + " tomorrow"), (7, words + " yesterday"), (8, "nothing like that")]
+    pairs, members = spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.5)
+    none = (None, None)
+    got = sorted(((r.a, r.b) for r in pairs.collect()), key=str)
+    assert got == sorted([none, (7, None), (7, None), (7, None), (7, None), (7, 7)], key=str)
+    assert sorted(((r.doc_id, r.class_id) for r in members.collect()), key=str) == sorted([none, none, (7, 7), (7, 7), (8, 8)], key=str)
+
+
 def test_spotsigs_of_an_empty_table(empty):
     assert spotsigs.edited_likeness(empty).collect() == []
