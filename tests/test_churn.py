@@ -1,5 +1,5 @@
 import pytest
-from conftest import customer, order, payment, review, rows
+from builders import customer, order, payment, review, rows
 from pyspark.sql import functions as F
 
 from shopgauge.operators import churn, scoring

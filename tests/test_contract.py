@@ -1,7 +1,7 @@
 """Every named query against its SQL, on the smallest test tables."""
 
 import pytest
-from conftest import plan_of
+from builders import plan_of
 
 import __spark_entry__ as contract
 import check

@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import plan_of
+from builders import plan_of
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import customer, item, order, payment, review, rows
+from builders import customer, item, order, payment, review, rows
 
 from shopgauge.operators import customers, sales, service
 

@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import customer, order, rows
+from builders import customer, order, rows
 from pyspark.sql import functions as F
 
 from shopgauge import session as sessions
