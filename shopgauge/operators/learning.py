@@ -1,29 +1,25 @@
-"""Churn model: splits, tuning, training, explanation, storage and run records on Spark ML."""
+"""Churn model: splits, tuning, training, explanation, storage and run records."""
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import uuid
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.base import Estimator
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.pipeline import Pipeline
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.util import inheritable_thread_target
 
 from shopgauge.functions.columns import array_round, half_up
 from shopgauge.functions.ordering import lay_out, with_rank
+from shopgauge.operators import boosting
+from shopgauge.operators.boosting import Settings, Tree
 from shopgauge.operators.model_metrics import binary_metrics, roc_auc
 from shopgauge.schema import FEATURES, LABEL, PERSON
-from shopgauge.session import materialize
+from shopgauge.session import materialize, scratch_path
 
 SEED = 42
 TEST_PERCENT = 20
@@ -74,72 +70,64 @@ def stratified_folds(features: DataFrame, folds: int = FOLDS, seed: int = SEED)
 
 @dataclass
 class ChurnModel:
-    """A fitted model with what is needed to use and describe it."""
+    """Fitted trees with what is needed to use and describe them."""
 
-    model: PipelineModel
+    trees: list[Tree]
     feature_names: list[str]
     metrics: dict[str, float] = field(default_factory=dict)
     params: dict[str, float] = field(default_factory=dict)
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        """Add ``probability`` of churn."""
-        scored = self.model.transform(rows)
-        chance = vector_to_array(F.col("probability"))[1]
-        return scored.withColumn("_p", chance).select(*rows.columns, F.col("_p").alias("probability"))
-
+    def _features(self) -> list[Column]:
+        return [F.col(name) for name in self.feature_names]
 
-def estimator(params: dict[str, float], rows: int, weight: str | None = None, seed: int = SEED) -> Estimator:
-    """Gradient-boosted trees with logistic loss for a training table of ``rows`` rows.
+    def margin(self) -> Column:
+        return boosting.margin(self.trees, self._features())
 
-    L1 and L2 penalties have no counterpart and are ignored; the column share holds per node, the minimum
-    child weight is a minimum row count. ``gamma`` is a loss reduction summed over rows, where these trees
-    take a mean, so it is divided by the row count.
-    """
-    trees = GBTClassifier(
-        featuresCol="features", labelCol=LABEL, seed=seed, lossType="logistic",
-        maxIter=int(params.get("n_estimators", 100)),
-        maxDepth=int(params.get("max_depth", 6)),
-        stepSize=float(params.get("learning_rate", 0.3)),
-        subsamplingRate=float(params.get("subsample", 1.0)),
-        featureSubsetStrategy=_column_share(params.get("colsample_bytree", 1.0)),
-        minInstancesPerNode=max(1, int(params.get("min_child_weight", 1))),
-        minInfoGain=float(params.get("gamma", 0.0)) / max(rows, 1),
-    )
-    return trees.setWeightCol(weight) if weight else trees
+    def score(self, rows: DataFrame) -> DataFrame:
+        """Add ``probability`` of churn."""
+        return rows.select("*", (F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin()))).alias("probability"))
 
+    def attributed(self, rows: DataFrame) -> DataFrame:
+        """Add ``attribution``: an array of what each feature adds to the margin, and last what every person starts from."""
+        return rows.select("*", boosting.attribution(self.trees, self._features()).alias("attribution"))
 
-def _column_share(share: float) -> str:
-    return "all" if share >= 1.0 else str(float(share))
 
+#: Persons of a fit inside one task; more are fitted in passes over all tasks, with the same trees as the result.
+IN_TASK = 200_000
+#: Persons that tuning looks at, those with the smallest hash of their id.
+SAMPLE = 50_000
 
-def _assembler(names: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(names), outputCol="features")
 
+def _narrow(rows: DataFrame, names: Sequence[str], *others: Column) -> DataFrame:
+    key = F.xxhash64(PERSON).alias("_key")
+    return rows.select(key, F.col(LABEL).cast("int").alias("_y"), *others, *[F.col(n).cast("double").alias(n) for n in names])
 
-def _weighted(rows: DataFrame, column: str, positive_weight: float) -> DataFrame:
-    return rows.withColumn(column, F.when(F.col(LABEL) == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0)))
 
+def _fit_in_task(rows: DataFrame, names: Sequence[str], settings: Settings) -> list[Tree]:
+    def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(list(batches))
+        trees = boosting.grow(whole["_key"].to_numpy(), whole[list(names)].to_numpy(float), whole["_y"].to_numpy(), settings)
+        yield boosting.to_pandas(trees)
 
-# Tasks of a fit. Row sampling while boosting depends on them, so they are a parameter of the caller, larger for more
-# persons, and follow neither the session's settings nor the number of rows.
-PARTS = 4
+    return boosting.from_frame(_narrow(rows, names).coalesce(1).mapInPandas(grown, boosting.TREES_SCHEMA))
 
 
-def _in_fixed_order(rows: DataFrame, parts: int) -> DataFrame:
-    """The same rows in the same tasks at every run: row sampling while boosting depends on that."""
-    return rows.repartition(parts, PERSON).sortWithinPartitions(PERSON)
+def fit(rows: DataFrame, params: dict[str, float], seed: int = SEED, in_task: int = IN_TASK) -> ChurnModel:
+    """The model of all rows. It depends neither on their order nor on tasks, nor on where its sums are made."""
+    names = [c for c in rows.columns if c in FEATURES]
+    settings = Settings.of(params, seed)
+    if rows.count() <= in_task:
+        trees = _fit_in_task(rows, names, settings)
+    else:
+        trees = boosting.fit(rows, names, PERSON, LABEL, settings)
+    return ChurnModel(trees, names, params=dict(params))
 
 
 def train(
-    train_rows: DataFrame, test_rows: DataFrame, params: dict[str, float] | None = None, parts: int = PARTS
+    train_rows: DataFrame, test_rows: DataFrame, params: dict[str, float] | None = None, in_task: int = IN_TASK
 ) -> ChurnModel:
     """Fit on the training rows and measure on the test rows."""
-    params = params or {}
-    n = train_rows.count()
-    names = [c for c in train_rows.columns if c in FEATURES]
-    steps = Pipeline(stages=[_assembler(names), estimator(params, n, weight="weight")])
-    fitted = steps.fit(_weighted(_in_fixed_order(train_rows, parts), "weight", params.get("scale_pos_weight", 1.0)))
-    model = ChurnModel(fitted, names, params=dict(params))
+    model = fit(train_rows, params or {}, in_task=in_task)
     scored = materialize(model.score(test_rows).select(LABEL, "probability"), "scored")
     model.metrics = binary_metrics(scored, LABEL, "probability").first().asDict()
     return model
@@ -162,47 +150,124 @@ def sample_params(count: int, space: dict[str, tuple[float, float, str]] | None
     return points
 
 
+def sampled(rows: DataFrame, most: int, seed: int = SEED) -> DataFrame:
+    """At most ``most`` persons, those with the smallest hashes of their ids; all, if they are no more."""
+    return rows.orderBy(F.xxhash64(PERSON, F.lit(seed)), PERSON).limit(most)
+
+
+def _auc(margin: np.ndarray, y: np.ndarray) -> float:
+    """Share of (positive, negative) pairs in the right order, ties counting half; NaN if a class is missing."""
+    _, place, count = np.unique(margin, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(count) - (count - 1) / 2)[place]
+    positives, negatives = int((y == 1).sum()), int((y != 1).sum())
+    if not positives or not negatives:
+        return float("nan")
+    return float((ranks[y == 1].sum() - positives * (positives + 1) / 2) / (positives * negatives))
+
+
+LEDGER_SCHEMA = "study string, point string, fold int, value double"
+
+
+def _point_key(point: dict) -> str:
+    return json.dumps(point, sort_keys=True)
+
+
+def study_key(rows: DataFrame, folds: int, seed: int, most: int) -> str:
+    """Name of a search by what its values depend on: the rows, whatever their order, and how they are cut and sampled."""
+    content = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")).alias("digest")
+    ).first()
+    return f"{content.n}:{content.digest}:{folds}:{seed}:{most}"
+
+
+def _finished(spark: SparkSession, ledger: str, study: str) -> dict[tuple[str, int], float]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    rows = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("study") == study).collect()
+    return {(r.point, r.fold): r.value for r in rows}
+
+
+def _fits(points: list[dict], folds: int, done: dict) -> list[tuple[dict, int, dict[int, str]]]:
+    """(parameters, fold, {number of trees: point}) of the fits that are left, the longest first.
+
+    Points that differ in the number of trees only share a fit: its beginnings are the smaller models.
+    """
+    left: dict[tuple[str, int], tuple[dict, int, dict[int, str]]] = {}
+    for point in points:
+        for fold in range(folds):
+            if (_point_key(point), fold) in done:
+                continue
+            rest = {k: v for k, v in point.items() if k != "n_estimators"}
+            trees = int(point.get("n_estimators", Settings.trees))
+            left.setdefault((_point_key(rest), fold), (rest, fold, {}))[2][trees] = _point_key(point)
+    return sorted(left.values(), key=lambda f: -max(f[2]) * f[0].get("max_depth", Settings.depth))
+
+
 def tune(
     train_rows: DataFrame, count: int = TRIALS, space: dict | None = None, folds: int = FOLDS, seed: int = SEED,
-    parallelism: int | None = None, parts: int = PARTS,
+    ledger: str | None = None, most: int = SAMPLE, wave: int | None = None,
 ) -> tuple[list[dict], dict]:
     """Mean cross-validated ROC-AUC of random parameter points; returns the trials and the best point.
 
-    All points share the same stratified folds and one written, assembled table; the class weight of a point is
-    computed for its own fits. ``parallelism`` fits (as many as the session has cores, unless given) run at a time.
+    All points share the stratified folds of at most ``most`` persons, which go to the executors once; a task is one fit
+    and gives the values of all points that differ in the number of trees only. The values of each ``wave`` of fits (four
+    for each core, unless given) are appended to the ``ledger``, and a later call over the same rows makes those fits only
+    that are not found there.
     """
+    spark = train_rows.sparkSession
     points = sample_params(count, space, seed)
     names = [c for c in train_rows.columns if c in FEATURES]
-    n = train_rows.count()
-    folded = _assembler(names).transform(stratified_folds(train_rows, folds, seed))
-    rows = materialize(folded.select(PERSON, "features", LABEL, "fold"), "folds")
-    evaluator = BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC", numBins=0)
-
-    def auc(point: dict, fold: int) -> float:
-        fitting = _in_fixed_order(rows.where(F.col("fold") != fold), parts)
-        weighted = _weighted(fitting, "weight", point.get("scale_pos_weight", 1.0))
-        model = estimator(point, n, weight="weight", seed=seed).fit(weighted)
-        return evaluator.evaluate(model.transform(rows.where(F.col("fold") == fold)))
-
-    fits = [(point, fold) for point in points for fold in range(folds)]
-    spark = train_rows.sparkSession
-    with ThreadPoolExecutor(parallelism or spark.sparkContext.defaultParallelism) as pool:
-        scores = list(pool.map(inheritable_thread_target(spark)(lambda fit: auc(*fit)), fits))
+    ledger = ledger or scratch_path(spark, "trial-ledger")
+    study = study_key(train_rows, folds, seed, most)
+    done = _finished(spark, ledger, study)
+    waiting = _fits(points, folds, done)
+    if waiting:
+        folded = stratified_folds(sampled(train_rows, most, seed), folds, seed)
+        rows = _narrow(folded, names, F.col("fold")).toPandas()
+        parts = tuple(rows[c].to_numpy() for c in ("_key", "_y", "fold"))
+        data = spark.sparkContext.broadcast((*parts, rows[names].to_numpy(float)))
+        wave = wave or 4 * spark.sparkContext.defaultParallelism
+        for at in range(0, len(waiting), wave):
+            values = _cross_validated(spark, data, waiting[at : at + wave], study, seed)
+            values.coalesce(1).write.mode("append").parquet(ledger)
+        done = _finished(spark, ledger, study)
+        data.unpersist()
     trials = [
-        {"number": i, "value": round(sum(scores[i * folds : (i + 1) * folds]) / folds, 6), "params": point, "state": "COMPLETE"}
+        {
+            "number": i, "value": round(sum(done[_point_key(point), fold] for fold in range(folds)) / folds, 6),
+            "params": point, "state": "COMPLETE",
+        }
         for i, point in enumerate(points)
     ]
     best = max(trials, key=lambda t: (t["value"], -t["number"]))
     return trials, best["params"]
 
 
+def _cross_validated(spark: SparkSession, data, fits: list[tuple[dict, int, dict[int, str]]], study: str, seed: int) -> DataFrame:
+    """One task for each fit; a row for each point and fold. Written, so that a fit is made once."""
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, y, fold, x = data.value
+        for batch in batches:
+            for number in batch["id"]:
+                rest, held_out, stages = fits[number]
+                fitted, test = fold != held_out, fold == held_out
+                trees = boosting.grow(keys[fitted], x[fitted], y[fitted], Settings.of({**rest, "n_estimators": max(stages)}, seed))
+                wanted = sorted(stages)
+                aucs = [_auc(margin, y[test]) for margin in boosting.staged_margins(trees, x[test], wanted)]
+                yield pd.DataFrame({"study": study, "point": [stages[n] for n in wanted], "fold": held_out, "value": aucs})
+
+    jobs = spark.range(0, len(fits), 1, len(fits))
+    return materialize(jobs.mapInPandas(values, LEDGER_SCHEMA), "trial-values")
+
+
 def trials_frame(spark: SparkSession, trials: list[dict]) -> DataFrame:
     rows = [(t["number"], t["value"], {k: float(v) for k, v in t["params"].items()}, t["state"]) for t in trials]
     return spark.createDataFrame(rows, "number long, value double, params map<string, double>, state string")
 
 
 def feature_importance(spark: SparkSession, model: ChurnModel) -> DataFrame:
-    importance = model.model.stages[-1].featureImportances.toArray()
+    importance = boosting.importance(model.trees, len(model.feature_names))
     rows = [(name, float(value)) for name, value in zip(model.feature_names, importance)]
     return (
         spark.createDataFrame(rows, "feature string, importance double")
@@ -242,20 +307,35 @@ def permutation_importance(model: ChurnModel, rows: DataFrame, seed: int = SEED)
     )
 
 
+def mean_attribution(model: ChurnModel, rows: DataFrame) -> DataFrame:
+    """Per feature: mean and mean size of what it adds to the margins of the persons, the largest first.
+
+    ``ChurnModel.attributed`` has the attributions of every person; they sum to that person's margin.
+    """
+    each = model.attributed(rows).select(F.posexplode(F.slice("attribution", 1, len(model.feature_names))).alias("at", "value"))
+    means = each.groupBy("at").agg(F.avg(F.abs("value")).alias("mean_size"), F.avg("value").alias("mean"))
+    names = F.array(*[F.lit(name) for name in model.feature_names])
+    return means.select(
+        names[F.col("at")].alias("feature"), array_round("mean_size", 4).alias("mean_size"), array_round("mean", 4).alias("mean")
+    ).orderBy(F.desc("mean_size"), "feature")
+
+
 _META = "feature_names array<string>, metrics map<string, double>, params map<string, double>"
 
 
 def save_model(model: ChurnModel, path: str) -> None:
     spark = SparkSession.active()
-    model.model.write().overwrite().save(f"{path}/model")
+    boosting.to_frame(spark, model.trees).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
     params = {k: float(v) for k, v in model.params.items()}
     meta = spark.createDataFrame([(model.feature_names, model.metrics, params)], _META)
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load_model(path: str) -> ChurnModel:
-    meta = SparkSession.active().read.schema(_META).parquet(f"{path}/meta").first()
-    return ChurnModel(PipelineModel.load(f"{path}/model"), meta.feature_names, meta.metrics, meta.params)
+    read = SparkSession.active().read
+    meta = read.schema(_META).parquet(f"{path}/meta").first()
+    trees = boosting.from_frame(read.schema(boosting.TREES_SCHEMA).parquet(f"{path}/trees"))
+    return ChurnModel(trees, meta.feature_names, meta.metrics, meta.params)
 
 
 RUN_SCHEMA = (
@@ -288,12 +368,15 @@ class TrainingRun:
 
 
 def churn_training(features: DataFrame, folder: str, trials: int = TRIALS, space: dict | None = None) -> TrainingRun:
-    """Split, tune, train, record, save and explain, from a written feature table."""
+    """Split, tune, train, record, save and explain, from a written feature table.
+
+    The fits of the search are kept in ``folder``, so a run that was broken off goes on from there.
+    """
     spark = features.sparkSession
     split = materialize(stratified_split(features), "split")
     train_rows = split.where(F.col("part") == "train").drop("part")
     test_rows = split.where(F.col("part") == "test").drop("part")
-    history, best = tune(train_rows, trials, space)
+    history, best = tune(train_rows, trials, space, ledger=f"{folder}/fits")
     model = train(train_rows, test_rows, best)
     run_id = log_run(spark, model, f"{folder}/runs")
     save_model(model, f"{folder}/churn_model")

@@ -539,6 +539,22 @@ select unnest(['accuracy', 'precision', 'recall', 'f1', 'roc_auc']) as metric, c
     "rule_feature_importance": f"""
 select feature, case when feature = 'payment_type_count' then 1.0::double else 0.0::double end as importance
 from (select unnest({FEATURES}) as feature)""",
+    # The test part, each person with the rule's answer for the next one in the random order: two scores, so the area under
+    # the curve is the mean of the shares that are right in either class.
+    "rule_permutation_importance": _features(f"""
+select feature, case when feature = 'payment_type_count' then round_even(1 - area, 4) else 0.0::double end as auc_drop
+from (select unnest({FEATURES}) as feature), areas""", """
+labelled as (select customer_unique_id, payment_type_count >= 3 as y from features),
+ranked as (select *, md5(cast(customer_unique_id as varchar) || '#42') as k,
+                  row_number() over (partition by y order by md5(cast(customer_unique_id as varchar) || '#42'), customer_unique_id) as rk,
+                  count(*) over (partition by y) as n from labelled),
+tested as (select y, coalesce(lead(y) over w, first_value(y) over w) as other
+           from ranked where rk <= (2 * n * 20 + 100) // 200
+           window w as (order by k, customer_unique_id rows between unbounded preceding and unbounded following)),
+areas as (select (avg(case when other then 1.0 else 0.0 end) filter (y)
+                  + avg(case when other then 0.0 else 1.0 end) filter (not y)) / 2 as area from tested)"""),
+    "rule_run_log": """
+select 'churn-model' as run_name, unnest(['accuracy', 'precision', 'recall', 'f1', 'roc_auc']) as metric, cast(1 as double) as value""",
     "rule_batch_score": _features("""
 select customer_unique_id, payment_type_count >= 3 as is_churned,
        case when payment_type_count >= 3 then 'HIGH' else 'LOW' end as risk_level from features"""),

@@ -230,22 +230,25 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return split.drop("part"), train, test
 
 
-_fitted: dict[tuple[str, str], tuple[learning.ChurnModel, DataFrame, DataFrame]] = {}
+_fitted: dict[tuple[str, str], learning.ChurnModel] = {}
 
 
-def _fit(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame, DataFrame]:
-    """The model with default parameters, all persons and the test part; kept for the session's other queries."""
-    people, train, test = _split(spark, sf_dir)
-    _fitted[spark.sparkContext.applicationId, sf_dir] = learning.train(train, test), people, test
+def _fit(spark: SparkSession, sf_dir: str) -> learning.ChurnModel:
+    """The model with default parameters, kept for the session's other queries. Persons are read anew by each query."""
+    _, train, test = _split(spark, sf_dir)
+    _fitted[spark.sparkContext.applicationId, sf_dir] = learning.train(train, test)
     return _fitted[spark.sparkContext.applicationId, sf_dir]
 
 
-def _model(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame, DataFrame]:
+def _model(spark: SparkSession, sf_dir: str) -> learning.ChurnModel:
     return _fitted.get((spark.sparkContext.applicationId, sf_dir)) or _fit(spark, sf_dir)
 
 
 def train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _, _ = _fit(spark, sf_dir)
+    return _metrics(spark, _fit(spark, sf_dir))
+
+
+def _metrics(spark: SparkSession, model: learning.ChurnModel) -> DataFrame:
     return spark.createDataFrame(
         [(name, float(value)) for name, value in model.metrics.items()], "metric string, value double"
     )
@@ -259,18 +262,23 @@ def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _, _ = _model(spark, sf_dir)
-    return learning.feature_importance(spark, model)
+    return learning.feature_importance(spark, _model(spark, sf_dir))
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _, test = _model(spark, sf_dir)
-    return learning.permutation_importance(model, test)
+    model = _model(spark, sf_dir)
+    return learning.permutation_importance(model, _split(spark, sf_dir)[2])
+
+
+def mean_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each feature adds to the margins of the test part, on the mean over persons."""
+    model = _model(spark, sf_dir)
+    return learning.mean_attribution(model, _split(spark, sf_dir)[2])
 
 
 def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all persons by the model as fitted and as stored and read back."""
-    model, people, _ = _model(spark, sf_dir)
+    model, people = _model(spark, sf_dir), materialize(features(spark, sf_dir), "persons")
     path = scratch_path(spark, "model")
     learning.save_model(model, path)
     loaded = learning.load_model(path)
@@ -281,12 +289,14 @@ def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _, _ = _model(spark, sf_dir)
+def _run_log(spark: SparkSession, model: learning.ChurnModel) -> DataFrame:
     path = scratch_path(spark, "runs")
     learning.log_run(spark, model, path)
-    runs = learning.read_runs(spark, path)
-    return runs.select("run_name", F.explode("metrics").alias("metric", "value"))
+    return learning.read_runs(spark, path).select("run_name", F.explode("metrics").alias("metric", "value"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_log(spark, _model(spark, sf_dir))
 
 
 def churn_training(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,63 +304,66 @@ def churn_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.importance
 
 
-def model_high_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, people, _ = _model(spark, sf_dir)
-    return scoring.high_risk(model.score(people))
-
-
-def model_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, people, _ = _model(spark, sf_dir)
-    return scoring.batch_score(model.score(people))
-
+def on_model(operator: Callable[..., DataFrame]) -> Query:
+    @wraps(operator)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(_model(spark, sf_dir).score(features(spark, sf_dir)))
 
-def model_risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, people, _ = _model(spark, sf_dir)
-    return scoring.risk_histogram(model.score(people))
+    return query
 
 
 def validated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scoring request: accepted ones with the model's answer, rejected ones with their faults."""
-    model, _, _ = _model(spark, sf_dir)
+    model = _model(spark, sf_dir)
     accepted, rejected = churn.split_requests(testdata.request_rows(features(spark, sf_dir)))
     answers = scoring.batch_score(model.score(accepted))
     faults = rejected.select(PERSON, F.array_join("violations", "; ").alias("violations"))
     return answers.unionByName(faults, allowMissingColumns=True)
 
 
-_rule_fitted: dict[tuple[str, str], tuple[learning.ChurnModel, DataFrame]] = {}
+_rule_fitted: dict[tuple[str, str], learning.ChurnModel] = {}
+
+
+def _rule_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(spark, sf_dir).withColumn(LABEL, (F.col("payment_type_count") >= 3).cast("bigint"))
 
 
-def _rule_model(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame]:
-    """The default model for a label that one feature decides, and all persons: SQL can state all of its answers."""
+def _rule_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    split = materialize(learning.stratified_split(_rule_features(spark, sf_dir)), "split")
+    return tuple(split.where(F.col("part") == part).drop("part") for part in ("train", "test"))
+
+
+def _rule_model(spark: SparkSession, sf_dir: str) -> learning.ChurnModel:
+    """The default model for a label that one feature decides: SQL can state all of its answers."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _rule_fitted:
-        label = (F.col("payment_type_count") >= 3).cast("bigint")
-        split = materialize(learning.stratified_split(features(spark, sf_dir).withColumn(LABEL, label)), "split")
-        train, test = (split.where(F.col("part") == part).drop("part") for part in ("train", "test"))
-        _rule_fitted[key] = learning.train(train, test), split.drop("part")
+        _rule_fitted[key] = learning.train(*_rule_split(spark, sf_dir))
     return _rule_fitted[key]
 
 
 def rule_train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _rule_model(spark, sf_dir)
-    return spark.createDataFrame(
-        [(name, float(value)) for name, value in model.metrics.items()], "metric string, value double"
-    )
+    return _metrics(spark, _rule_model(spark, sf_dir))
 
 
 def rule_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.feature_importance(spark, _rule_model(spark, sf_dir)[0])
+    return learning.feature_importance(spark, _rule_model(spark, sf_dir))
+
+
+def rule_permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.permutation_importance(_rule_model(spark, sf_dir), _rule_split(spark, sf_dir)[1])
+
+
+def rule_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_log(spark, _rule_model(spark, sf_dir))
 
 
 def rule_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, people = _rule_model(spark, sf_dir)
-    return scoring.batch_score(model.score(people)).select(PERSON, "is_churned", "risk_level")
+    scored = _rule_model(spark, sf_dir).score(features(spark, sf_dir))
+    return scoring.batch_score(scored).select(PERSON, "is_churned", "risk_level")
 
 
 def rule_risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, people = _rule_model(spark, sf_dir)
-    return scoring.risk_histogram(model.score(people))
+    return scoring.risk_histogram(_rule_model(spark, sf_dir).score(features(spark, sf_dir)))
 
 
 def learning_queries() -> dict[str, Query]:
@@ -368,12 +381,15 @@ def learning_queries() -> dict[str, Query]:
         "save_load_model": save_load_model,
         "run_log": run_log,
         "churn_training": churn_training,
-        "model_high_risk": model_high_risk,
-        "model_batch_score": model_batch_score,
-        "model_risk_histogram": model_risk_histogram,
+        "mean_attribution": mean_attribution,
+        "model_high_risk": on_model(scoring.high_risk),
+        "model_batch_score": on_model(scoring.batch_score),
+        "model_risk_histogram": on_model(scoring.risk_histogram),
         "validated_scores": validated_scores,
         "rule_train_churn": rule_train_churn,
         "rule_feature_importance": rule_feature_importance,
+        "rule_permutation_importance": rule_permutation_importance,
+        "rule_run_log": rule_run_log,
         "rule_batch_score": rule_batch_score,
         "rule_risk_histogram": rule_risk_histogram,
         "trial_running_max": lambda spark, sf_dir: trials.trial_running_max(testdata.trials(spark, sf_dir)),

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shopgauge.operators import learning, model_metrics, scoring, trials
+from shopgauge.operators import boosting, learning, model_metrics, scoring, trials
 from shopgauge.plans import registry
 from shopgauge.schema import FEATURES, LABEL, PERSON
 
@@ -98,6 +98,153 @@ def test_runs_are_appended(spark, fitted, tmp_path):
     assert all(r.metrics == model.metrics and r.features == model.feature_names and r.ts for r in runs)
 
 
+SAMPLED = {"n_estimators": 12, "max_depth": 4, "subsample": 0.8, "colsample_bytree": 0.7, "reg_alpha": 0.5, "scale_pos_weight": 3.0}
+
+
+def test_the_model_depends_neither_on_tasks_nor_on_where_it_is_fitted(features):
+    inside = learning.fit(features, SAMPLED).trees
+    for parts in (4, 16):
+        assert learning.fit(features.repartition(parts, "monetary"), SAMPLED, in_task=0).trees == inside
+    assert learning.fit(features, {**SAMPLED, "subsample": 0.7}).trees != inside
+
+
+def test_fewer_trees_are_the_beginning_of_more(features):
+    more = learning.fit(features, SAMPLED).trees
+    assert learning.fit(features, {**SAMPLED, "n_estimators": 5}).trees == more[:5]
+
+
+def brute_splits(rows, depth, s):
+    """The first tree's root split and leaf weights by trying every cut of every feature in plain Python."""
+    def soft(g):
+        return (g - s.l1 if g > s.l1 else g + s.l1 if g < -s.l1 else 0.0)
+
+    def sums(part):
+        return sum((0.5 - y) * (s.positive_weight if y else 1) for _, y in part), sum(0.25 * (s.positive_weight if y else 1) for _, y in part)
+
+    def score(part):
+        g, h = sums(part)
+        return soft(g) ** 2 / (h + s.l2)
+
+    best = None
+    for f in range(len(rows[0][0])):
+        for cut in sorted({x[f] for x, _ in rows})[:-1]:
+            left, right = [r for r in rows if r[0][f] <= cut], [r for r in rows if r[0][f] > cut]
+            if min(sums(left)[1], sums(right)[1]) < s.least_weight:
+                continue
+            gain = score(left) + score(right) - score(rows)
+            if best is None or gain > best[0] + 1e-9:
+                best = (gain, f, cut, [-s.rate * soft(sums(p)[0]) / (sums(p)[1] + s.l2) for p in (left, right)])
+    return best
+
+
+def test_a_tree_equals_brute_force():
+    import numpy as np
+
+    draw = random.Random(5)
+    rows = [((draw.randint(0, 9), draw.choice([0.0, 1.0, 2.5]), draw.randint(0, 40)), int(draw.random() < 0.4)) for _ in range(120)]
+    settings = boosting.Settings(trees=1, depth=1, l1=0.3, l2=2.0, least_weight=4.0, positive_weight=2.0)
+    x, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
+    tree = boosting.grow(np.arange(len(rows)), x, y, settings)[0]
+    gain, feature, cut, leaves = brute_splits(rows, 1, settings)
+    assert (tree.feature[0], tree.cut[0]) == (feature, cut)
+    assert tree.gain[0] == pytest.approx(gain, abs=1e-5) and tree.value[1:] == pytest.approx(leaves, abs=1e-6)
+
+
+def test_scores_are_the_margins_of_the_fit(features):
+    import numpy as np
+
+    model = learning.fit(features, SAMPLED)
+    rows = features.toPandas()
+    margins = next(boosting.staged_margins(model.trees, rows[model.feature_names].to_numpy(float), [12]))
+    theirs = dict(zip(rows[PERSON], 1 / (1 + np.exp(-margins))))
+    for r in model.score(features).collect():
+        assert r.probability == pytest.approx(theirs[r[PERSON]], abs=1e-12)
+
+
+def test_attributions_sum_to_the_margin(features):
+    model = learning.fit(features, SAMPLED)
+    both = model.attributed(features).select(F.aggregate("attribution", F.lit(0.0), lambda a, v: a + v).alias("total"), model.margin().alias("margin"))
+    assert both.where(F.abs(F.col("total") - F.col("margin")) > 1e-9).isEmpty()
+    means = learning.mean_attribution(model, features).collect()
+    assert means[0].feature == "frequency" and len(means) == len(FEATURES)
+
+
+def test_null_features_and_constant_ones(spark, features):
+    spoiled = features.withColumn("monetary", F.when(F.col("frequency") > 3, F.col("monetary"))).withColumn("state_encoded", F.lit(1))
+    inside = learning.fit(spoiled, SAMPLED)
+    assert learning.fit(spoiled, SAMPLED, in_task=0).trees == inside.trees
+    at = inside.feature_names.index("state_encoded")
+    assert all(at not in tree.feature for tree in inside.trees)
+    assert inside.score(spoiled).where("probability is null or isnan(probability)").isEmpty()
+    empty = learning.fit(features.limit(0), SAMPLED)
+    assert empty.score(features).where("probability <> 0.5").isEmpty()
+
+
+SMALL = {**learning.SEARCH_SPACE, "n_estimators": (3, 5, "int"), "max_depth": (2, 3, "int")}
+
+
+def test_a_search_goes_on_from_its_ledger(spark, features, tmp_path, monkeypatch):
+    made = []
+    fit = learning._cross_validated
+
+    def counted(spark, data, fits, study, seed):
+        if len(made) + len(fits) > 4:
+            raise RuntimeError("lost")
+        made.extend(fits)
+        return fit(spark, data, fits, study, seed)
+
+    monkeypatch.setattr(learning, "_cross_validated", counted)
+    ledger = str(tmp_path / "fits")
+    with pytest.raises(RuntimeError, match="lost"):
+        learning.tune(features, 3, SMALL, ledger=ledger, wave=2)
+    assert len(made) == 4
+    made.clear()
+    monkeypatch.setattr(learning, "_cross_validated", lambda *a: (made.extend(a[2]), fit(*a))[1])
+    trials, _ = learning.tune(features.repartition(5), 3, SMALL, ledger=ledger, wave=2)
+    assert len(made) == 3 * learning.FOLDS - 4
+    made.clear()
+    assert learning.tune(features, 3, SMALL, ledger=ledger)[0] == trials == learning.tune(features, 3, SMALL)[0]
+    assert len(made) == 3 * learning.FOLDS  # only the call with a ledger of its own
+    made.clear()
+    learning.tune(features.where("frequency > 2"), 3, SMALL, ledger=ledger)
+    assert len(made) == 3 * learning.FOLDS  # other rows are another search
+
+
+def test_points_that_differ_in_trees_share_a_fit(features, monkeypatch):
+    points = [{**SAMPLED, "n_estimators": n} for n in (3, 9, 6)]
+    monkeypatch.setattr(learning, "sample_params", lambda *_: points)
+    assert [sorted(f[2]) for f in learning._fits(points, 2, {})] == [[3, 6, 9]] * 2
+    together = [t["value"] for t in learning.tune(features, 3, folds=2)[0]]
+    monkeypatch.setattr(learning, "sample_params", lambda *_: points[2:])
+    assert learning.tune(features, 1, folds=2)[0][0]["value"] == together[2]
+
+
+def test_tuned_values_are_those_of_single_fits(features, monkeypatch):
+    monkeypatch.setattr(learning, "sample_params", lambda *_: [SAMPLED])
+    value = learning.tune(features, 1)[0][0]["value"]
+    folded = learning.stratified_folds(learning.sampled(features, learning.SAMPLE)).cache()
+    aucs = []
+    for fold in range(learning.FOLDS):
+        model = learning.fit(folded.where(F.col("fold") != fold).drop("fold"), SAMPLED)
+        scored_rows = model.score(folded.where(F.col("fold") == fold))
+        aucs.append(model_metrics.roc_auc(scored_rows, LABEL, "probability").first().roc_auc)
+    assert value == pytest.approx(sum(aucs) / len(aucs), abs=1e-6)
+
+
+def test_queries_of_a_kept_model_read_the_persons_anew(spark, tmp_path):
+    import shutil
+
+    folder = tmp_path / "tables"
+    shutil.copytree("/root/testdata/sf0.001", folder)
+    query = registry.learning_queries()["model_batch_score"]
+    before = query(spark, str(folder)).count()
+    few = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_custkey % 2 = 0").toPandas()
+    few.to_parquet(folder / "orders.parquet", coerce_timestamps="us")
+    spark.catalog.refreshByPath(str(folder))
+    after = query(spark, str(folder)).count()
+    assert 0 < after < before
+
+
 def test_parameters_are_drawn_from_the_space():
     points = learning.sample_params(50)
     assert points == learning.sample_params(50)
@@ -109,8 +256,7 @@ def test_parameters_are_drawn_from_the_space():
 
 
 def test_tuning_and_training_run(features, tmp_path):
-    space = {**learning.SEARCH_SPACE, "n_estimators": (3, 5, "int"), "max_depth": (2, 3, "int")}
-    run = learning.churn_training(features, str(tmp_path), trials=2, space=space)
+    run = learning.churn_training(features, str(tmp_path), trials=2, space=SMALL)
     assert [t["number"] for t in run.trials] == [0, 1]
     assert max(t["value"] for t in run.trials) > 0.6
     assert run.model.params == max(run.trials, key=lambda t: t["value"])["params"]
