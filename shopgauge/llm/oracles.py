@@ -64,10 +64,51 @@ select doc_id, size, source_size, target,
 from walked
 """
 
+_FINE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = len(embedding)"
+
+
+def _nearest(centres: str) -> str:
+    """The nearest entry of every part, the lowest of equally near ones, and the squared distance to it."""
+    apart = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+    return f"""
+select vec_id, label, p, v, min({apart}) as d, arg_min(k, ({apart}) * 64 + k) as k
+from parts join {centres} using (p) group by vec_id, label, p, v"""
+
+
+# Whole numbers as doubles: all squares here are exact.
+COVER_CODES = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda v: floor(256 * v::double)) as x from embeddings where {_FINE}
+), parts as (
+  select vec_id, label, p, list_slice(x, 1 + p * (len(x) // 16), (p + 1) * (len(x) // 16)) as v from kept, (select unnest(range(16)) as p)
+), places as (select distinct unnest(range(1, 1 + len(v))) as i from parts
+), c0 as (
+  select p, row_number() over (partition by p order by vec_id) - 1 as k, v as c from parts
+  where vec_id in (select vec_id from kept order by vec_id limit 64)
+), a0 as ({_nearest("c0")}
+), c1 as (
+  select p, k, list(coalesce(floor(total / n), c[i]) order by i) as c
+  from c0 cross join places left join (select p, k, i, sum(v[i]) as total, count(*) as n from a0 cross join places group by p, k, i) using (p, k, i)
+  group by p, k
+), a1 as ({_nearest("c1")}
+), c2 as (
+  select p, k, list(coalesce(floor(total / n), c[i]) order by i) as c
+  from c1 cross join places left join (select p, k, i, sum(v[i]) as total, count(*) as n from a1 cross join places group by p, k, i) using (p, k, i)
+  group by p, k
+), a2 as ({_nearest("c2")}
+), coded as (
+  select vec_id, label, string_agg(lpad(format('{{:x}}', k), 2, '0'), '' order by p) as code, sum(d)::bigint as error from a2 group by vec_id, label
+), books as (
+  select sha256(string_agg(array_to_string(list_transform(c, lambda v: v::bigint), ','), ',' order by p, k)) as codebooks_sha256 from c2
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded, books
+"""
+
 
 def all_oracles() -> dict[str, str]:
     return {
         "op3_warc_revisits": WARC_REVISITS,
         "op4_source_mix": SOURCE_MIX,
         "op5_stream_dedup": STREAM_DEDUP,
+        "op12_cover_tree_codes": COVER_CODES,
     }

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shopgauge.llm import (
-    bpe_rounds, langid_crf, quality_bt, simhash_mih, source_mix, spotsigs, stream_dedup, superkmers, toxicity_gru, warc_revisits,
+    bpe_rounds, cover_codes, langid_crf, qd_whitening, quality_bt, simhash_mih, source_mix, spotsigs, stream_dedup,
+    superkmers, toxicity_gru, warc_revisits,
 )
 from shopgauge.llm.tables import table
 
@@ -55,6 +56,14 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_mih.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qd_whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -69,5 +78,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_rounds": bpe,
         "op9_toxicity_gru": toxicity,
         "op10_simhash_mih": simhash,
+        "op11_qd_whitening": whitening,
+        "op12_cover_tree_codes": vector_codes,
         "pipeline": corpus_pipeline.run,
     }
