@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shopgauge.llm import (
-    bpe_rounds, cover_codes, langid_crf, qd_whitening, quality_bt, simhash_mih, source_mix, spotsigs, stream_dedup,
+    bpe_rounds, cover_codes, langid_crf, pii_boosting, qd_whitening, quality_bt, simhash_mih, source_mix, spotsigs, stream_dedup,
     superkmers, toxicity_gru, warc_revisits,
 )
 from shopgauge.llm.tables import table
@@ -64,6 +64,10 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boosting.spans(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -80,5 +84,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash_mih": simhash,
         "op11_qd_whitening": whitening,
         "op12_cover_tree_codes": vector_codes,
+        "op13_pii_boosting": personal_data,
         "pipeline": corpus_pipeline.run,
     }
