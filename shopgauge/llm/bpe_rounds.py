@@ -19,14 +19,13 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from shopgauge.llm.tables import in_blocks
+from shopgauge.llm.tables import beside_text
 
 #: The split pattern and the white space of the vocabulary's normaliser.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -214,20 +213,8 @@ _encoders: dict[str, Encoder] = {}
 
 def encoded(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (joined by one space) and decoded text of every document."""
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(vocabulary_path)
-        for batch in batches:
-            rows = zip(batch["doc_id"].tolist(), [t or "" for t in batch["text"]])
-            for block in in_blocks(rows, lambda r: len(r[1]) + 1, _BLOCK_CHARS):
-                made = encoder.encode_batch([t for _, t in block])
-                yield pd.DataFrame(
-                    {"doc_id": pd.array([i for i, _ in block], "Int64"), "n_tokens": [m[0] for m in made],
-                     "ids": [m[1] for m in made], "decoded": [m[2] for m in made]}
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        encode, "doc_id long, n_tokens long, ids string, decoded string"
-    )
+    made = {"n_tokens": pa.int64(), "ids": pa.string(), "decoded": pa.string()}
+    return _beside(docs, made, lambda texts: list(zip(*_encoder(vocabulary_path).encode_batch(texts))))
 
 
 def _hex(text: str) -> str:
@@ -236,17 +223,11 @@ def _hex(text: str) -> str:
 
 def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text, made where the texts are encoded."""
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(vocabulary_path)
-        for batch in batches:
-            rows = zip(batch["doc_id"].tolist(), [t or "" for t in batch["text"]])
-            for block in in_blocks(rows, lambda r: len(r[1]) + 1, _BLOCK_CHARS):
-                made = encoder.encode_batch([t for _, t in block])
-                yield pd.DataFrame(
-                    {"doc_id": pd.array([i for i, _ in block], "Int64"), "n_tokens": [m[0] for m in made],
-                     "ids_sha256": [_hex(m[1]) for m in made], "decoded_sha256": [_hex(m[2]) for m in made]}
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    def work(texts: list[str]) -> list:
+        return list(zip(*[(n, _hex(ids), _hex(decoded)) for n, ids, decoded in _encoder(vocabulary_path).encode_batch(texts)]))
+
+    return _beside(docs, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, work)
+
+
+def _beside(docs: DataFrame, made: dict, work) -> DataFrame:
+    return beside_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], made, work, _BLOCK_CHARS)

@@ -16,16 +16,15 @@ Repeated rows give repeated result rows; an empty table gives an empty result. O
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from shopgauge.llm import textarrays as ta
 from shopgauge.llm.samples import is_held_out, learnable
-from shopgauge.llm.tables import in_blocks
+from shopgauge.llm.tables import beside_text
 from shopgauge.session import materialize
 
 #: Documented bounds of the fit: documents of each language.
@@ -236,43 +235,30 @@ def predicted(docs: DataFrame, field: Field | None = None, per_language: int = P
     """doc_id, held_out, lang_pred, score, one row per document."""
     field = field or learn(docs, per_language)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = zip(batch["doc_id"].tolist(), batch["held_out"], [t or "" for t in batch["text"]])
-            for block in in_blocks(rows, lambda r: len(r[2]) + 1, _BLOCK_CHARS):
-                languages, score = document_languages(field, [r[2] for r in block])
-                yield pd.DataFrame(
-                    {"doc_id": pd.array([r[0] for r in block], "Int64"), "held_out": [r[1] for r in block],
-                     "lang_pred": languages, "score": score}
-                )
-
     key = F.col("doc_id").cast("long")
-    return docs.select(key.alias("doc_id"), is_held_out(key, DIVISOR, HELD_OUT).alias("held_out"), "text").mapInPandas(
-        predict, "doc_id long, held_out boolean, lang_pred string, score double"
-    )
+    flagged = docs.select(key.alias("doc_id"), is_held_out(key, DIVISOR, HELD_OUT).alias("held_out"), "text")
+    made = {"lang_pred": pa.string(), "score": pa.float64()}
+    return beside_text(flagged, ["doc_id", "held_out"], made, lambda texts: list(document_languages(field, texts)), _BLOCK_CHARS)
 
 
 def word_spans(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id and its spans (start, end, lang, score): runs of words of one language, in order, by code points."""
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = zip(batch["doc_id"].tolist(), [t or "" for t in batch["text"]])
-            for block in in_blocks(rows, lambda r: len(r[1]) + 1, _BLOCK_CHARS):
-                words, made = field.label([t for _, t in block])
-                best = made.argmax(axis=1) if len(made) else np.zeros(0, np.int64)
-                new = np.concatenate([[True], (np.diff(best) != 0) | (np.diff(words.owner) != 0)]) if len(best) else np.zeros(0, bool)
-                edge = np.flatnonzero(new)
-                last = np.append(edge[1:], len(best)) - 1
-                out: list[list[dict]] = [[] for _ in block]
-                for a, b in zip(edge.tolist(), last.tolist()):
-                    who = int(words.owner[a])
-                    base = words.offsets[who]
-                    out[who].append({
-                        "start": int(words.starts[a] - base), "end": int(words.ends[b] - base),
-                        "lang": field.languages[best[a]], "score": float(made[a : b + 1, best[a]].mean()),
-                    })
-                yield pd.DataFrame({"doc_id": pd.array([i for i, _ in block], "Int64"), "spans": out})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        spans, "doc_id long, spans array<struct<start:long, end:long, lang:string, score:double>>"
-    )
+    def spans(texts: list[str]) -> list:
+        words, made = field.label(texts)
+        best = made.argmax(axis=1) if len(made) else np.zeros(0, np.int64)
+        new = np.concatenate([[True], (np.diff(best) != 0) | (np.diff(words.owner) != 0)]) if len(best) else np.zeros(0, bool)
+        edge = np.flatnonzero(new)
+        last = np.append(edge[1:], len(best)) - 1
+        out: list[list[dict]] = [[] for _ in texts]
+        for a, b in zip(edge.tolist(), last.tolist()):
+            who = int(words.owner[a])
+            base = words.offsets[who]
+            out[who].append({
+                "start": int(words.starts[a] - base), "end": int(words.ends[b] - base),
+                "lang": field.languages[best[a]], "score": float(made[a : b + 1, best[a]].mean()),
+            })
+        return [out]
+
+    one = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("score", pa.float64())])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return beside_text(rows, ["doc_id"], {"spans": pa.list_(one)}, spans, _BLOCK_CHARS)

@@ -13,15 +13,15 @@ repeated result rows. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from shopgauge.llm.tables import SPACES
+from shopgauge.llm.tables import SPACES, beside_text
 from shopgauge.session import materialize
 
 #: Fixed values of the contract: shingle length, hash seed, greatest distance.
@@ -30,6 +30,7 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (1+1) + (1+1) + (0+1) = 5, so no pair within 4 is lost. For corpora beyond some 2**28 distinct fingerprints
 #: ((32, 2), (32, 1)) probes more and meets fewer: (2+1) + (1+1) = 5 as well.
 SEGMENTS = ((22, 1), (21, 1), (21, 0))
+_BLOCK_CHARS = 1 << 22
 _COLUMN = np.arange(8, dtype=np.int64) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(float)
 
@@ -57,16 +58,13 @@ def fingerprint(text: str) -> int:
     return int(np.packbits((2 * (octets @ _BITS) > count).ravel(), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        prints = np.fromiter((fingerprint(t or "") for t in batch["text"]), np.uint64, len(batch))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "bits": prints.view(np.int64)})
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the fingerprint of its text as a long (its bits), one row per document."""
+    def work(texts: list[str]) -> list:
+        return [np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)]
+
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInPandas(_fingerprints, "doc_id long, bits long")
+    return beside_text(narrow, ["doc_id"], {"bits": pa.int64()}, work, _BLOCK_CHARS)
 
 
 def _balls(segments: Sequence[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:

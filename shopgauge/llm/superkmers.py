@@ -186,7 +186,8 @@ def _keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept = b" ".join([w for w, s in zip(words, stays.tolist()) if s])
             out.append((len(words), len(words) - int(stays.sum()), hashlib.sha256(kept).hexdigest()))
         made = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
-        made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+        made.insert(0, "id", batch["id"].to_numpy())
+        made.insert(1, "named", batch["named"].to_numpy())
         yield made
 
 
@@ -228,8 +229,10 @@ def removed_windows(docs: DataFrame, most: int = MOST) -> DataFrame:
     earliest = single.groupBy("window").agg(F.min("id").alias("earliest"))
     again = single.join(earliest, "window").where("id > earliest").select(*key, "begin", (F.col("begin") + WINDOW).alias("end"))
     gone = spans.union(again).groupBy(*key).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    mended = carriers.join(gone, key, "left").select("doc_id", "text", "spans").mapInPandas(
-        _keep, "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    )
+    # A column with nulls would pass through doubles, so a null id travels as its order and a flag.
+    named = F.col("doc_id").isNotNull().alias("named")
+    mended = carriers.join(gone, key, "left").select("id", named, "text", "spans").mapInPandas(
+        _keep, "id long, named boolean, n_words long, n_removed long, kept_sha256 string"
+    ).select(F.when(F.col("named"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
     whole = found.where(~affected).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return whole.union(mended)

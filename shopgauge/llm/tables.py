@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from typing import TypeVar
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any, TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 #: The characters that separate words in the contracts of these operators.
 SPACES = " \t\n\x0b\x0c\r"
@@ -44,3 +46,27 @@ def in_blocks(texts: Iterable[T], size_of, most: int) -> Iterator[list[T]]:
         total += size
     if block:
         yield block
+
+
+def beside_text(rows: DataFrame, columns: Sequence[str], made: dict[str, pa.DataType], work: Callable[[list[str]], list[Sequence[Any]]],
+                most: int, text: str = "text") -> DataFrame:
+    """The given columns, as they are, and new ones that ``work`` makes of the texts (null: empty), block by block.
+
+    Kept columns stay in Arrow: no id passes through a double, whatever nulls are beside it. ``made`` has the new columns'
+    names and types, ``work`` returns their values in that order; a block has about ``most`` characters.
+    """
+    kept = rows.select(*columns).schema
+    schema = pa.schema([pa.field(name, kind) for name, kind in made.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(len(columns)).to_pylist()]
+            for block in in_blocks(range(len(texts)), lambda i: len(texts[i]) + 1, most):
+                values = [pa.array(v, f.type) for v, f in zip(work([texts[i] for i in block]), schema)]
+                part = batch.slice(block[0], len(block))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *values], names=[*columns, *schema.names])
+
+    out = kept
+    for name, kind in made.items():
+        out = out.add(name, from_arrow_type(kind), True)
+    return rows.select(*columns, F.col(text).alias("_read")).mapInArrow(run, out)

@@ -19,12 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shopgauge.llm import textarrays as ta
 from shopgauge.llm.samples import class_sizes, is_held_out, labelled_texts
-from shopgauge.llm.tables import in_blocks
+from shopgauge.llm.tables import beside_text, in_blocks
 
 #: Documented bound of the fit: labelled rows of either label. All windows of a document are in its training step.
 PER_CLASS = 2000
@@ -289,24 +289,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     return fit(sample["text"].tolist(), sample["label"].to_numpy(), (clean, toxic))
 
 
-def scored_rows(docs: DataFrame, model: tuple[Network, float] | None, columns: list[str]) -> DataFrame:
-    """The given columns of the documents, score and predicted; ``columns`` must not hold text."""
-    narrow = docs.select(*columns, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name != "_text")
+def _scores(model: tuple[Network, float] | None, texts: list[str]) -> np.ndarray:
+    return np.asarray(model[0].score(texts, model[1])) if model else np.zeros(len(texts))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [t or "" for t in batch["_text"]]
-            made = [
-                model[0].score([texts[i] for i in block], model[1]) if model else np.zeros(len(block))
-                for block in in_blocks(range(len(texts)), lambda i: len(texts[i]) + 1, _BLOCK_CHARS)
-            ]
-            out = batch.drop(columns="_text")
-            out["score"] = np.concatenate(made) if made else np.zeros(0)
-            out["predicted"] = (out["score"] >= THRESHOLD).astype(np.int32)
-            yield out
 
-    return narrow.mapInPandas(score, f"{schema}, score double, predicted int")
+def scored_rows(docs: DataFrame, model: tuple[Network, float] | None, columns: list[str]) -> DataFrame:
+    """The given columns of the documents, as they are, score and predicted."""
+    def score(texts: list[str]) -> list:
+        made = _scores(model, texts)
+        return [made, (made >= THRESHOLD).astype(np.int32)]
+
+    return beside_text(docs, columns, {"score": pa.float64(), "predicted": pa.int32()}, score, _BLOCK_CHARS)
 
 
 def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -320,11 +313,13 @@ def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     """The documents that are not predicted toxic, with their columns."""
     model = learn(docs, labels, "toxic", per_class)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             blocks = in_blocks(range(len(texts)), lambda i: len(texts[i]) + 1, _BLOCK_CHARS)
-            made = [model[0].score([texts[i] for i in b], model[1]) for b in blocks]
-            yield batch[np.concatenate(made) < THRESHOLD] if made else batch
+            made = [_scores(model, [texts[i] for i in b]) for b in blocks]
+            yield batch.filter(pa.array(np.concatenate(made) < THRESHOLD)) if made else batch
 
-    return docs if model is None else docs.mapInPandas(keep, docs.schema)
+    return docs if model is None else docs.mapInArrow(keep, docs.schema)
