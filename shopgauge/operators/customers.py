@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shopgauge.functions.columns import epoch_micros, mean_money, money, month_label, month_start, percent, whole_days
-from shopgauge.functions.ordering import lay_out, with_rank
+from shopgauge.functions.selection import at_ranks, id_order
 from shopgauge.operators.facts import active_months, delivered, sales_by_person
 from shopgauge.schema import PERSON
 from shopgauge.session import materialize
@@ -112,23 +112,15 @@ def monthly_retention(star: Star) -> DataFrame:
     )
 
 
-def _metric_rows(people: DataFrame, metrics: dict[str, Column]) -> DataFrame:
-    """(metric, key, person) rows: several orders over the same persons in one table."""
-    entries = [F.struct(F.lit(name).alias("metric"), key.cast("bigint").alias("key")) for name, key in metrics.items()]
-    return people.select(PERSON, F.inline(F.array(*entries)))
-
-
 def _at_ranks(people: DataFrame, metrics: dict[str, Column], ranks: list[int]) -> dict[str, dict[int, tuple]]:
-    """Per metric, the (key, person) found at each of the given ranks.
+    """Per metric, the (key, person) found at each of the given ranks of the order (key, person).
 
-    One sort by range serves all metrics; what comes back to the driver is one row per metric and rank.
+    Persons are counted in nested histograms, all metrics at once; none is shuffled or sorted. What comes back to the
+    driver is bounded by the numbers of metrics and ranks.
     """
-    laid = lay_out(_metric_rows(people, metrics), ["key", PERSON], by=["metric"])
-    wanted = with_rank(laid, ["metric"], len(metrics)).where(F.col("rk").isin(*sorted(set(ranks))))
-    found: dict[str, dict[int, tuple]] = {name: {} for name in metrics}
-    for row in wanted.select("metric", "rk", "key", PERSON).collect():
-        found[row["metric"]][row["rk"]] = (row["key"], row[PERSON])
-    return found
+    by_person = id_order(people, PERSON)
+    orders = {name: [key.cast("bigint"), *by_person] for name, key in metrics.items()}
+    return at_ranks(people, orders, {name: ranks for name in metrics}, F.col(PERSON))
 
 
 def _score(key: Column, cuts: list[tuple]) -> Column:
@@ -266,14 +258,56 @@ def rfm_segment_counts(star: Star, strict: bool = False) -> DataFrame:
 
 def clv_distribution(star: Star) -> DataFrame:
     """Count, mean, exact median, extremes and sample deviation of delivered revenue per person."""
-    people = sales_by_person(star).select(PERSON, F.col("monetary_cents").alias("cents"))
-    ranked = with_rank(lay_out(people, ["cents", PERSON]))
-    middle = (F.col("rk") * 2 >= F.col("n")) & (F.col("rk") * 2 <= F.col("n") + 2)
-    return ranked.agg(
+    people = materialize(sales_by_person(star).select(F.col("monetary_cents").alias("cents")), "clv")
+    n = people.count()
+    middle = [(n + 1) // 2, n // 2 + 1] if n else []
+    found = at_ranks(people, {"cents": [F.col("cents")]}, {"cents": middle}, F.col("cents"))["cents"]
+    median = mean_money(F.lit(sum(found[rank][0] for rank in middle)), F.lit(2)) if n else F.lit(None).cast("double")
+    return people.agg(*_clv_sums(), median.alias("median_clv")).select(*CLV_FIELDS)
+
+
+# Fields of the distribution, in order.
+CLV_FIELDS = ["total_customers", "avg_clv", "median_clv", "min_clv", "max_clv", "stddev_clv"]
+
+
+def _clv_sums() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("total_customers"),
         mean_money(F.sum("cents"), F.count("cents")).alias("avg_clv"),
-        mean_money(F.sum(F.when(middle, F.col("cents"))), F.count_if(middle)).alias("median_clv"),
         money(F.min("cents")).alias("min_clv"),
         money(F.max("cents")).alias("max_clv"),
         F.round(F.stddev_samp(money("cents")), 2).alias("stddev_clv"),
+    ]
+
+
+def clv_sketches(star: Star, k: int = 800) -> DataFrame:
+    """One mergeable quantile sketch of revenue per person for each month of first purchase, with exact sums beside it.
+
+    A stored row needs no rescan when other months come: ``clv_from_sketches`` merges any of them.
+    """
+    people = sales_by_person(star).select(F.col("monetary_cents").alias("cents"), PERSON)
+    first = active_months(star).groupBy(PERSON).agg(F.min("month").alias("cohort"))
+    spend = money("cents")
+    return people.join(first, PERSON).groupBy(month_start("cohort").alias("cohort_month")).agg(
+        F.expr(f"kll_sketch_agg_bigint(cents, {k})").alias("sketch"),
+        F.count(F.lit(1)).alias("persons"), F.sum("cents").alias("cents"), F.min("cents").alias("least"), F.max("cents").alias("most"),
+        F.sum(spend * spend).alias("squares"),
+    )
+
+
+def clv_from_sketches(sketches: DataFrame) -> DataFrame:
+    """The distribution out of stored sketches; the median is approximate, all else is exact (the deviation to rounding).
+
+    The rank of the answer is off by a share of the persons that falls with the sketch's k: about 0.3 % at 800.
+    """
+    merged = sketches.agg(
+        F.expr("kll_merge_agg_bigint(sketch)").alias("sketch"), F.sum("persons").alias("n"), F.sum("cents").alias("cents"),
+        F.min("least").alias("least"), F.max("most").alias("most"), F.sum("squares").alias("squares"),
+    )
+    n, total = F.col("n").cast("double"), money("cents")
+    return merged.select(
+        F.col("n").alias("total_customers"), mean_money("cents", "n").alias("avg_clv"),
+        money(F.expr("kll_sketch_get_quantile_bigint(sketch, 0.5D)")).alias("median_clv"),
+        money("least").alias("min_clv"), money("most").alias("max_clv"),
+        F.round(F.sqrt(F.try_divide(F.col("squares") - total * total / n, n - 1)), 2).alias("stddev_clv"),
     )

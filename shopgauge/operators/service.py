@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shopgauge.functions.columns import (
     array_round, cents, elapsed_fraction, elapsed_seconds, half_up, mean_money, money, percent, safe_ratio, wide,
 )
-from shopgauge.functions.ordering import lay_out, with_rank
+from shopgauge.functions.selection import at_ranks, id_order
 from shopgauge.operators.facts import delivered, is_late, items_by_order_and_category, reviews_by_order
+from shopgauge.session import materialize
 from shopgauge.star import Star
 
 _MICROS_PER_TENTH_DAY = 8640000000
@@ -167,10 +168,19 @@ def late_vs_review(star: Star) -> DataFrame:
 
 def seller_pareto(star: Star, top_pct: int = 20) -> DataFrame:
     """Revenue share of the top sellers (the first ``top_pct`` percent of all that sold anything)."""
-    revenue = star.order_items.groupBy("seller_id").agg(F.sum(cents("price")).alias("price_cents"))
-    ranked = with_rank(lay_out(revenue, [F.desc("price_cents"), F.col("seller_id")]))
-    is_top = (F.col("rk") - 1) * 100 < F.col("n") * top_pct
-    return ranked.agg(
+    sold = star.order_items.groupBy("seller_id").agg(F.sum(cents("price")).alias("price_cents"))
+    revenue = materialize(sold, "seller-revenue")
+    n = revenue.count()
+    last = -(-n * top_pct // 100)
+    key = F.coalesce(-F.col("price_cents"), F.lit(1 << 60))
+    is_top = F.lit(False)
+    if last:
+        # A null id comes first among equals.
+        order = [key, F.col("seller_id").isNotNull().cast("int"), *[F.coalesce(d, F.lit(0)) for d in id_order(revenue, "seller_id")]]
+        cut_key, cut_seller = at_ranks(revenue, {"cut": order}, {"cut": [last]}, F.col("seller_id"))["cut"][last]
+        upto = F.col("seller_id").isNull() | F.coalesce(F.col("seller_id") <= F.lit(cut_seller), F.lit(False))
+        is_top = (key < cut_key) | ((key == cut_key) & upto)
+    return revenue.agg(
         F.count(F.lit(1)).alias("sellers"),
         F.count_if(is_top).alias("top_sellers"),
         F.sum(F.when(is_top, F.col("price_cents"))).alias("top_cents"),

@@ -6,6 +6,7 @@ the operators compute them.
 
 from __future__ import annotations
 
+from shopgauge.operators.statements import STATEMENTS
 from shopgauge.schema import FEATURES, LABEL, PERSON
 
 VIEWS = """
@@ -718,4 +719,6 @@ from (select *, (b + p2) / 2 as pm
 
 
 def all_oracles() -> dict[str, str]:
-    return {**SOURCES, **SALES, **CUSTOMERS, **SERVICE, **CHURN, **LEARNING, **EXPERIMENTS}
+    reports = {**SOURCES, **SALES, **CUSTOMERS, **SERVICE, **CHURN, **LEARNING, **EXPERIMENTS}
+    # A report's own SQL text must answer as the report does.
+    return reports | {f"sql_{name}": reports[name] for name in STATEMENTS}

@@ -205,3 +205,42 @@ def test_a_date_far_off_makes_no_wider_plan(make_star):
     got = rows(customers.monthly_retention(star), "active_month", "active_count", "retained_count")
     assert got == [(dt.date(1995, 12, 1), 1, 1), (dt.date(1996, 1, 1), 1, 0), (dt.date(9999, 12, 1), 1, 0)]
     assert [r.month_offset for r in customers.cohort_retention_counts(star).collect()] == [0, 1, 12 * 8004]
+
+
+def test_statements_answer_as_the_operators_do_and_take_parameters(spark, make_star):
+    from shopgauge.operators import statements
+
+    people = [f"p{i:02}" for i in range(40)]
+    star = make_star(
+        customers=[customer(f"{p}{k}", p, f"S{i % 3}") for i, p in enumerate(people) for k in "ab"],
+        orders=[order(f"o{p}{k}", f"{p}{k}", f"2024-{1 + (i + n) % 5:02}-{1 + i % 27:02} 10:30:00", delivered=f"2024-07-{1 + i % 27:02} 09:00:00" if i % 9 else None,
+                      estimated="2024-07-12" if i % 5 else None, status="delivered" if i % 7 else "shipped")
+                for i, p in enumerate(people) for n, k in enumerate("ab")],
+        order_payments=[payment(f"o{p}{k}", 10 + i % 13 + 0.05, ["boleto", "voucher"][i % 2], 1 + i % 4, n + 1)
+                        for i, p in enumerate(people) for n, k in enumerate("aab") if i % 11],
+        order_items=[item(f"o{p}{k}", 5 + i % 17, f"q{i % 4}", f"s{i % 6}", n + 1) for i, p in enumerate(people) for n, k in enumerate("aba")],
+        order_reviews=[review(f"r{p}{n}", f"o{p}a", 1 + (i + n) % 5 if i % 8 else None) for i, p in enumerate(people) for n in range(i % 4)],
+        products=[(f"q{i}", f"c{i % 3}") for i in range(4)], category_translation=[("c1", "one")], sellers=[(f"s{i}", "0", "city", "S1") for i in range(5)],
+    )
+
+    operators = {name: getattr(module, name) for module in (sales, customers, service) for name in statements.STATEMENTS if hasattr(module, name)}
+    assert set(operators) == set(statements.STATEMENTS)
+    for name, operator in operators.items():
+        want, got = operator(star), statements.run(spark, star, name)
+        assert got.columns == want.columns, name
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+    assert statements.run(spark, star, "top_sellers", top=1).count() == min(1, service_sellers(star))
+    assert statements.run(spark, star, "repeat_purchase_rate", status="nowhere").first().total_customers == 0
+
+
+def service_sellers(star):
+    return star.order_items.select("seller_id").distinct().count()
+
+
+def test_statements_of_an_empty_star(spark, make_star):
+    from shopgauge.operators import statements
+
+    empty = make_star()
+    for name in statements.STATEMENTS:
+        rows_found = statements.run(spark, empty, name).collect()
+        assert len(rows_found) in (0, 1) and (not rows_found or rows_found[0].total_customers == 0), name
