@@ -1,13 +1,14 @@
 """SpotSigs fingerprints, in DataFrame operations only.
 
-A spot is an anchor, a common word of one of four languages, and its signature the anchor with the next content words
-after it: words that are no anchors themselves. As a text may hold no common word at all (tables, lists), one word in
+A spot is an anchor, a common word of one of four languages, and its signature the anchor with a full chain of the next
+content words after it: words that are no anchors themselves. An anchor that no full chain follows within ``REACH`` words is
+no spot. Words are runs of letters and digits. As a text may hold no common word at all (tables, lists), one word in
 ``SAMPLED`` is an anchor by its own hash, whatever text it is in. A fingerprint is the set of a text's signatures. Two
 sets are compared by Jaccard: pairs whose lengths alone rule the likeness out are pruned before anything is intersected,
 and in the search for near duplicates sets only meet inside neighbouring partitions of set length.
 
-Nulls: a null text is an empty one. A text without spots has one signature, its whole sequence of words, so equal texts
-have equal fingerprints and the empty text has one too. Rows without a doc_id come after all others. Rows that share a
+Nulls: a null text is an empty one. A text without spots has one signature, its whole sequence of words (of a text without
+letters and digits, the text), so equal texts have equal fingerprints and the empty text has one too. Rows without a doc_id come after all others. Rows that share a
 doc_id follow each other in the order of their texts' hashes. Repeated rows give repeated result rows. An empty table
 gives an empty result. Only doc_id and text are read.
 """
@@ -29,7 +30,7 @@ ANCHORS = (
 CHAIN, REACH, SAMPLED = 2, 8, 16
 #: Rows in one range of the order by id, about, and the most ranges; beyond, ranges get longer and their sort spills.
 RANGE_ROWS, MOST_RANGES = 2048, 1 << 14
-_LETTERS = "[^\\p{L}]+"
+_BETWEEN = "[^\\p{L}\\p{N}]+"
 
 
 def is_anchor(word: Column) -> Column:
@@ -38,15 +39,16 @@ def is_anchor(word: Column) -> Column:
 
 def signatures(text: Column) -> Column:
     """The sorted distinct signatures of a text, as 64-bit hashes."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _LETTERS), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda w: w != "")
 
     def spot(marked: Column, m: Column, i: Column) -> Column:
         chain = F.slice(F.filter(F.slice(marked, i + 2, REACH), lambda n: ~n["a"]), 1, CHAIN)
-        return F.when(m["a"], F.xxhash64(m["w"], chain["w"]))
+        return F.when(m["a"] & (F.size(chain) == CHAIN), F.xxhash64(m["w"], chain["w"]))
 
     def of(marked: Column) -> Column:
         found = F.array_sort(F.array_distinct(F.array_compact(F.transform(marked, lambda m, i: spot(marked, m, i)))))
-        return F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(marked["w"])))
+        whole = F.when(F.size(marked) > 0, F.xxhash64(marked["w"])).otherwise(F.xxhash64(F.coalesce(text, F.lit(""))))
+        return F.when(F.size(found) > 0, found).otherwise(F.array(whole))
 
     # An array of one element, so that the words are made once and then named.
     marked = F.transform(words, lambda w: F.struct(w.alias("w"), is_anchor(w).alias("a")))
@@ -156,8 +158,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, Dat
     names = materialize(sets.groupBy("print").agg(F.min("doc_id").alias("class_id")), "spot-classes")
     classes = sets.groupBy("print").agg(F.first("sigs").alias("sigs")).join(names, "print")
     n = F.size("sigs")
+    # Lengths of one partition differ by less than the factor that the likeness allows; by nothing, if that is one.
+    by_length = F.floor(F.log(n.cast("double")) / -F.log(F.lit(least))) if least < 1 else n.cast("long")
     spots = materialize(
-        classes.select("print", "class_id", "sigs", n.alias("n"), F.floor(F.log(n.cast("double")) / -F.log(F.lit(least))).alias("partition")), "spot-lengths"
+        classes.select("print", "class_id", "sigs", n.alias("n"), by_length.alias("partition")), "spot-lengths"
     )
     single = spots.select("print", "n", "partition", F.explode("sigs").alias("sig"))
     rare = single.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1")

@@ -27,8 +27,9 @@ from shopgauge.session import materialize, scratch_path
 _END, _VERSION = "\r\n\r\n", "WARC/1.1"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records of one archive file at most.
-RECORDS_PER_FILE = 4000
+#: Records of one archive file at most, and bytes of their payloads: records are written by size, the larger the fewer to
+#: a file; only a record that is larger by itself makes a larger file.
+RECORDS_PER_FILE, BYTES_PER_FILE = 4096, 1 << 28
 _CHUNK = 1 << 20
 
 
@@ -73,7 +74,7 @@ def _record_id(page_id: Column, payload_digest: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), payload_digest, F.lit(">"))
 
 
-def write_archives(records: DataFrame, revisits: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_archives(records: DataFrame, revisits: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", bytes_per_file: int = BYTES_PER_FILE) -> None:
     """Write one record per row: a response with its payload, or a revisit with the response's headers only."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = records.select(
@@ -106,22 +107,36 @@ def write_archives(records: DataFrame, revisits: DataFrame, path: str, date: str
     lines += [F.when(revisit, F.concat(F.lit(f"{name}: "), value)) for name, value in only]  # concat_ws skips nulls
     lines.append(F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
     record = F.concat(F.concat_ws("\r\n", *lines), F.lit(_END), block)
-    (
-        joined.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-    )
+    written = joined.select(record.alias("value"), F.when(revisit, 0).otherwise(F.octet_length("html")).alias("bytes"))
+    largest = records.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    above, most, number = -1, RECORDS_PER_FILE, 0
+    while above < largest or number == 0:
+        upto = bytes_per_file // most if most > 1 else max(largest, 0)
+        (
+            written.where((F.col("bytes") > above) & (F.col("bytes") <= upto)).select("value").write.option("lineSep", _END)
+            .option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size={number}")
+        )
+        above, most, number = upto, max(1, most // 16), number + 1
 
 
 def records_of(packed: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of every record of a compressed archive, a piece of the file at a time."""
+    """Header fields and block of every record of a compressed archive, a piece of the file at a time.
+
+    An archive may be one compressed member or many, one for each record, say.
+    """
     unzip, pending, at = zlib.decompressobj(31), b"", 0
 
     def more() -> bool:
-        nonlocal pending, at
+        nonlocal unzip, pending, at
         if at >= len(packed):
+            if not unzip.eof and packed:
+                raise ValueError("an archive ends within a compressed member")
             return False
-        pending += unzip.decompress(packed[at : at + _CHUNK])
-        at += _CHUNK
+        if unzip.eof:
+            unzip = zlib.decompressobj(31)
+        piece = packed[at : at + _CHUNK]
+        pending += unzip.decompress(piece)
+        at += len(piece) - len(unzip.unused_data)
         return True
 
     end = _END.encode()
@@ -170,7 +185,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives, payloads checked against their digests."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(
         _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     )

@@ -240,9 +240,9 @@ def test_an_archive_holds_each_payload_once_and_revisits_name_it(spark, tmp_path
     pages = spark.createDataFrame([(i, f"http://h/{i}", "<p>same</p>") for i in range(5)], "page_id long, url string, html string")
     path = str(tmp_path / "warc")
     warc_revisits.write_archives(pages, warc_revisits.resolve(warc_revisits.headers(pages)), path)
-    whole = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").glob("*.gz"))
+    whole = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").rglob("*.gz"))
     assert whole.count(b"<p>same</p>") == 1 and whole.count(b"WARC-Type: revisit") == 4
-    records = [r for p in (tmp_path / "warc").glob("*.gz") for r in warc_revisits.records_of(p.read_bytes())]
+    records = [r for p in (tmp_path / "warc").rglob("*.gz") for r in warc_revisits.records_of(p.read_bytes())]
     (original,) = [f for f, _ in records if f["WARC-Type"] == "response"]
     assert {f["WARC-Refers-To"] for f, _ in records if f["WARC-Type"] == "revisit"} == {original["WARC-Record-ID"]}
     assert {f["WARC-Refers-To-Target-URI"] for f, _ in records if f["WARC-Type"] == "revisit"} == {"http://h/4"}
@@ -364,3 +364,28 @@ def test_spans_of_equal_words_have_equal_hashes():
     assert form[0] == form[2] == form[5] and form[1] == form[3] == form[4] and form[0] != form[1]
     grams, owner = textarrays.form_ngrams(words, 2, 3)
     assert np.bincount(owner).tolist() == [7, 7] and len(set(grams.tolist())) == 14
+
+
+def test_archives_of_several_members_are_read_to_their_end(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 9) for i in range(4)], "page_id long, url string, html string")
+    path = str(tmp_path / "warc")
+    warc_revisits.write_archives(pages.coalesce(1), warc_revisits.resolve(warc_revisits.headers(pages)), path)
+    whole = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").rglob("*.gz"))
+    single = [b"WARC/1.1" + part for part in whole.split(b"WARC/1.1")[1:]]
+    assert len(single) == 4
+    members = b"".join(map(gzip.compress, single))
+    assert [f["WARC-Record-ID"] for f, _ in warc_revisits.records_of(members)] == [f["WARC-Record-ID"] for f, _ in warc_revisits.records_of(gzip.compress(whole))]
+    with pytest.raises(ValueError):
+        list(warc_revisits.records_of(members[:-20]))
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    sizes = [10, 300, 700, 5000, 90000, 2000000, 0]
+    pages = spark.createDataFrame([(i, "u", chr(97 + i % 26) * sizes[i % 7]) for i in range(42)] + [(99, None, None)], "page_id long, url string, html string")
+    path = str(tmp_path / "warc")
+    none = warc_revisits.resolve(warc_revisits.headers(pages), 1 << 40)
+    warc_revisits.write_archives(pages.coalesce(1), none, path, bytes_per_file=1 << 21)
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").rglob("*.gz")]
+    assert max(len(f) for f in files) < (1 << 21) + 4096 * 600
+    got = {r.page_id: r.payload_bytes for r in warc_revisits.read_archives(spark, path).collect()}
+    assert got == {**{i: sizes[i % 7] for i in range(42)}, 99: 0}
