@@ -2,15 +2,17 @@
 
 Documents arrive as a stream of small rows: the digest of the normalised text, the stable id and a locator. A streaming
 aggregation keeps one state row per digest in RocksDB on the executors' disks, checkpointed to shared storage and never
-expired: the smallest id seen, the locator of that row and how many rows arrived. Every batch appends the states that it
-changed; the last one of a digest holds. Where a digest was hit more than once, the full normalised texts are compared,
-and should they differ, the texts themselves take the place of the digest.
+expired: the smallest id seen with the locator of its row, and how many rows arrived. Every batch appends the states that it
+changed; the last one of a digest holds. Only digests that were hit more than once go further: the full normalised texts
+under them are compared, and should they differ, the texts themselves take the place of the digest. A row's place in its
+digest's group is read off its locator, so documents without a copy are neither joined nor shuffled.
 
-The locator is the row's number in the table of arrivals, which is written once and so never changes. Texts are equal
-when they are identical after replacing each run of the six ASCII spaces by one space.
+The locator is the row's file and number in it, where the documents are Parquet files that are only projected or filtered;
+other documents are written once and located there. Texts are equal when they are identical after replacing each run of
+the six ASCII spaces by one space.
 
-Nulls: a null text counts as empty; a null doc_id comes after every id. Of repeated rows with the smallest id one stays.
-An empty table gives an empty result. All other columns, whatever their names, are left alone.
+Nulls: a null text counts as empty; a null doc_id comes after every id. Of repeated rows with the smallest id the one with
+the smallest locator stays. An empty table gives an empty result. All other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shopgauge.llm.tables import SPACE_RUN
+from shopgauge.llm.tables import SPACE_RUN, broadcast_if_small
 from shopgauge.session import materialize, scratch_path
 
 _LAST = (1 << 63) - 1
@@ -59,22 +62,41 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def arrivals(docs: DataFrame) -> DataFrame:
-    """One small row per document, written once: doc_id, digest and locator."""
-    return materialize(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"),
-            F.monotonically_increasing_id().alias("locator"),
-        ),
-        "arrivals",
-    )
+def _reads_files(docs: DataFrame) -> bool:
+    """Whether every row is one row of a file: a scan, projected and filtered only."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and plan.children().size() == 1:
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") and "_metadata" not in docs.columns
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns as they are), doc_id, text and the locator (file, number in the file) of every document."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("number"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    if _reads_files(docs):
+        try:
+            return docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("locator"))
+        except AnalysisException:  # files of a format that does not number its rows
+            pass
+    stored = materialize(docs.select(whole.alias("row")), "located-documents")
+    return stored.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), place.alias("locator"))
+
+
+def _order(doc_id: Column | str) -> Column:
+    return F.coalesce(doc_id, F.lit(_LAST))
+
+
+def arrivals(placed: DataFrame) -> DataFrame:
+    """One small row per located document, written once: doc_id, digest and locator."""
+    return materialize(placed.select("doc_id", digest(F.col("text")).alias("digest"), "locator"), "arrivals")
 
 
 def kept_state(stream: DataFrame) -> DataFrame:
-    """The stateful part: per digest the smallest id, the locator of its row, and the number of rows; no watermark."""
-    order = F.coalesce("doc_id", F.lit(_LAST))
-    return stream.groupBy("digest").agg(
-        F.min(order).alias("keep_order"), F.min_by("locator", order).alias("keep_locator"), F.count(F.lit(1)).alias("group_size")
+    """The stateful part: per digest the smallest id with the locator of its row, and the number of rows; no watermark."""
+    first = F.min(F.struct(_order("doc_id").alias("keep_order"), F.col("locator").alias("keep_locator")))
+    return stream.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")).select(
+        "digest", "first.keep_order", "first.keep_locator", "group_size"
     )
 
 
@@ -98,7 +120,7 @@ def run_stream(spark: SparkSession, source: str, schema, checkpoint: str, out: s
 
 def states(spark: SparkSession, out: str) -> DataFrame:
     """The newest state of each digest."""
-    schema = "digest string, keep_order long, keep_locator long, group_size long, batch long"
+    schema = "digest string, keep_order long, keep_locator struct<file:long,number:long>, group_size long, batch long"
     rows = spark.read.schema(schema).parquet(f"{out}/run=*")
     newest = F.col("batch")
     return rows.groupBy("digest").agg(
@@ -106,71 +128,59 @@ def states(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
-def differing(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Digests under which full texts differ. ``hits`` has the ids and digests of all rows that share a digest.
+def differing(placed: DataFrame, hits: DataFrame) -> DataFrame:
+    """Digests of ``hits`` under which full texts differ. Texts of other digests are read, but go nowhere.
 
     The smallest and the greatest text of a digest are combined before rows are shuffled, so that a digest of many
-    copies sends one row from each task. Rows without an id are found by their digest.
+    copies sends one row from each task.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
-    named = texts.join(hits.where("doc_id is not null").distinct(), "doc_id").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("digest"))
-    nameless = texts.where("doc_id is null").withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).join(
-        hits.where("doc_id is null").select("digest").distinct(), "digest", "left_semi"
-    )
-    seen = named.select("digest", "text").union(nameless.select("digest", "text"))
-    return seen.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest")
+    texts = placed.select(normalised(F.col("text")).alias("text"))
+    texts = texts.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).join(hits.select("digest"), "digest", "left_semi")
+    return texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest")
+
+
+def _hits(placed: DataFrame, files_per_batch: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Arrivals, the states of digests that were hit more than once, and those of them whose texts differ."""
+    spark = placed.sparkSession
+    rows = arrivals(placed)
+    if rows.isEmpty():
+        none = rows.select("digest", F.lit(0).cast("long").alias("keep_order"), F.col("locator").alias("keep_locator"), F.lit(0).cast("long").alias("group_size"))
+        return rows, none, none.select("digest")
+    folder, out = scratch_path(spark, "dedup-state"), scratch_path(spark, "dedup-changes")
+    run_stream(spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema, folder, out, files_per_batch)
+    hits = broadcast_if_small(materialize(states(spark, out).where("group_size > 1"), "dedup-hits"))
+    return rows, hits, materialize(differing(placed, hits), "dedup-unequal")
+
+
+def by_text(placed: DataFrame, unequal: DataFrame) -> DataFrame:
+    """doc_id, digest, locator and state of the rows under ``unequal`` digests, by the texts themselves."""
+    rows = placed.select("doc_id", normalised(F.col("text")).alias("text"), "locator")
+    fine = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).join(unequal, "digest", "left_semi")
+    first = F.min(F.struct(_order("doc_id").alias("keep_order"), F.col("locator").alias("keep_locator")))
+    sums = fine.groupBy("digest", "text").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    return fine.join(sums, ["digest", "text"]).select("doc_id", "digest", "locator", "first.keep_order", "first.keep_locator", "group_size")
 
 
 def exact_groups(docs: DataFrame, files_per_batch: int = 64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, one row per document."""
-    spark = docs.sparkSession
-    rows = arrivals(docs)
-    folder, out = scratch_path(spark, "dedup-state"), scratch_path(spark, "dedup-changes")
-    if not rows.isEmpty():
-        run_stream(spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema, folder, out, files_per_batch)
-        newest = materialize(states(spark, out), "dedup-states")
-    else:
-        newest = rows.select("digest", F.lit(0).cast("long").alias("keep_order"), F.col("locator").alias("keep_locator"), F.lit(0).cast("long").alias("group_size"))
-    hit = newest.where("group_size > 1").select("digest")
-    hits = materialize(rows.join(hit, "digest").select("doc_id", "digest"), "dedup-hits")
-    unequal = materialize(differing(docs, hits), "dedup-unequal")
-    result = rows.join(newest, "digest")
+    placed = located(docs)
+    rows, hits, unequal = _hits(placed, files_per_batch)
+    result = rows.join(hits, "digest", "left")
     if not unequal.isEmpty():
-        result = _by_text(docs, result, unequal)
+        result = result.join(unequal, "digest", "left_anti").unionByName(by_text(placed, unequal))
+    keep = F.coalesce("keep_order", _order("doc_id"))
     return result.select(
-        "doc_id", F.when(F.col("keep_order") < F.lit(_LAST), F.col("keep_order")).alias("keep_id"), "group_size",
-        (F.col("locator") == F.col("keep_locator")).alias("kept"), F.col("digest").alias("text_sha256"),
+        "doc_id", F.when(keep < F.lit(_LAST), keep).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(F.col("locator") == F.col("keep_locator"), F.lit(True)).alias("kept"), F.col("digest").alias("text_sha256"),
     )
 
 
-def _by_text(docs: DataFrame, result: DataFrame, unequal: DataFrame) -> DataFrame:
-    """The result with the groups of ``unequal`` digests made from the texts themselves."""
-    digests = docs.withColumn("_n", normalised(F.col("text"))).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_n").alias("text"), F.sha2(F.col("_n").cast("binary"), 256).alias("digest")
-    )
-    order = F.coalesce("doc_id", F.lit(_LAST))
-    group = Window.partitionBy("digest", "text")
-    fine = digests.join(unequal, "digest", "left_semi")
-    sums = fine.groupBy("digest", "text").agg(F.min(order).alias("keep_order"), F.count(F.lit(1)).alias("group_size"))
-    again = fine.join(sums, ["digest", "text"]).withColumn("locator", F.row_number().over(group.orderBy(order)))
-    fixed = again.select("doc_id", "digest", "keep_order", "group_size", "locator", F.lit(1).cast("long").alias("keep_locator"))
-    return result.join(unequal, "digest", "left_anti").unionByName(fixed.withColumn("locator", F.col("locator").cast("long")))
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of equal texts, the row with the smallest doc_id.
-
-    Rows are found again by id and digest; of repeated rows, equal in both, one stays.
-    """
-    columns = docs.columns
-    groups = exact_groups(docs)
-    stay = groups.where("kept").select(F.col("doc_id").alias("id"), "text_sha256").distinct()
-    keyed = docs.withColumn("_digest", digest(F.col("text")))
-    joined = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("text_sha256")), "left_semi")
-    repeated = groups.groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.col("doc_id").alias("id"), "text_sha256")
-    repeated = materialize(repeated, "repeated-rows")
-    if not repeated.isEmpty():
-        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("text_sha256"))
-        once = joined.join(repeated, same, "left_anti")
-        joined = once.unionByName(joined.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))
-    return joined.select(*columns)
+def deduplicated(docs: DataFrame, files_per_batch: int = 64) -> DataFrame:
+    """The documents that stay: of equal texts, the row with the smallest doc_id. Rows are found by their locators."""
+    placed = located(docs)
+    rows, hits, unequal = _hits(placed, files_per_batch)
+    gone = rows.join(hits, "digest")
+    if not unequal.isEmpty():
+        gone = gone.join(unequal, "digest", "left_anti").unionByName(by_text(placed, unequal))
+    gone = materialize(gone.where(F.col("locator") != F.col("keep_locator")).select("locator"), "dedup-gone")
+    return placed.join(broadcast_if_small(gone), "locator", "left_anti").select("row.*")

@@ -28,6 +28,15 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))
 
 
+#: Rows of a join side, of a few numbers or a digest each, up to which it is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(written: DataFrame) -> DataFrame:
+    """A written table of small rows as a broadcast side if it has few rows, else as it is: the join is shuffled then."""
+    return F.broadcast(written) if written.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else written
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of non-space characters; 0 for null. Words become one byte each, which are then counted."""
     dotted = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, ".")
