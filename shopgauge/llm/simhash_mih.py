@@ -8,7 +8,7 @@ over written tables.
 
 Nulls: a null text is an empty one; it and a text of spaces only have fingerprint zero, which links like any other.
 A null doc_id takes part in linking, never names a component unless it is alone (then null). Repeated rows give
-repeated result rows. An empty table gives an empty result.
+repeated result rows. An empty table gives an empty result. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from shopgauge.llm.tables import SPACES, beside_text
+from shopgauge.llm.tables import SPACES, beside_text, broadcast_if_small
 from shopgauge.session import materialize
 
 #: Fixed values of the contract: shingle length, hash seed, greatest distance.
@@ -58,13 +58,14 @@ def fingerprint(text: str) -> int:
     return int(np.packbits((2 * (octets @ _BITS) > count).ravel(), bitorder="little").view(np.uint64)[0])
 
 
+def _prints_of(texts: list[str]) -> list[np.ndarray]:
+    return [np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the fingerprint of its text as a long (its bits), one row per document."""
-    def work(texts: list[str]) -> list:
-        return [np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)]
-
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return beside_text(narrow, ["doc_id"], {"bits": pa.int64()}, work, _BLOCK_CHARS)
+    return beside_text(narrow, ["doc_id"], {"bits": pa.int64()}, _prints_of, _BLOCK_CHARS)
 
 
 def _balls(segments: Sequence[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
@@ -130,22 +131,50 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _rooted(prints: DataFrame, distance: int, segments: Sequence[tuple[int, int]]) -> DataFrame:
+    """bits and root of every distinct fingerprint, written once."""
+    distinct = materialize(prints.select("bits").distinct(), "distinct-fingerprints")
+    reach = components(links(distinct, distance, segments))
+    return materialize(
+        distinct.join(reach, distinct["bits"] == reach["node"], "left").select("bits", F.coalesce("root", "bits").alias("root")), "fingerprint-roots"
+    )
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: Sequence[tuple[int, int]] = SEGMENTS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), one row per document."""
     prints = materialize(fingerprints(docs), "fingerprints")
-    distinct = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    reach = components(links(distinct.select("bits"), distance, segments))
-    rooted = distinct.join(reach, distinct["bits"] == reach["node"], "left").select(
-        "bits", "least_id", F.coalesce("root", "bits").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = rooted.select("bits", "root").join(named, "root").select("bits", "component_id")
+    rooted = _rooted(prints, distance, segments)
+    least = prints.groupBy("bits").agg(F.min("doc_id").alias("least_id"))
+    named = rooted.join(least, "bits").groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_print = rooted.join(named, "root").select("bits", "component_id")
     return prints.join(by_print, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component; rows without a doc_id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+def one_per_group(docs: DataFrame, distance: int = DISTANCE, segments: Sequence[tuple[int, int]] = SEGMENTS) -> DataFrame:
+    """One document of each component, with all its columns: that with the smallest doc_id, null last, of equal ids that
+    with the smallest hash of its text; of rows equal in both, one."""
+    key = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    prints = materialize(beside_text(rows, ["doc_id", "text_hash"], {"bits": pa.int64()}, _prints_of, _BLOCK_CHARS), "fingerprints")
+    members = prints.join(_rooted(prints, distance, segments), "bits")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    groups = members.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    groups = broadcast_if_small(materialize(groups, "simhash-components"))
+    several = materialize(
+        members.join(groups, "root").groupBy("doc_id", "text_hash", (place == F.col("first")).alias("stays")).agg(F.count(F.lit(1)).alias("rows")),
+        "simhash-groups",
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash"))
+
+    def keys(of: DataFrame) -> DataFrame:
+        return broadcast_if_small(materialize(of.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash")), "simhash-keys"))
+
+    # Documents alone in their component, nearly all, pass these joins where they are.
+    repeated = several.where("stays and rows > 1")
+    once = rows.join(keys(several.where("not stays or rows > 1")), same, "left_anti").select("row.*")
+    if repeated.isEmpty():
+        return once
+    again = rows.join(keys(repeated), same, "left_semi").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+    return once.union(again.select("row.*"))
