@@ -140,8 +140,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     The copies are looked up by id and hash, so no hot source gathers texts in one task.
     """
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), "h", "copies").distinct()
-    hashed = docs.withColumn("_h", hash60(F.col("doc_id"), F.col("text")))
-    matched = hashed.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_h") == F.col("h")))
-    repeated = matched.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("of"), F.col("h").alias("hash"), "copies").distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # out of the way of the names used here
+    hashed = docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), hash60(F.col("doc_id"), F.col("text")).alias("h"))
+    matched = hashed.join(taken, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("hash")))
+    return matched.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
