@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shopgauge.functions.columns import cents, money, safe_ratio, whole_days
-from shopgauge.functions.ordering import lay_out, with_rank
 from shopgauge.operators.facts import delivered
 from shopgauge.schema import FEATURES, LABEL, PERSON
 from shopgauge.session import materialize
@@ -208,7 +207,8 @@ def with_state_code(people: DataFrame) -> DataFrame:
     broadcast if Spark finds them small.
     """
     states = people.where(F.col("customer_state").isNotNull()).select("customer_state").distinct()
-    codes = with_rank(lay_out(states, ["customer_state"])).select("customer_state", (F.col("rk") - 1).alias("_code"))
+    place = F.row_number().over(Window.orderBy("customer_state"))  # over distinct states: a few narrow rows
+    codes = states.select("customer_state", (place - 1).alias("_code"))
     code = F.coalesce("_code", F.lit(-1)).cast("bigint")
     return people.join(codes, "customer_state", "left").withColumn("state_encoded", code).select(*people.columns, "state_encoded")
 
@@ -224,14 +224,15 @@ def churn_features(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
     The person's key is kept beside them. An empty observation window is an error; a churn rate outside the
     plausible band is logged.
     """
-    require_observations(star, window_days)
     facts = person_facts(star, window_days, payment_types=True, states=True)
     people = with_label(with_tenure_and_gap(with_review_features(with_payment_features(facts))))
     kept = [PERSON, "customer_state", *[name for name in FEATURES if name != "state_encoded"], LABEL]
     written = materialize(people.select(*kept), "features")
-    complete = with_state_code(written).select(PERSON, *FEATURES, LABEL).dropna()
     rate = churn_rate_check(written.dropna(subset=[c for c in kept if c != "customer_state"])).head()
-    if rate and rate["customers"] and not rate["in_band"]:
+    if not rate["customers"] and written.isEmpty():
+        require_observations(star, window_days)
+    complete = with_state_code(written).select(PERSON, *FEATURES, LABEL).dropna()
+    if rate["customers"] and not rate["in_band"]:
         log.warning("a churn rate of %s %% is outside the plausible band", rate["churn_rate_pct"])
     return complete
 
