@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from shopgauge.functions.columns import cents, money, safe_ratio, whole_days
 from shopgauge.operators.facts import delivered
@@ -78,17 +78,12 @@ def first_states(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
     return people.join(chosen, [PERSON, "customer_id"]).select(PERSON, "customer_state")
 
 
-def person_facts(
-    star: Star, window_days: int = WINDOW_DAYS, payment_types: bool = False, states: bool = False
-) -> DataFrame:
-    """Everything the features need, one row per person seen in the observation window.
+# Sums of an order that the features are made of.
+ORDER_SUMS = ["paid_cents", "paid_values", "installments", "installment_values", "score_sum", "scores"]
 
-    Payments and reviews are summed per order before they meet the orders, orders per session before they meet
-    the customers. Orders of the prediction window go along only to tell who came back. What a caller does not
-    select is pruned from the plan, down to the joins; ``payment_types`` and ``states`` add branches of their own.
-    """
-    ts = "order_purchase_timestamp"
-    orders = delivered(star).select("order_id", "customer_id", ts, (F.col(ts) <= cutoff(star, window_days)).alias("seen"))
+
+def orders_with_sums(star: Star) -> DataFrame:
+    """Delivered orders with the sums of their payments and reviews, which are made before they meet the orders."""
     payments = star.order_payments.groupBy("order_id").agg(
         F.sum(cents("payment_value")).alias("paid_cents"),
         F.count("payment_value").alias("paid_values"),
@@ -98,20 +93,32 @@ def person_facts(
     reviews = star.order_reviews.groupBy("order_id").agg(
         F.sum("review_score").alias("score_sum"), F.count("review_score").alias("scores")
     )
-    sums = ["paid_cents", "paid_values", "installments", "installment_values", "score_sum", "scores"]
+    orders = delivered(star).select("order_id", "customer_id", "order_purchase_timestamp")
+    return orders.join(payments, "order_id", "left").join(reviews, "order_id", "left")
+
+
+def person_facts(
+    star: Star, window_days: int = WINDOW_DAYS, payment_types: bool = False, states: bool = False
+) -> DataFrame:
+    """Everything the features need, one row per person seen in the observation window.
+
+    Payments and reviews are summed per order before they meet the orders, orders per session before they meet
+    the customers. Orders of the prediction window go along only to tell who came back. What a caller does not
+    select is pruned from the plan, down to the joins; ``payment_types`` and ``states`` add branches of their own.
+    """
+    ts = "order_purchase_timestamp"
+    orders = orders_with_sums(star).withColumn("seen", F.col(ts) <= cutoff(star, window_days))
 
     def seen(name: str) -> Column:
         return F.when(F.col("seen"), F.col(name))
 
     sessions = (
-        orders.join(payments, "order_id", "left")
-        .join(reviews, "order_id", "left")
-        .groupBy("customer_id")
+        orders.groupBy("customer_id")
         .agg(
             F.count(seen("order_id")).alias("orders"),
             F.min(seen(ts)).alias("first_ts"),
             F.max(seen(ts)).alias("last_ts"),
-            *[F.sum(seen(name)).alias(name) for name in sums],
+            *[F.sum(seen(name)).alias(name) for name in ORDER_SUMS],
             F.max(~F.col("seen")).alias("came_back"),
         )
     )
@@ -123,7 +130,7 @@ def person_facts(
             F.sum("orders").alias("frequency"),
             F.max("last_ts").alias("last_obs_purchase"),
             F.min("first_ts").alias("first_purchase"),
-            *[F.sum(name).alias(name) for name in sums],
+            *[F.sum(name).alias(name) for name in ORDER_SUMS],
             F.max("came_back").alias("came_back"),
         )
         .where(F.col("frequency") > 0)
@@ -225,16 +232,22 @@ def churn_features(star: Star, window_days: int = WINDOW_DAYS) -> DataFrame:
     plausible band is logged.
     """
     facts = person_facts(star, window_days, payment_types=True, states=True)
+    complete, rate = features_of(facts)
+    if rate is None:
+        require_observations(star, window_days)
+    return complete
+
+
+def features_of(facts: DataFrame) -> tuple[DataFrame, Row | None]:
+    """Features and label of facts with payment types and states, and their churn rate; none without any facts."""
     people = with_label(with_tenure_and_gap(with_review_features(with_payment_features(facts))))
     kept = [PERSON, "customer_state", *[name for name in FEATURES if name != "state_encoded"], LABEL]
     written = materialize(people.select(*kept), "features")
     rate = churn_rate_check(written.dropna(subset=[c for c in kept if c != "customer_state"])).head()
-    if not rate["customers"] and written.isEmpty():
-        require_observations(star, window_days)
     complete = with_state_code(written).select(PERSON, *FEATURES, LABEL).dropna()
     if rate["customers"] and not rate["in_band"]:
         log.warning("a churn rate of %s %% is outside the plausible band", rate["churn_rate_pct"])
-    return complete
+    return complete, None if not rate["customers"] and written.isEmpty() else rate
 
 
 def churn_rate_check(features: DataFrame, low: float = 10.0, high: float = 50.0) -> DataFrame:

@@ -29,18 +29,63 @@ def _cohort_counts(star: Star) -> DataFrame:
     )
 
 
-def cohort_retention_counts(star: Star) -> DataFrame:
-    return _cohort_counts(star).orderBy("cohort_month", "month_offset")
+def month_sketches(star: Star, log_size: int = 14) -> DataFrame:
+    """One mergeable distinct sketch of the active persons of each month.
+
+    A stored row needs no rescan when other months come, or other persons of the same month: ``merged_months`` takes the
+    union of any number of them.
+    """
+    sketch = F.theta_sketch_agg(F.col(PERSON), log_size)
+    return active_months(star).groupBy(F.col("month").cast("bigint").alias("month")).agg(sketch.alias("sketch"))
+
+
+def merged_months(sketches: DataFrame, log_size: int = 14) -> DataFrame:
+    return sketches.groupBy("month").agg(F.theta_union_agg("sketch", log_size).alias("sketch"))
+
+
+def cohorts_from_sketches(sketches: DataFrame, log_size: int = 14) -> DataFrame:
+    """Active persons by cohort month and month offset out of stored sketches, each month of which may come in parts.
+
+    A cohort is the sketch of its month without the union of all earlier ones; those active later are its intersection
+    with a later month. Counts are exact while no more than 2 ** log_size persons have been seen. Beyond, a sketch samples
+    persons at the rate of that number over all persons seen by its latest month, and a count has a relative standard error
+    of 1 / sqrt(rate * count). Rows whose estimate is 0 are left out.
+
+    The windows without partitions run over one row a month.
+    """
+    by_month = Window.orderBy("month")
+    known = F.theta_union_agg("sketch", log_size).over(by_month.rowsBetween(Window.unboundedPreceding, -1))
+    onwards = F.collect_list("month").over(by_month.rowsBetween(0, Window.unboundedFollowing))
+    months = merged_months(sketches, log_size)
+    cohorts = months.withColumn("known", known).withColumn("onwards", onwards).select(
+        F.col("month").alias("cohort"), F.explode("onwards").alias("month"),
+        F.when(F.col("known").isNull(), F.col("sketch")).otherwise(F.theta_difference("sketch", "known")).alias("members"),
+    )
+    count = F.theta_sketch_estimate(F.theta_intersection("members", "sketch")).cast("bigint")
+    return (
+        cohorts.join(months, "month")
+        .select(month_start("cohort").alias("cohort_month"), (F.col("month") - F.col("cohort")).alias("month_offset"), count.alias("active_customers"))
+        .where(F.col("active_customers") > 0)
+    )
+
+
+def _counts(source: Star | DataFrame) -> DataFrame:
+    return source if isinstance(source, DataFrame) else _cohort_counts(source)
+
+
+def cohort_retention_counts(source: Star | DataFrame) -> DataFrame:
+    """Like the other cohort reports, of a star, or of counts that ``cohorts_from_sketches`` made."""
+    return _counts(source).orderBy("cohort_month", "month_offset")
 
 
-def cohort_window(star: Star, max_offset: int = 5, latest: int = 8) -> DataFrame:
+def cohort_window(source: Star | DataFrame, max_offset: int = 5, latest: int = 8) -> DataFrame:
     """Cohort counts up to ``max_offset`` for the latest cohorts that have such rows.
 
     The window without partitions runs over aggregated rows, a few per calendar month.
     """
     newest_first = Window.orderBy(F.desc("cohort_month"))
     return (
-        _cohort_counts(star)
+        _counts(source)
         .where(F.col("month_offset") <= max_offset)
         .withColumn("age", F.dense_rank().over(newest_first))
         .where(F.col("age") <= latest)
@@ -52,14 +97,14 @@ def cohort_window(star: Star, max_offset: int = 5, latest: int = 8) -> DataFrame
     )
 
 
-def cohort_matrix(star: Star, max_offset: int = 5, latest: int = 8) -> DataFrame:
+def cohort_matrix(source: Star | DataFrame, max_offset: int = 5, latest: int = 8) -> DataFrame:
     """Retention in whole percent, one row per cohort and one column per offset; no activity is null."""
 
     def active(offset: int) -> Column:
         return F.max(F.when(F.col("month_offset") == offset, F.col("customers")))
 
     offsets = range(max_offset + 1)
-    wide = cohort_window(star, max_offset, latest).groupBy("cohort_month").agg(
+    wide = cohort_window(source, max_offset, latest).groupBy("cohort_month").agg(
         *[active(offset).alias(f"c{offset}") for offset in offsets]
     )
     base = F.col("c0").cast("double")
@@ -69,12 +114,12 @@ def cohort_matrix(star: Star, max_offset: int = 5, latest: int = 8) -> DataFrame
     ).orderBy("cohort_month")
 
 
-def month_dropoff(star: Star, offset: int = 2) -> DataFrame:
+def month_dropoff(source: Star | DataFrame, offset: int = 2) -> DataFrame:
     """Share of each cohort that is not active ``offset`` months after its first."""
     base = F.coalesce(F.max(F.when(F.col("month_offset") == 0, F.col("active_customers"))), F.lit(0))
     later = F.coalesce(F.max(F.when(F.col("month_offset") == offset, F.col("active_customers"))), F.lit(0))
     return (
-        _cohort_counts(star)
+        _counts(source)
         .groupBy("cohort_month")
         .agg(base.alias("cohort_size"), later.alias("still_active"))
         .withColumn("inactive_pct", percent(F.col("cohort_size") - F.col("still_active"), "cohort_size"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shopgauge.functions.columns import cents
 from shopgauge.operators import (
-    churn, customers, experiments, learning, model_metrics, sales, scoring, service, statements, trials,
+    churn, customers, experiments, increments, learning, model_metrics, sales, scoring, service, statements, trials,
 )
 from shopgauge.schema import LABEL, PERSON
 from shopgauge.session import materialize, scratch_path
@@ -70,9 +70,34 @@ def customer_queries() -> dict[str, Query]:
         "cohort_window": on_star(customers.cohort_window),
         "cohort_matrix": on_star(customers.cohort_matrix),
         "month_dropoff": on_star(customers.month_dropoff),
+        **{f"sketched_{name}": on_sketches(report) for name, report in COHORT_REPORTS.items()},
     }
 
 
+COHORT_REPORTS = {
+    "cohort_retention_counts": customers.cohort_retention_counts,
+    "cohort_window": customers.cohort_window,
+    "cohort_matrix": customers.cohort_matrix,
+    "month_dropoff": customers.month_dropoff,
+}
+
+
+def on_sketches(report: Callable[[DataFrame], DataFrame]) -> Query:
+    """A cohort report out of sketches of the months, which are stored in two parts of the customers and merged."""
+
+    @wraps(report)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star = testdata.star(spark, sf_dir)
+        path = scratch_path(spark, "sketches")
+        for part in range(2):
+            some = star.customers.where(F.pmod(F.hash(PERSON), F.lit(2)) == part)
+            rows = customers.month_sketches(Star(**{**star.tables(), "customers": some}))
+            stored = tables.write_table(rows, path, "append")
+        return plain(report(customers.cohorts_from_sketches(stored)))
+
+    return query
+
+
 def service_queries() -> dict[str, Query]:
     return {
         "category_performance": on_star(service.category_performance),
@@ -100,6 +125,7 @@ def source_queries() -> dict[str, Query]:
         "normalize_headers": normalize_headers,
         "parse_timestamps": parse_timestamps,
         "write_table": write_table,
+        "bucketed_join": bucketed_join,
         "run_query": run_query,
         "load_trials": load_trials,
     }
@@ -169,6 +195,21 @@ def write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored
 
 
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments summed by order and joined to their orders, both from tables bucketed by the order: nothing is shuffled."""
+    star, path = testdata.star(spark, sf_dir), scratch_path(spark, "buckets")
+    database = path.rsplit("/", 1)[1].replace("-", "_")
+    spark.sql(f"create database {database} location '{path}'")
+    for name in ("orders", "order_payments"):
+        tables.save_as_bucketed_table(star.tables()[name], name, 8, database)
+    paid = spark.table(f"{database}.order_payments").groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("payments"), F.sum(cents("payment_value")).alias("paid_cents")
+    )
+    return spark.table(f"{database}.orders").join(paid.hint("merge"), "order_id").select(
+        "order_id", "order_status", "payments", "paid_cents"
+    )
+
+
 def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = testdata.star(spark, sf_dir)
     return tables.run_query(
@@ -192,6 +233,15 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.churn_features(testdata.star(spark, sf_dir))
 
 
+def churn_features_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features out of stored months: a base a year before the cutoff, one at the cutoff's month made from it."""
+    folder = scratch_path(spark, "months")
+    increments.add_months(testdata.star(spark, sf_dir), folder)
+    month = increments.month_of(increments.cutoff(spark, folder))
+    base = increments.advance(spark, folder, month, increments.advance(spark, folder, month - 12))
+    return increments.churn_features(spark, folder, base=base)
+
+
 def with_closed_form_score(rows: DataFrame) -> DataFrame:
     """A score that SQL can state, in thousandths, so that every band edge is met exactly."""
     mixed = F.pmod(F.col(PERSON) * 37 + F.col("frequency") * 113, F.lit(1001))
@@ -216,6 +266,7 @@ def churn_queries() -> dict[str, Query]:
         "churn_label": on_star(churn.churn_label),
         "state_encoding": on_star(churn.state_encoding),
         "churn_features": features,
+        "churn_features_by_month": churn_features_by_month,
         "churn_rate_check": lambda spark, sf_dir: churn.churn_rate_check(features(spark, sf_dir)),
         "validate_features": validate_features,
         "risk_bands": on_scores(scoring.risk_bands),
