@@ -27,8 +27,8 @@ from shopgauge.llm.samples import is_held_out, learnable
 from shopgauge.llm.tables import beside_text
 from shopgauge.session import materialize
 
-#: Documented bounds of the fit: documents of each language.
-PER_LANGUAGE = 250
+#: Documented bounds of the fit: documents of each language, languages, and documents of all languages.
+PER_LANGUAGE, MOST_LANGUAGES, MOST_DOCUMENTS = 250, 200, 5000
 DIVISOR, HELD_OUT, UNKNOWN = 4, 2, "und"
 CHAIN = 64
 _ROWS, _BLOCK_CHARS = 1 << 17, 600_000
@@ -200,19 +200,27 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, batch: int = 256, r
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field | None:
-    """A field from a bounded sample: of every language the learnable documents with the smallest hashes of their ids."""
+    """A field from a bounded sample: of each language the learnable documents with the smallest hashes of their ids.
+
+    All languages are learned, up to the ``MOST_LANGUAGES`` with the most learnable documents; where there are many, each
+    has fewer documents, ``MOST_DOCUMENTS`` together.
+    """
     key = F.col("doc_id").cast("long")
     ids = docs.select(key.alias("id"), "lang").where(F.col("lang").isNotNull() & learnable(key, DIVISOR, HELD_OUT))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"))
+    languages = materialize(sizes.orderBy(F.desc("documents"), "lang").limit(MOST_LANGUAGES).select("lang"), "languages")
+    per_language = min(per_language, MOST_DOCUMENTS // max(1, languages.count()))
+    ids = ids.join(F.broadcast(languages), "lang")
     order = F.xxhash64(F.col("id"), F.lit(DIVISOR))
     # Only hashes of a language's smallest remain of each group before the next one is made: a filter by rank, which
     # keeps the first rows of a group on the map side.
     first = Window.partitionBy("lang").orderBy(order, "id")
     chosen = materialize(
-        ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("id", F.col("lang").alias("of")),
+        ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("id", F.col("lang").alias("of")).distinct(),
         "language-ids",
     )
     texts = docs.select(key.alias("id"), F.col("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    # At most per_language ids of each language, so this side may be broadcast whatever the size of the corpus.
+    # At most MOST_DOCUMENTS ids, so this side may be broadcast whatever the size of the corpus.
     sample = texts.join(F.broadcast(chosen), "id").where(F.col("lang") == F.col("of")).select("id", "text", "lang")
     rows = sample.toPandas().sort_values(["id", "text"], kind="stable")
     return fit(rows["text"].tolist(), rows["lang"].tolist()) if len(rows) else None
