@@ -16,7 +16,9 @@ give repeated result rows; an empty table gives an empty result. Only doc_id and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,11 @@ _ROWS, _INPUT, _STATE, _GRAMS = 1 << 15, 12, 8, (3, 5)
 _BLOCK_CHARS = 600_000
 #: Windows that a training step runs forward and back at a time; their gradients are summed.
 _SLICE = 4096
+#: Training steps of the network, documents in a step, seed; networks that are trained: of the sample, and of its halves.
+STEPS, BATCH, SEED, PARTS = 288, 48, 7, 3
+_PART_SCHEMA = pa.schema(
+    [("part", pa.int32()), ("network", pa.binary()), ("logits", pa.list_(pa.float64())), ("labels", pa.list_(pa.int32()))]
+)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -243,26 +250,38 @@ def _logits(network: Network, texts: list[str]) -> np.ndarray:
     return np.log(made / (1 - np.minimum(made, 1 - 1e-12)) + 1e-300)
 
 
-def fit(texts: list[str], labels: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0), steps: int = 288, batch: int = 48,
-        seed: int = 7) -> tuple[Network, float] | None:
+def _fitted_part(part: int, texts: list[str], labels: np.ndarray, steps: int, batch: int, seed: int) -> tuple[Network | None, np.ndarray, np.ndarray]:
+    """Part 0: the network of the whole sample. Parts 1 and 2: the logits and labels of a half, by a network of the other half.
+
+    With one document of a label there is no second half to learn it from; then part 0 has the logits too.
+    """
+    halved = min((labels == 1).sum(), (labels == 0).sum()) > 1
+    if part == 0:
+        network = _trained(texts, labels, steps, batch, seed)
+        return (network, np.empty(0), labels[:0]) if halved else (network, _logits(network, texts), labels)
+    if not halved:
+        return None, np.empty(0), labels[:0]
+    half = 1 + np.where(labels == 1, np.cumsum(labels == 1), np.cumsum(labels == 0)) % 2
+    seen, unseen = np.flatnonzero(half != part), np.flatnonzero(half == part)
+    other = _trained([texts[i] for i in seen], labels[seen], -(-steps // 2), batch, seed)
+    return None, _logits(other, [texts[i] for i in unseen]), labels[unseen]
+
+
+def _with_cut(parts: list[tuple[Network | None, np.ndarray, np.ndarray]], stands_for: tuple[float, float]) -> tuple[Network, float]:
+    """The network of part 0, and the shift that the logits and labels of all parts call for."""
+    logits, labels = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    return parts[0][0], _best_shift(logits, labels, np.where(labels == 1, stands_for[1], stands_for[0]))
+
+
+def fit(texts: list[str], labels: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0), steps: int = STEPS, batch: int = BATCH,
+        seed: int = SEED) -> tuple[Network, float] | None:
     """A network, and the shift of its logits: that unseen documents are told apart best at the threshold.
 
-    ``stands_for``: how many documents one of label 0 and one of label 1 stands for. With one document of a label there
-    is no second half to learn it from; then the logits by the network itself count.
+    ``stands_for``: how many documents one of label 0 and one of label 1 stands for.
     """
     if not (labels == 1).any() or not (labels == 0).any():
         return None
-    network = _trained(texts, labels, steps, batch, seed)
-    weight = np.where(labels == 1, stands_for[1], stands_for[0])
-    if min((labels == 1).sum(), (labels == 0).sum()) < 2:
-        return network, _best_shift(_logits(network, texts), labels, weight)
-    half = np.where(labels == 1, np.cumsum(labels == 1), np.cumsum(labels == 0)) % 2
-    logits = np.empty(len(texts))
-    for part in (0, 1):
-        seen, unseen = np.flatnonzero(half != part), np.flatnonzero(half == part)
-        other = _trained([texts[i] for i in seen], labels[seen], -(-steps // 2), batch, seed)
-        logits[unseen] = _logits(other, [texts[i] for i in unseen])
-    return network, _best_shift(logits, labels, weight)
+    return _with_cut([_fitted_part(part, texts, labels, steps, batch, seed) for part in range(PARTS)], stands_for)
 
 
 def _best_shift(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
@@ -280,13 +299,35 @@ def _best_shift(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> f
     return float((sorted_logits[best] + above) / 2 - np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
+def _training(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that takes the whole sample and trains one of its networks."""
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # In the order of ids and texts, so that a repeated task, or other files, give the same network.
+        rows = sorted(row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        y = np.array([row[2] for row in rows])
+        if (y == 1).any() and (y == 0).any():
+            network, logits, seen = _fitted_part(part, [row[1] for row in rows], y, STEPS, BATCH, SEED)
+            stored = pickle.dumps(network) if network else None
+            yield pa.RecordBatch.from_pydict(
+                {"part": [part], "network": [stored], "logits": [logits.tolist()], "labels": [seen.tolist()]}, schema=_PART_SCHEMA
+            )
+
+    return train
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[Network, float] | None:
-    """A network from a bounded labelled sample, trained on the driver."""
-    sample = labelled_texts(docs, labels, label, per_class, DIVISOR, HELD_OUT).toPandas().sort_values("id", kind="stable")
-    if sample.empty:
+    """A network from a bounded labelled sample. Its three networks are trained by three tasks; no text goes to the driver."""
+    sample = labelled_texts(docs, labels, label, per_class, DIVISOR, HELD_OUT).select("id", "text", "label").coalesce(1)
+    schema = "part int, network binary, logits array<double>, labels array<int>"
+    # A job each, side by side: a union of frames of one partition may be planned as one partition, so as one task.
+    with ThreadPoolExecutor(PARTS) as pool:
+        made = list(pool.map(lambda part: sample.mapInArrow(_training(part), schema).collect(), range(PARTS)))
+    rows = [row for rows_of_part in made for row in rows_of_part]
+    if not rows:
         return None
+    parts = [(row["network"] and pickle.loads(row["network"]), np.array(row["logits"], float), np.array(row["labels"], int)) for row in rows]
     clean, toxic = (max(1.0, size / per_class) for size in class_sizes(labels, label, DIVISOR, HELD_OUT))
-    return fit(sample["text"].tolist(), sample["label"].to_numpy(), (clean, toxic))
+    return _with_cut(parts, (clean, toxic))
 
 
 def _scores(model: tuple[Network, float] | None, texts: list[str]) -> np.ndarray:
