@@ -80,6 +80,19 @@ def test_toxicity_cut_does_not_follow_the_size_of_the_sample(spark, per_class):
     assert recall > 0.6 and rejected < 0.05
 
 
+def test_networks_trained_by_tasks_do_not_depend_on_how_rows_are_laid_out(spark):
+    """As where a task is repeated: the tasks give what a plain call gives, whatever files the sample is read from."""
+    rows = [(i, f"{'vile' if i % 3 == 0 else 'good'} day {i % 7}", int(i % 3 == 0)) for i in range(120)] + [(1, "good night", 0)] * 2
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learnt = [toxicity_gru.learn(made.repartition(parts), made.select("doc_id", "toxic")) for parts in (1, 7)]
+    usable = sorted((i, text, y) for i, text, y in rows if remainder(i, 3) != 1)
+    plain = toxicity_gru.fit([text for _, text, _ in usable], np.array([y for _, _, y in usable]))
+    texts = ["vile day", "good night and day", ""]
+    for network, shift in learnt:
+        assert shift == pytest.approx(plain[1], abs=1e-3)
+        assert np.allclose(network.score(texts, shift), plain[0].score(texts, plain[1]), atol=1e-4)
+
+
 @pytest.mark.parametrize("operator", [quality_bt, toxicity_gru])
 def test_classifiers_take_odd_rows_and_missing_labels(spark, odd, operator):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
