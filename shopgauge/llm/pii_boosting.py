@@ -5,11 +5,11 @@ that people write as well (``name (at) host``, numbers without a plus, digits wi
 generators may overlap. Spark's boosted trees learn from format and context which candidates are like the checked ones; the
 trees then run as an expression beside the candidates, and a wide candidate is redacted if its score reaches the threshold
 of its kind. Thresholds are calibrated on candidates that the trees have not seen: the least score from which on a given
-share of the candidates is right, with the two classes weighed back to their numbers in the corpus.
+share of the candidates is right.
 
-Candidates of a document are an array beside its id, so texts are read once and never shuffled. Fitting uses at most
-``PER_CLASS`` distinct candidates of either class, by the smallest hash of span and context; counts and spans cover all
-texts. Patterns are possessive, so a match takes time in proportion to the text.
+Candidates of a document are an array beside its id, so texts are read once and never shuffled. One half of all distinct
+candidates, by the hash of span and context, is fitted on, the other half gives the thresholds; both stay in Spark, each
+candidate weighs as often as it occurs. Patterns are possessive, so a match takes time in proportion to the text.
 
 A null text is empty, and an empty one has no spans. Null ids and repeated ids or rows each give a row of their own. Ties
 between overlapping candidates go to the earlier and then the longer one. Without candidates of both classes to learn from
@@ -46,9 +46,8 @@ WIDE = (
 )
 #: Letters of the text before a span that are looked at, and words there that announce one.
 CONTEXT, ANNOUNCING = 24, "mail|contact|kontakt|correo|courriel|phone|tel[.:e]|fax|call|mobil|card|visa|konto|account|carte|tarjeta|\\bip\\b|host|server"
-#: Candidates of either class in the fit; trees and their depth; the share that must be right from the threshold on, and
-#: how many right ones must have been seen there.
-PER_CLASS, TREES, DEPTH, PRECISION, LEAST_SEEN = 4000, 20, 4, 0.98, 20
+#: Trees and their depth; the share that must be right from the threshold on, and how many right ones must have been seen there.
+TREES, DEPTH, PRECISION, LEAST_SEEN = 20, 4, 0.98, 20
 _BINS = 1000
 
 
@@ -173,19 +172,26 @@ def candidates(docs: DataFrame) -> DataFrame:
     return materialize(once.select("doc_id", F.concat("strict", new).alias("candidates")), "pii-candidates")
 
 
-def _sample(found: DataFrame, per_class: int) -> tuple[DataFrame, dict[bool, float]]:
-    """Distinct candidates of either class with the smallest hashes, and how many corpus candidates each stands for.
+def _sample(found: DataFrame, per_class: int | None = None) -> tuple[DataFrame, dict[bool, float]]:
+    """Distinct candidates of either class, and how many corpus candidates each stands for.
 
-    A wide candidate that overlaps a strict span of its document is neither right nor wrong, and left out.
+    All of them, unless a caller bounds the number of either class: then those with the smallest hashes. A wide candidate
+    that overlaps a strict span of its document is neither right nor wrong, and left out. Rows are written in the order of
+    their hashes, so that a fit can be repeated.
     """
     clear = F.filter("candidates", lambda c: c["strict"] | ~F.exists("candidates", lambda s: s["strict"] & (s["start"] < c["end"]) & (c["start"] < s["end"])))
     each = found.where(F.size("candidates") > 0).select(F.inline(clear))
     keys = ["strict", "kind", "span", "before", "after"]
-    distinct = materialize(each.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.first("x").alias("x")), "pii-distinct")
     order = F.xxhash64(*keys)
-    classes = [distinct.where(F.col("strict") == right).orderBy(order, *keys).limit(per_class) for right in (True, False)]
-    sample = materialize(classes[0].union(classes[1]).withColumn("learns", F.pmod(order, F.lit(2)) == 0), "pii-sample")
-    whole = {r["strict"]: r["n"] for r in distinct.groupBy("strict").agg(F.sum("copies").alias("n")).collect()}
+    distinct = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.first("x").alias("x"))
+    marked = distinct.withColumn("learns", F.pmod(order, F.lit(2)) == 0)
+    if per_class is None:
+        every = materialize(marked.sortWithinPartitions(order, *keys), "pii-distinct")
+        return every, {r["strict"]: 1.0 for r in every.select("strict").distinct().collect()}
+    written = materialize(marked, "pii-distinct")
+    classes = [written.where(F.col("strict") == right).orderBy(order, *keys).limit(per_class) for right in (True, False)]
+    sample = materialize(classes[0].union(classes[1]), "pii-sample")
+    whole = {r["strict"]: r["n"] for r in written.groupBy("strict").agg(F.sum("copies").alias("n")).collect()}
     taken = {r["strict"]: r["n"] for r in sample.groupBy("strict").agg(F.sum("copies").alias("n")).collect()}
     return sample, {right: whole[right] / taken[right] for right in taken}
 
@@ -209,14 +215,12 @@ def _as_tree(node) -> Tree:
 
 
 def fitted(sample: DataFrame, weights: dict[bool, float]) -> list[Tree]:
-    """Trees from the learning half of a sample; their margin is twice the sum of weighted predictions, as a logit."""
+    """Trees from the learning half of the candidates; their margin is twice the sum of weighted predictions, as a logit."""
     weight = F.when(F.col("strict"), F.lit(weights.get(True, 1.0))).otherwise(F.lit(weights.get(False, 1.0))) * F.col("copies")
-    rows = sample.where("learns").select(array_to_vector("x").alias("features"), F.col("strict").cast("double").alias("label"), weight.alias("weight"), "x")
+    rows = sample.where("learns").select(array_to_vector("x").alias("features"), F.col("strict").cast("double").alias("label"), weight.alias("weight"))
     if rows.select("label").distinct().count() < 2:
         return []
-    # At most 2 * PER_CLASS rows: one task, in one order, so that a fit can be repeated.
-    ordered = rows.repartition(1).sortWithinPartitions("x", "label").drop("x")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=42, weightCol="weight", maxBins=32).fit(ordered)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=42, weightCol="weight", maxBins=32).fit(rows)
     trees = [_as_tree(t._call_java("rootNode")) for t in model.trees]
     for tree, share in zip(trees, model.treeWeights):
         tree.value = [2.0 * share * v for v in tree.value]
@@ -290,7 +294,7 @@ def _number_of(kind: int) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind))
 
 
-def personal_data(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def personal_data(docs: DataFrame, per_class: int | None = None) -> DataFrame:
     """doc_id, base and added spans of every document."""
     found = candidates(docs)
     sample, weights = _sample(found, per_class)

@@ -141,6 +141,14 @@ def test_trees_run_alike_as_an_expression(spark, corpus):
     assert all(0 < t <= 1 or t == 2 for t in least)
 
 
+def test_all_distinct_candidates_are_learned_from(spark):
+    rows = [(i, f"order {10_000_000_000 + 7919 * i} came") for i in range(9000)] + [(9000 + i, f"mail a{i}@b.org now") for i in range(4500)]
+    found = pii_boosting.candidates(spark.createDataFrame(rows + rows[:50], SCHEMA))
+    every, weights = pii_boosting._sample(found)
+    counted = {r.strict: (r["count"], r.copies) for r in every.groupBy("strict").agg(F.count("*").alias("count"), F.sum("copies").alias("copies")).collect()}
+    assert counted == {True: (4500, 4500), False: (9000, 9050)} and weights == {True: 1.0, False: 1.0}
+
+
 def test_odd_tables(spark):
     none = pii_boosting.spans(spark.createDataFrame([], SCHEMA))
     assert none.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"] and none.isEmpty()
