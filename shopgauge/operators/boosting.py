@@ -1,21 +1,27 @@
 """Gradient-boosted trees with logistic loss over histograms of binned features.
 
 A level of a tree needs, for every open node, feature and bin, the summed gradients and curvatures of the rows there.
-``fit`` takes these sums in passes over blocks of rows that Spark holds on the executors; the driver sees sums of nodes
-and bins only. ``grow`` takes them in the memory of one task. Gradients are whole multiples of 2**-24, so every sum is
-exact, and rows are sampled by a hash of person and tree: both forms, and any number of tasks, give the same trees.
+``grow`` takes these sums in the memory of one task. ``fit_together`` deals the rows to the tasks of one barrier stage;
+each keeps its share in memory, and the tasks exchange sums of nodes and bins level by level. ``fit`` takes the sums in
+passes over blocks of rows that Spark holds on the executors, whatever the memory; the driver sees sums of nodes and bins
+only. Gradients are whole multiples of 2**-24, so every sum is exact, and rows are sampled by a hash of person and tree:
+all forms, and any number of tasks, give the same trees. Of two siblings the left one is summed, the right one is what is
+left of their parent.
 
 A null or NaN feature goes right at every split. A feature without two values is never split.
 """
 
 from __future__ import annotations
 
+import base64
 import math
-from collections.abc import Iterable, Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shopgauge.functions.ordering import lay_out, running
@@ -131,11 +137,13 @@ def _gradients(margin: np.ndarray, y: np.ndarray, s: Settings) -> tuple[np.ndarr
 
 def _histogram(bins: np.ndarray, place: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Sums (gradient, curvature, rows) by open node, column and bin; whole numbers, shape (3, nodes, columns, BINS)."""
-    columns = bins.shape[1]
-    slot = ((place[:, None] * columns + np.arange(columns)) * BINS + bins).ravel()
-    size = nodes * columns * BINS
-    sums = [np.bincount(slot, np.repeat(v, columns), size) for v in (g, h)] + [np.bincount(slot, minlength=size)]
-    return np.stack(sums).astype(np.int64).reshape(3, nodes, columns, BINS)
+    columns, first = bins.shape[1], place * BINS
+    out = np.empty((3, nodes, columns, BINS), np.int64)
+    for c in range(columns):
+        slot = first + bins[:, c]
+        for i, weight in enumerate((g, h, None)):
+            out[i, :, c] = np.bincount(slot, weight, nodes * BINS).reshape(nodes, BINS)
+    return out
 
 
 def _score(g: np.ndarray, h: np.ndarray, s: Settings) -> np.ndarray:
@@ -172,20 +180,32 @@ def _split(sums: np.ndarray, open_nodes: list[int], columns: np.ndarray, cuts: l
     return created
 
 
-def _grown(sums_of, columns: np.ndarray, cuts: list[np.ndarray], tree: Tree, s: Settings) -> None:
-    """Split ``tree``, a single node so far, level by level; ``sums_of`` gives the histograms of open nodes.
+def _grown(sums_of: Callable[[list[int]], np.ndarray], columns: np.ndarray, cuts: list[np.ndarray], tree: Tree, s: Settings) -> None:
+    """Split ``tree``, a single node so far, level by level; ``sums_of`` gives the histograms of the nodes it is asked for.
 
-    The open nodes are numbered consecutively, and higher than all others.
+    The open nodes are numbered consecutively, and higher than all others; ``sums_of`` is asked for the root, or for the
+    left ones of all open siblings.
     """
-    open_nodes = [0]
+    open_nodes, whole = [0], None
     for level in range(s.depth):
-        sums = sums_of(open_nodes)
+        sums = sums_of(open_nodes[::2])
         if level == 0:
             g, h = sums[:2, 0, 0, :].sum(axis=1) / _ONE
             tree.value[0] = _weight(float(g), float(h), s)
-        open_nodes = _split(sums, open_nodes, columns, cuts, tree, s)
+        else:
+            sums = np.stack([sums, whole - sums], axis=2).reshape(3, len(open_nodes), *sums.shape[2:])
+        parents = open_nodes
+        open_nodes = _split(sums, parents, columns, cuts, tree, s)
         if not open_nodes:
             return
+        whole = sums[:, [i for i, node in enumerate(parents) if tree.feature[node] >= 0]]
+
+
+def _asked(node: np.ndarray, wanted: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows at the wanted nodes, and the place of each one's node among them."""
+    offset = node - wanted[0]
+    live = np.flatnonzero((offset >= 0) & (offset % 2 == 0))
+    return live, offset[live] // 2
 
 
 def bins_of(values: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
@@ -214,18 +234,24 @@ def _sapling() -> Tree:
 def grow(keys: np.ndarray, values: np.ndarray, y: np.ndarray, s: Settings) -> list[Tree]:
     """Trees for rows in memory: ``keys`` as int64, ``values`` (rows, features) as double, ``y`` 0 or 1."""
     cuts = cuts_of(values)
-    bins, trees, margin = bins_of(values, cuts), [], np.zeros(len(y))
+    return _grow(keys, bins_of(values, cuts), y, cuts, s, lambda own: own)
+
+
+def _grow(keys: np.ndarray, bins: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], s: Settings,
+          total: Callable[[np.ndarray], np.ndarray]) -> list[Tree]:
+    """Trees for binned rows; ``total`` adds the sums of the rows that others hold to those of these rows."""
+    trees, margin = [], np.zeros(len(y))
     for number in range(s.trees):
-        tree, columns = _sapling(), _columns(values.shape[1], s, number)
+        tree, columns = _sapling(), _columns(len(cuts), s, number)
         drawn = np.flatnonzero(_drawn(keys, s, number))
         g, h = (v[drawn] for v in _gradients(margin, y, s))
-        rows, few, node = bins[drawn], bins[drawn][:, columns], np.zeros(len(drawn), np.int64)
+        rows, few, node = bins[drawn], np.asfortranarray(bins[drawn][:, columns]), np.zeros(len(drawn), np.int64)
 
-        def sums(open_nodes: list[int]) -> np.ndarray:
+        def sums(wanted: list[int]) -> np.ndarray:
             nonlocal node
             node = _below(node, rows, tree)
-            live = np.flatnonzero(node >= open_nodes[0])
-            return _histogram(few[live], node[live] - open_nodes[0], len(open_nodes), g[live], h[live])
+            live, place = _asked(node, wanted)
+            return total(_histogram(few[live], place, len(wanted), g[live], h[live]))
 
         _grown(sums, columns, cuts, tree, s)
         margin = margin + tree.leaf_values(bins)
@@ -233,23 +259,41 @@ def grow(keys: np.ndarray, values: np.ndarray, y: np.ndarray, s: Settings) -> li
     return trees
 
 
+def _flat(trees: Sequence[Tree]) -> list[tuple[np.ndarray, ...]]:
+    """(feature, cut, left, value) of each tree; a leaf's child is itself, whatever the value."""
+    out = []
+    for tree in trees:
+        feature, left = np.asarray(tree.feature), np.asarray(tree.left)
+        leaf = feature < 0
+        out.append((np.where(leaf, 0, feature), np.where(leaf, np.inf, tree.cut), np.where(leaf, np.arange(len(leaf)), left), np.asarray(tree.value)))
+    return out
+
+
+def _paths(trees: Sequence[Tree], values: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """For each tree the leaf values of the rows, and a list of steps (node, feature, node below)."""
+    first = np.arange(len(values)) * values.shape[1]
+    flat = np.where(np.isnan(values), np.inf, values).ravel()  # beyond every cut, as a missing value is
+    for tree, (feature, cut, left, value) in zip(trees, _flat(trees)):
+        node, steps = np.zeros(len(values), np.int64), []
+        for _ in range(_depth([tree])):
+            f = feature[node]
+            below = left[node] + ~(flat[first + f] <= cut[node])
+            steps.append((node, f, below))
+            node = below
+        yield value[node], steps
+
+
 def staged_margins(trees: Sequence[Tree], values: np.ndarray, stages: Sequence[int]) -> Iterator[np.ndarray]:
     """Margins after each of the (ascending) numbers of trees: a fit answers for all its beginnings."""
-    rows, total, done = np.arange(len(values)), np.zeros(len(values)), 0
+    total, done = np.zeros(len(values)), 0
     for stage in stages:
-        for tree in trees[done:stage]:
-            feature, cut, left = (np.asarray(c) for c in (tree.feature, tree.cut, tree.left))
-            node = np.zeros(len(values), np.int64)
-            while (feature[node] >= 0).any():
-                f = feature[node]
-                right = ~(values[rows, np.maximum(f, 0)] <= cut[node])
-                node = np.where(f < 0, node, left[node] + right)
-            total = total + np.asarray(tree.value)[node]
+        for leaves, _ in _paths(trees[done:stage], values):
+            total = total + leaves
         done = stage
         yield total
 
 
-# The distributed form.
+# The distributed forms.
 
 _BLOCK = "keys binary, bins binary, y binary, margin binary"
 
@@ -274,6 +318,12 @@ def cuts_in(rows: DataFrame, names: Sequence[str]) -> list[np.ndarray]:
     return [np.array(sorted(r["v"] for r in found if r["f"] == f)) for f in range(len(names))]
 
 
+def _keyed(rows: DataFrame, names: Sequence[str], key: str, label: str) -> DataFrame:
+    return rows.select(
+        F.xxhash64(key).alias("_key"), F.col(label).cast("tinyint").alias("_y"), *[F.col(n).cast("double").alias(n) for n in names]
+    )
+
+
 def _blocks(rows: DataFrame, names: Sequence[str], key: str, label: str, cuts: list[np.ndarray]) -> DataFrame:
     """Rows packed into blocks on the executors: keys, bins, labels and margins as bytes."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,10 +336,7 @@ def _blocks(rows: DataFrame, names: Sequence[str], key: str, label: str, cuts: l
                     "y": [part["_y"].to_numpy(np.int8).tobytes()], "margin": [np.zeros(len(part)).tobytes()],
                 })
 
-    narrow = rows.select(
-        F.xxhash64(key).alias("_key"), F.col(label).cast("tinyint").alias("_y"), *[F.col(n).cast("double").alias(n) for n in names]
-    )
-    return materialize(narrow.mapInPandas(pack, _BLOCK), "boosting-blocks")
+    return materialize(_keyed(rows, names, key, label).mapInPandas(pack, _BLOCK), "boosting-blocks")
 
 
 def _unpacked(batches: Iterator[pd.DataFrame], features: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -299,11 +346,53 @@ def _unpacked(batches: Iterator[pd.DataFrame], features: int) -> Iterator[tuple[
             yield np.frombuffer(row.keys, np.int64), np.frombuffer(row.bins, np.uint8).reshape(len(y), features), y, np.frombuffer(row.margin)
 
 
+def _packed(sums: np.ndarray) -> str:
+    """Whole numbers as text, the bytes of one rank side by side: most of the high ones are alike."""
+    return base64.b64encode(zlib.compress(np.ascontiguousarray(sums.view(np.uint8).reshape(-1, 8).T), 1)).decode()
+
+
+def _added_up(messages: Iterable[str], shape: tuple[int, ...]) -> np.ndarray:
+    total = np.zeros(shape, np.int64)
+    for message in messages:
+        octets = np.frombuffer(zlib.decompress(base64.b64decode(message)), np.uint8).reshape(8, -1)
+        total += np.ascontiguousarray(octets.T).view(np.int64).reshape(shape)
+    return total
+
+
+def message_bytes(features: int, s: Settings) -> int:
+    """Bytes of the sums that a task of ``fit_together`` sends for a level, before they are packed, at most."""
+    return 3 * 8 * 2 ** max(s.depth - 2, 0) * features * BINS
+
+
+def fit_together(rows: DataFrame, names: Sequence[str], key: str, label: str, s: Settings, tasks: int) -> list[Tree]:
+    """Trees by ``tasks`` tasks at once, which must not be more than the cluster has room for.
+
+    A task holds its share of the rows (some 100 bytes each while it works) and sees of the others' rows only sums of
+    nodes and bins, which all tasks exchange at each level. The driver passes these on and gets the trees.
+    """
+    cuts = cuts_in(rows, names)
+
+    def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = BarrierTaskContext.get()
+        keys, y, bins = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)], [np.zeros((0, len(names)), np.uint8)]
+        for batch in batches:
+            keys.append(batch["_key"].to_numpy(np.int64))
+            y.append(batch["_y"].to_numpy(np.int8))
+            bins.append(bins_of(batch[list(names)].to_numpy(float), cuts))
+        share = np.concatenate(keys), np.concatenate(bins), np.concatenate(y)
+        trees = _grow(*share, cuts, s, lambda own: _added_up(context.allGather(_packed(own)), own.shape))
+        if context.partitionId() == 0:
+            yield to_pandas(trees)
+
+    dealt = _keyed(rows, names, key, label).repartition(tasks)
+    return from_frame(materialize(dealt.mapInPandas(grown, TREES_SCHEMA, barrier=True), "boosting-trees"))
+
+
 def fit(rows: DataFrame, names: Sequence[str], key: str, label: str, s: Settings) -> list[Tree]:
     """Trees for any number of rows: one pass over their blocks for each level of each tree.
 
     A pass sums inside each task, then by node and slot in a shuffle; the driver gets one row per open node and slot,
-    at most 2**(depth - 1) * features * BINS whatever the number of rows. Margins are written every few trees; between
+    at most 2**(depth - 2) * features * BINS whatever the number of rows. Margins are written every few trees; between
     two writings a pass adds the trees since then, so a lost executor repeats a few trees at most.
     """
     cuts, trees, written, features = cuts_in(rows, names), [], 0, len(names)
@@ -326,15 +415,14 @@ def fit(rows: DataFrame, names: Sequence[str], key: str, label: str, s: Settings
     for number in range(s.trees):
         tree, columns, since = _sapling(), _columns(features, s, number), trees[written:]
 
-        def sums(open_nodes: list[int]) -> np.ndarray:
+        def sums(wanted: list[int]) -> np.ndarray:
             def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 total = 0
                 for keys, bins, y, margin in _unpacked(batches, features):
                     drawn = np.flatnonzero(_drawn(keys, s, number))
-                    node = _leaves(bins[drawn], tree)
-                    live = node >= open_nodes[0]
+                    live, place = _asked(_leaves(bins[drawn], tree), wanted)
                     g, h = (v[drawn][live] for v in _gradients(added(margin, bins, since), y, s))
-                    total = total + _histogram(bins[drawn][live][:, columns], node[live] - open_nodes[0], len(open_nodes), g, h)
+                    total = total + _histogram(bins[drawn][live][:, columns], place, len(wanted), g, h)
                 if not isinstance(total, int):
                     flat = total.reshape(3, -1)
                     at = np.flatnonzero(flat[2])
@@ -342,9 +430,9 @@ def fit(rows: DataFrame, names: Sequence[str], key: str, label: str, s: Settings
 
             whole = [F.sum(c).alias(c) for c in "ghn"]
             found = blocks.mapInPandas(partial, "slot long, g long, h long, n long").groupBy("slot").agg(*whole).toPandas()
-            out = np.zeros((3, len(open_nodes) * len(columns) * BINS), np.int64)
+            out = np.zeros((3, len(wanted) * len(columns) * BINS), np.int64)
             out[:, found["slot"].to_numpy(np.int64)] = found[["g", "h", "n"]].to_numpy(np.int64).T
-            return out.reshape(3, len(open_nodes), len(columns), BINS)
+            return out.reshape(3, len(wanted), len(columns), BINS)
 
         _grown(sums, columns, cuts, tree, s)
         trees.append(tree)
@@ -353,7 +441,7 @@ def fit(rows: DataFrame, names: Sequence[str], key: str, label: str, s: Settings
     return trees
 
 
-# Answers, without Python.
+# Answers. ``margin`` is an expression without Python, for a few small trees; the other two walk batches of rows.
 
 def _numbers(values: Sequence[float], kind: str) -> Column:
     """A constant array, made once when the plan is optimised."""
@@ -414,27 +502,36 @@ def margin(trees: Sequence[Tree], features: Sequence[Column]) -> Column:
     return _walked(trees, features, visit) if trees else F.lit(0.0)
 
 
-def attribution(trees: Sequence[Tree], features: Sequence[Column]) -> Column:
-    """What each feature adds to a row's margin: the change of node value at each split on it.
+def _matrix(columns: Sequence[pd.Series]) -> np.ndarray:
+    return np.stack([c.to_numpy(float, na_value=np.nan) for c in columns], axis=1)
 
-    An array of one number per feature, and last the sum of the roots' values. The sum of the array is the margin.
-    """
-    zeros, base = F.array(*[F.lit(0.0)] * len(features)), F.array(F.lit(float(sum(t.value[0] for t in trees))))
-    steps = _depth(trees)
 
-    def visit(r: Column, child) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            node, to = state["node"], child(state["node"])
-            change = r["value"][to] - r["value"][node]
-            moved = F.transform(state["sums"], lambda v, i: F.when(i == r["feature"][node], v + change).otherwise(v))
-            return F.struct(to.alias("node"), moved.alias("sums"))
+def margin_by_batch(trees: Sequence[Tree], features: Sequence[Column]) -> Column:
+    """``margin``, with the same numbers, for batches of rows at a time."""
+    def walked(*columns: pd.Series) -> pd.Series:
+        return pd.Series(next(staged_margins(trees, _matrix(columns), [len(trees)])))
 
-        def path(sums: Column, root: Column) -> Column:
-            return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(root.alias("node"), sums.alias("sums")), step)["sums"]
+    return F.pandas_udf(walked, "double")(*[f.cast("double") for f in features]) if trees else F.lit(0.0)
 
-        return F.aggregate(r["roots"], zeros, path)
 
-    return F.concat(_walked(trees, features, visit) if steps else zeros, base)
+def attribution(trees: Sequence[Tree], features: Sequence[Column]) -> Column:
+    """What each feature adds to a row's margin: the change of node value at each split on it.
+
+    An array of one number per feature, and last the sum of the roots' values. The sum of the array is the margin.
+    """
+    base = float(sum(t.value[0] for t in trees))
+
+    def walked(*columns: pd.Series) -> pd.Series:
+        x = _matrix(columns)
+        sums, rows = np.zeros((len(x), len(columns) + 1)), np.arange(len(x))
+        for tree, (_, steps) in zip(trees, _paths(trees, x)):
+            value = np.asarray(tree.value)
+            for node, feature, below in steps:
+                sums[rows, feature] += value[below] - value[node]
+        sums[:, -1] = base
+        return pd.Series(list(sums))
+
+    return F.pandas_udf(walked, "array<double>")(*[f.cast("double") for f in features])
 
 
 TREES_SCHEMA = "tree int, node int, feature int, cut double, left int, value double, gain double"

@@ -81,7 +81,7 @@ class ChurnModel:
         return [F.col(name) for name in self.feature_names]
 
     def margin(self) -> Column:
-        return boosting.margin(self.trees, self._features())
+        return boosting.margin_by_batch(self.trees, self._features())
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Add ``probability`` of churn."""
@@ -92,8 +92,11 @@ class ChurnModel:
         return rows.select("*", boosting.attribution(self.trees, self._features()).alias("attribution"))
 
 
-#: Persons of a fit inside one task; more are fitted in passes over all tasks, with the same trees as the result.
-IN_TASK = 200_000
+#: Persons of a fit inside one task; up to so many for each task are fitted by all tasks together, still more in passes over
+#: all tasks, with the same trees as the result. Tasks that work together hold this many persons at least.
+IN_TASK, TOGETHER, LEAST_SHARE = 200_000, 4_000_000, 25_000
+#: Bytes of all tasks' sums of a level, up to which they are exchanged.
+MOST_EXCHANGED = 1 << 28
 #: Persons that tuning looks at, those with the smallest hash of their id.
 SAMPLE = 50_000
 
@@ -112,12 +115,28 @@ def _fit_in_task(rows: DataFrame, names: Sequence[str], settings: Settings) -> l
     return boosting.from_frame(_narrow(rows, names).coalesce(1).mapInPandas(grown, boosting.TREES_SCHEMA))
 
 
-def fit(rows: DataFrame, params: dict[str, float], seed: int = SEED, in_task: int = IN_TASK) -> ChurnModel:
+def _room(spark: SparkSession) -> int:
+    """Tasks that the cluster surely runs at once; none where executors come and go."""
+    context = spark.sparkContext
+    conf = context.getConf()
+    if conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 0
+    parallelism = context.defaultParallelism
+    if conf.contains("spark.default.parallelism") and not context.master.startswith("local["):
+        executors = max(context._jsc.sc().getExecutorMemoryStatus().size() - 1, 1)
+        parallelism = min(parallelism, executors * int(conf.get("spark.executor.cores", "1")))
+    return parallelism // int(conf.get("spark.task.cpus", "1"))
+
+
+def fit(rows: DataFrame, params: dict[str, float], seed: int = SEED, in_task: int = IN_TASK, together: int = TOGETHER) -> ChurnModel:
     """The model of all rows. It depends neither on their order nor on tasks, nor on where its sums are made."""
     names = [c for c in rows.columns if c in FEATURES]
-    settings = Settings.of(params, seed)
-    if rows.count() <= in_task:
+    settings, count = Settings.of(params, seed), rows.count()
+    tasks = min(_room(rows.sparkSession), -(-count // LEAST_SHARE))
+    if count <= in_task:
         trees = _fit_in_task(rows, names, settings)
+    elif count <= tasks * together and tasks * boosting.message_bytes(len(names), settings) <= MOST_EXCHANGED:
+        trees = boosting.fit_together(rows, names, PERSON, LABEL, settings, tasks)
     else:
         trees = boosting.fit(rows, names, PERSON, LABEL, settings)
     return ChurnModel(trees, names, params=dict(params))

@@ -304,6 +304,11 @@ def _model(spark: SparkSession, sf_dir: str) -> learning.ChurnModel:
     return _fitted.get((spark.sparkContext.applicationId, sf_dir)) or _fit(spark, sf_dir)
 
 
+def _scored(model: learning.ChurnModel, rows: DataFrame) -> DataFrame:
+    """Rows with their probabilities, made once."""
+    return materialize(model.score(rows), "scored")
+
+
 def train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, _fit(spark, sf_dir))
 
@@ -342,8 +347,8 @@ def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "model")
     learning.save_model(model, path)
     loaded = learning.load_model(path)
-    before = model.score(people).select(PERSON, F.col("probability").alias("fitted"))
-    after = loaded.score(people).select(PERSON, F.col("probability").alias("loaded"))
+    before = _scored(model, people).select(PERSON, F.col("probability").alias("fitted"))
+    after = _scored(loaded, people).select(PERSON, F.col("probability").alias("loaded"))
     return before.join(after, PERSON).agg(
         F.count(F.lit(1)).alias("compared"), F.count_if(F.col("fitted") != F.col("loaded")).alias("different")
     )
@@ -367,7 +372,7 @@ def churn_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 def on_model(operator: Callable[..., DataFrame]) -> Query:
     @wraps(operator)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(_model(spark, sf_dir).score(features(spark, sf_dir)))
+        return operator(_scored(_model(spark, sf_dir), features(spark, sf_dir)))
 
     return query
 
@@ -376,7 +381,7 @@ def validated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scoring request: accepted ones with the model's answer, rejected ones with their faults."""
     model = _model(spark, sf_dir)
     accepted, rejected = churn.split_requests(testdata.request_rows(features(spark, sf_dir)))
-    answers = scoring.batch_score(model.score(accepted))
+    answers = scoring.batch_score(_scored(model, accepted))
     faults = rejected.select(PERSON, F.array_join("violations", "; ").alias("violations"))
     return answers.unionByName(faults, allowMissingColumns=True)
 
@@ -422,12 +427,12 @@ def rule_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _rule_model(spark, sf_dir).score(features(spark, sf_dir))
+    scored = _scored(_rule_model(spark, sf_dir), features(spark, sf_dir))
     return scoring.batch_score(scored).select(PERSON, "is_churned", "risk_level")
 
 
 def rule_risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.risk_histogram(_rule_model(spark, sf_dir).score(features(spark, sf_dir)))
+    return scoring.risk_histogram(_scored(_rule_model(spark, sf_dir), features(spark, sf_dir)))
 
 
 def learning_queries() -> dict[str, Query]:

@@ -108,6 +108,26 @@ def test_the_model_depends_neither_on_tasks_nor_on_where_it_is_fitted(features):
     assert learning.fit(features, {**SAMPLED, "subsample": 0.7}).trees != inside
 
 
+def test_the_three_forms_of_a_fit_give_the_same_trees(features, monkeypatch):
+    inside = learning.fit(features, SAMPLED).trees
+    monkeypatch.setattr(learning, "LEAST_SHARE", 10)
+    asked = []
+    by_tasks = boosting.fit_together
+    monkeypatch.setattr(boosting, "fit_together", lambda *given: asked.append(given[-1]) or by_tasks(*given))
+    assert learning.fit(features, SAMPLED, in_task=0).trees == inside
+    assert len(asked) == 1 and asked[0] > 1  # several tasks at once, each with its share of the rows
+    assert learning.fit(features, SAMPLED, in_task=0, together=0).trees == inside
+    assert len(asked) == 1
+
+
+def test_batches_have_the_numbers_of_the_expression(features):
+    model = learning.fit(features, SAMPLED)
+    rows = features.withColumn("monetary", F.when(F.col("frequency") > 3, F.col("monetary")))
+    columns = [F.col(name) for name in model.feature_names]
+    both = rows.select(model.margin().alias("batch"), boosting.margin(model.trees, columns).alias("expression"))
+    assert both.where("batch != expression or batch is null").isEmpty()
+
+
 def test_fewer_trees_are_the_beginning_of_more(features):
     more = learning.fit(features, SAMPLED).trees
     assert learning.fit(features, {**SAMPLED, "n_estimators": 5}).trees == more[:5]
