@@ -107,6 +107,22 @@ def test_classifiers_take_odd_rows_and_missing_labels(spark, odd, operator):
     assert operator.scored(odd.limit(0), some).collect() == []
 
 
+def test_quality_is_learned_from_every_learnable_document(spark, monkeypatch):
+    monkeypatch.setattr(quality_bt, "BUCKET", 300)
+    # Beyond any bound of the sample that was: 60 bad documents, which few buckets would hold, and 5,000 good ones.
+    rows = [(i, int(i % 80 != 0), ("?!#% " if i % 80 == 0 else "plain words ") * (5 + i % 7)) for i in range(7500)]
+    made = spark.createDataFrame(rows, "doc_id long, quality int, text string")
+    ids = samples.labelled_ids(made, "quality", 3, 1)
+    vectors = quality_bt._labelled_vectors(made, ids)
+    wanted = {y: sum(r[1] == y and remainder(r[0], 3) != 1 for r in rows) for y in (0, 1)}
+    sizes, centre, _ = quality_bt._moments(vectors)
+    assert sizes == wanted and wanted[1] > 4000
+    blocks = quality_bt._buckets(vectors, sizes).collect()
+    assert sum(len(b.good) for b in blocks) == 4 * len(centre) * wanted[1] and all(len(b.bad) for b in blocks)
+    got = quality_bt.scored(made, made).collect()
+    assert sum(r.predicted == int(r.doc_id % 80 != 0) for r in got) > 0.99 * len(got)
+
+
 def test_pairs_give_the_order_and_the_quantile():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 6))
