@@ -56,8 +56,8 @@ _LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _LATIN_NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _SPLIT_LATIN = re.compile(rf"{_CONTRACTIONS}|[{_LATIN}]+|[{_LATIN_NUMBER}]|[^ {_LATIN}{_LATIN_NUMBER}]+")
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-_BLOCK_CHARS = 2_000_000
-_KNOWN_WORDS = 300_000
+_BLOCK_CHARS = 500_000
+_KNOWN_WORDS = 100_000
 
 
 def byte_characters() -> list[str]:
