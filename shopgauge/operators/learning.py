@@ -92,9 +92,10 @@ class ChurnModel:
         return rows.select("*", boosting.attribution(self.trees, self._features()).alias("attribution"))
 
 
-#: Persons of a fit inside one task; up to so many for each task are fitted by all tasks together, still more in passes over
-#: all tasks, with the same trees as the result. Tasks that work together hold this many persons at least.
-IN_TASK, TOGETHER, LEAST_SHARE = 200_000, 4_000_000, 25_000
+#: Persons of a fit inside one task; more are fitted in passes over all tasks, with the same trees as the result. A caller may
+#: have up to so many for each task fitted by all tasks together instead: not by default, as an exchange was measured to take
+#: longer than a pass. Tasks that work together hold some persons at least.
+IN_TASK, TOGETHER, LEAST_SHARE = 200_000, 0, 25_000
 #: Bytes of all tasks' sums of a level, up to which they are exchanged.
 MOST_EXCHANGED = 1 << 28
 #: Persons that tuning looks at, those with the smallest hash of their id.

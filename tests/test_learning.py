@@ -114,7 +114,7 @@ def test_the_three_forms_of_a_fit_give_the_same_trees(features, monkeypatch):
     asked = []
     by_tasks = boosting.fit_together
     monkeypatch.setattr(boosting, "fit_together", lambda *given: asked.append(given[-1]) or by_tasks(*given))
-    assert learning.fit(features, SAMPLED, in_task=0).trees == inside
+    assert learning.fit(features, SAMPLED, in_task=0, together=1000).trees == inside
     assert len(asked) == 1 and asked[0] > 1  # several tasks at once, each with its share of the rows
     assert learning.fit(features, SAMPLED, in_task=0, together=0).trees == inside
     assert len(asked) == 1
