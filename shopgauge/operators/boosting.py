@@ -3,7 +3,7 @@
 A level of a tree needs, for every open node, feature and bin, the summed gradients and curvatures of the rows there.
 ``grow`` takes these sums in the memory of one task. ``fit_together`` deals the rows to the tasks of one barrier stage;
 each keeps its share in memory, and the tasks exchange sums of nodes and bins level by level. ``fit`` takes the sums in
-passes over blocks of rows that Spark holds on the executors, whatever the memory; the driver sees sums of nodes and bins
+passes over blocks of rows that Spark keeps on the executors, a job of one stage each; the driver sees sums of nodes and bins
 only. Gradients are whole multiples of 2**-24, so every sum is exact, and rows are sampled by a hash of person and tree:
 all forms, and any number of tasks, give the same trees. Of two siblings the left one is summed, the right one is what is
 left of their parent.
@@ -21,14 +21,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import BarrierTaskContext
+from pyspark import RDD, BarrierTaskContext, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shopgauge.functions.ordering import lay_out, running
 from shopgauge.session import materialize
 
-#: Bins of a feature at most; rows in one block of a distributed fit; trees between two writings of the margins.
-BINS, BLOCK_ROWS, TREES_PER_WRITE = 64, 1 << 16, 10
+#: Bins of a feature at most; rows in one block of a distributed fit, or a batch more; rows of one of its tasks, unless each
+#: core has a task; trees between two writings of the margins.
+BINS, BLOCK_ROWS, TASK_ROWS, TREES_PER_WRITE = 64, 1 << 16, 1 << 18, 10
+#: Bytes of all tasks' sums of a level, before they are packed, up to which the driver adds them up.
+MOST_COLLECTED = 1 << 27
 #: Gradients are whole multiples of 1 / _ONE.
 _ONE = float(1 << 24)
 #: A split must gain more than this, also where no loss reduction is asked for.
@@ -324,26 +327,45 @@ def _keyed(rows: DataFrame, names: Sequence[str], key: str, label: str) -> DataF
     )
 
 
-def _blocks(rows: DataFrame, names: Sequence[str], key: str, label: str, cuts: list[np.ndarray]) -> DataFrame:
-    """Rows packed into blocks on the executors: keys, bins, labels and margins as bytes."""
+def _blocks(rows: DataFrame, names: Sequence[str], key: str, label: str, cuts: list[np.ndarray], parts: int) -> DataFrame:
+    """Rows dealt to ``parts`` tasks and packed into blocks: keys, bins, labels and margins as bytes."""
+    def block(batches: list[pd.DataFrame]) -> pd.DataFrame:
+        whole = pd.concat(batches)
+        return pd.DataFrame({
+            "keys": [whole["_key"].to_numpy(np.int64).tobytes()],
+            "bins": [bins_of(whole[list(names)].to_numpy(float), cuts).tobytes()],
+            "y": [whole["_y"].to_numpy(np.int8).tobytes()], "margin": [np.zeros(len(whole)).tobytes()],
+        })
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            for at in range(0, len(batch), BLOCK_ROWS):
-                part = batch.iloc[at : at + BLOCK_ROWS]
-                bins = bins_of(part[list(names)].to_numpy(float), cuts)
-                yield pd.DataFrame({
-                    "keys": [part["_key"].to_numpy(np.int64).tobytes()], "bins": [bins.tobytes()],
-                    "y": [part["_y"].to_numpy(np.int8).tobytes()], "margin": [np.zeros(len(part)).tobytes()],
-                })
+            held.append(batch)
+            if sum(map(len, held)) >= BLOCK_ROWS:
+                yield block(held)
+                held = []
+        if held:
+            yield block(held)
+
+    return materialize(_keyed(rows, names, key, label).repartition(parts).mapInPandas(pack, _BLOCK), "boosting-blocks")
+
+
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    return materialize(_keyed(rows, names, key, label).mapInPandas(pack, _BLOCK), "boosting-blocks")
 
+def _unpacked(row, features: int) -> Block:
+    """Keys, bins, labels and margins of a block."""
+    y = np.frombuffer(row["y"], np.int8)
+    bins = np.frombuffer(row["bins"], np.uint8).reshape(len(y), features)
+    return np.frombuffer(row["keys"], np.int64), bins, y, np.frombuffer(row["margin"])
 
-def _unpacked(batches: Iterator[pd.DataFrame], features: int) -> Iterator[tuple[np.ndarray, ...]]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            y = np.frombuffer(row.y, np.int8)
-            yield np.frombuffer(row.keys, np.int64), np.frombuffer(row.bins, np.uint8).reshape(len(y), features), y, np.frombuffer(row.margin)
+
+def _advanced(block: Block, trees: Sequence[Tree]) -> Block:
+    """The block with the answers of more trees in its margins."""
+    keys, bins, y, margin = block
+    for tree in trees:
+        margin = margin + tree.leaf_values(bins)
+    return keys, bins, y, margin
 
 
 def _packed(sums: np.ndarray) -> str:
@@ -388,56 +410,77 @@ def fit_together(rows: DataFrame, names: Sequence[str], key: str, label: str, s:
     return from_frame(materialize(dealt.mapInPandas(grown, TREES_SCHEMA, barrier=True), "boosting-trees"))
 
 
-def fit(rows: DataFrame, names: Sequence[str], key: str, label: str, s: Settings) -> list[Tree]:
-    """Trees for any number of rows: one pass over their blocks for each level of each tree.
+def _total(sums: RDD, shape: tuple[int, ...]) -> np.ndarray:
+    """The sums of all tasks added up: by the driver while they are small, else by tasks before it gets them."""
+    if sums.getNumPartitions() * math.prod(shape) * 8 > MOST_COLLECTED:
+        return sums.treeReduce(np.add)
 
-    A pass sums inside each task, then by node and slot in a shuffle; the driver gets one row per open node and slot,
-    at most 2**(depth - 2) * features * BINS whatever the number of rows. Margins are written every few trees; between
-    two writings a pass adds the trees since then, so a lost executor repeats a few trees at most.
+    def known(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = own.reshape(3, -1)
+        at = np.flatnonzero(flat[2])
+        return at.astype(np.int32), flat[:, at]
+
+    total = np.zeros((3, math.prod(shape[1:])), np.int64)
+    for at, own in sums.map(known).collect():
+        total[:, at] += own
+    return total.reshape(shape)
+
+
+def fit(rows: DataFrame, names: Sequence[str], key: str, label: str, s: Settings, parts: int | None = None) -> list[Tree]:
+    """Trees for any number of rows: one pass over their blocks for each level of each tree, by ``parts`` tasks.
+
+    A pass is a job of one stage over blocks that stay on the executors, in memory or on their disks; a task gives at most
+    2**(depth - 2) * features * BINS sums, whatever the number of rows. A tree's answers are added to the margins in the
+    first pass of the next one. Every few trees the margins are written, so a lost executor repeats a few trees at most.
     """
-    cuts, trees, written, features = cuts_in(rows, names), [], 0, len(names)
-    blocks = _blocks(rows, names, key, label, cuts)
+    cuts, trees, features = cuts_in(rows, names), [], len(names)
+    blocks = _blocks(rows, names, key, label, cuts, parts or rows.sparkSession.sparkContext.defaultParallelism)
 
-    def added(margin: np.ndarray, bins: np.ndarray, since: list[Tree]) -> np.ndarray:
-        for tree in since:
-            margin = margin + tree.leaf_values(bins)
-        return margin
+    def held() -> RDD:
+        return blocks.rdd.map(lambda row: _unpacked(row, features)).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def advanced(since: list[Tree]) -> DataFrame:
+    def answered(block: RDD, tree: Tree) -> RDD:
+        return block.map(lambda b: _advanced(b, [tree])).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def written(since: list[Tree]) -> DataFrame:
         def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for keys, bins, y, margin in _unpacked(batches, features):
-                yield pd.DataFrame({
-                    "keys": [keys.tobytes()], "bins": [bins.tobytes()], "y": [y.tobytes()], "margin": [added(margin, bins, since).tobytes()],
-                })
+            for batch in batches:
+                for row in batch.to_dict("records"):
+                    margin = _advanced(_unpacked(row, features), since)[-1]
+                    yield pd.DataFrame([{**row, "margin": margin.tobytes()}])
 
         return materialize(blocks.mapInPandas(advance, _BLOCK), "boosting-margins")
 
+    kept = [held()]  # the blocks of this tree, and before its first pass those of the last one
     for number in range(s.trees):
-        tree, columns, since = _sapling(), _columns(features, s, number), trees[written:]
+        tree, columns = _sapling(), _columns(features, s, number)
 
         def sums(wanted: list[int]) -> np.ndarray:
-            def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                total = 0
-                for keys, bins, y, margin in _unpacked(batches, features):
+            shape = 3, len(wanted), len(columns), BINS
+
+            def partial(own: Iterator[Block]) -> Iterator[np.ndarray]:
+                total = np.zeros(shape, np.int64)
+                for keys, bins, y, margin in own:
                     drawn = np.flatnonzero(_drawn(keys, s, number))
                     live, place = _asked(_leaves(bins[drawn], tree), wanted)
-                    g, h = (v[drawn][live] for v in _gradients(added(margin, bins, since), y, s))
-                    total = total + _histogram(bins[drawn][live][:, columns], place, len(wanted), g, h)
-                if not isinstance(total, int):
-                    flat = total.reshape(3, -1)
-                    at = np.flatnonzero(flat[2])
-                    yield pd.DataFrame({"slot": at, "g": flat[0][at], "h": flat[1][at], "n": flat[2][at]})
-
-            whole = [F.sum(c).alias(c) for c in "ghn"]
-            found = blocks.mapInPandas(partial, "slot long, g long, h long, n long").groupBy("slot").agg(*whole).toPandas()
-            out = np.zeros((3, len(wanted) * len(columns) * BINS), np.int64)
-            out[:, found["slot"].to_numpy(np.int64)] = found[["g", "h", "n"]].to_numpy(np.int64).T
-            return out.reshape(3, len(wanted), len(columns), BINS)
+                    at = drawn[live]
+                    g, h = _gradients(margin[at], y[at], s)
+                    total += _histogram(np.asfortranarray(bins[at][:, columns]), place, len(wanted), g, h)
+                yield total
+
+            return _total(kept[-1].mapPartitions(partial), shape)
 
         _grown(sums, columns, cuts, tree, s)
         trees.append(tree)
-        if len(trees) - written == TREES_PER_WRITE and len(trees) < s.trees:
-            blocks, written = advanced(trees[written:]), len(trees)
+        for last in kept[:-1]:
+            last.unpersist()
+        if len(trees) < s.trees and len(trees) % TREES_PER_WRITE == 0:
+            blocks = written(trees[-TREES_PER_WRITE:])
+            kept = [kept[-1], held()]
+        elif len(trees) < s.trees:
+            kept = [kept[-1], answered(kept[-1], tree)]
+    for last in kept:
+        last.unpersist()
     return trees
 
 

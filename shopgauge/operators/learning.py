@@ -139,7 +139,8 @@ def fit(rows: DataFrame, params: dict[str, float], seed: int = SEED, in_task: in
     elif count <= tasks * together and tasks * boosting.message_bytes(len(names), settings) <= MOST_EXCHANGED:
         trees = boosting.fit_together(rows, names, PERSON, LABEL, settings, tasks)
     else:
-        trees = boosting.fit(rows, names, PERSON, LABEL, settings)
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        trees = boosting.fit(rows, names, PERSON, LABEL, settings, cores * -(-count // (cores * boosting.TASK_ROWS)) or cores)
     return ChurnModel(trees, names, params=dict(params))
 
 

@@ -120,6 +120,33 @@ def test_the_three_forms_of_a_fit_give_the_same_trees(features, monkeypatch):
     assert len(asked) == 1
 
 
+def jobs_of(spark, group, call):
+    spark.sparkContext.setJobGroup(group, group)
+    call()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = [spark.sparkContext.statusTracker().getJobInfo(i) for i in spark.sparkContext.statusTracker().getJobIdsForGroup(group)]
+    return len(found), sum(len(job.stageIds) for job in found)
+
+
+def test_a_level_in_passes_is_one_job_of_one_stage(spark, features):
+    fits = [
+        jobs_of(spark, f"fit-{n}", lambda: learning.fit(features, {**SAMPLED, "n_estimators": n}, in_task=0)) for n in (3, 9)
+    ]
+    for fewer, more in zip(*fits):
+        assert 0 < more - fewer <= 6 * SAMPLED["max_depth"]
+
+
+def test_sums_too_large_for_the_driver_are_added_up_by_tasks(features, monkeypatch):
+    few = {**SAMPLED, "n_estimators": 3}
+    inside = learning.fit(features, few).trees
+    tasks, total = [], boosting._total
+    monkeypatch.setattr(boosting, "_total", lambda sums, shape: tasks.append(sums.getNumPartitions()) or total(sums, shape))
+    monkeypatch.setattr(boosting, "MOST_COLLECTED", 0)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    assert learning.fit(features, few, in_task=0).trees == inside
+    assert min(tasks) > 1
+
+
 def test_batches_have_the_numbers_of_the_expression(features):
     model = learning.fit(features, SAMPLED)
     rows = features.withColumn("monetary", F.when(F.col("frequency") > 3, F.col("monetary")))
