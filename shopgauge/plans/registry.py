@@ -293,15 +293,27 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 _fitted: dict[tuple[str, str], learning.ChurnModel] = {}
 
 
-def _fit(spark: SparkSession, sf_dir: str) -> learning.ChurnModel:
-    """The model with default parameters, kept for the session's other queries. Persons are read anew by each query."""
-    _, train, test = _split(spark, sf_dir)
-    _fitted[spark.sparkContext.applicationId, sf_dir] = learning.train(train, test)
-    return _fitted[spark.sparkContext.applicationId, sf_dir]
+def _fit(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame, DataFrame]:
+    """The model with default parameters, all persons and the test part. The model is kept for the session's other queries."""
+    people, train, test = _split(spark, sf_dir)
+    model = _fitted[spark.sparkContext.applicationId, sf_dir] = learning.train(train, test)
+    return model, people, test
 
 
 def _model(spark: SparkSession, sf_dir: str) -> learning.ChurnModel:
-    return _fitted.get((spark.sparkContext.applicationId, sf_dir)) or _fit(spark, sf_dir)
+    return _fitted.get((spark.sparkContext.applicationId, sf_dir)) or _fit(spark, sf_dir)[0]
+
+
+def _model_and_persons(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame]:
+    """The model and all persons: those it was fitted from if that is done now, read anew if it was kept."""
+    kept = _fitted.get((spark.sparkContext.applicationId, sf_dir))
+    return (kept, features(spark, sf_dir)) if kept else _fit(spark, sf_dir)[:2]
+
+
+def _model_and_test(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame]:
+    """The model and the test part, likewise."""
+    kept = _fitted.get((spark.sparkContext.applicationId, sf_dir))
+    return (kept, _split(spark, sf_dir)[2]) if kept else _fit(spark, sf_dir)[::2]
 
 
 def _scored(model: learning.ChurnModel, rows: DataFrame) -> DataFrame:
@@ -310,7 +322,7 @@ def _scored(model: learning.ChurnModel, rows: DataFrame) -> DataFrame:
 
 
 def train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, _fit(spark, sf_dir))
+    return _metrics(spark, _fit(spark, sf_dir)[0])
 
 
 def _metrics(spark: SparkSession, model: learning.ChurnModel) -> DataFrame:
@@ -331,19 +343,18 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = _model(spark, sf_dir)
-    return learning.permutation_importance(model, _split(spark, sf_dir)[2])
+    return learning.permutation_importance(*_model_and_test(spark, sf_dir))
 
 
 def mean_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each feature adds to the margins of the test part, on the mean over persons."""
-    model = _model(spark, sf_dir)
-    return learning.mean_attribution(model, _split(spark, sf_dir)[2])
+    return learning.mean_attribution(*_model_and_test(spark, sf_dir))
 
 
 def save_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all persons by the model as fitted and as stored and read back."""
-    model, people = _model(spark, sf_dir), materialize(features(spark, sf_dir), "persons")
+    model, people = _model_and_persons(spark, sf_dir)
+    people = materialize(people, "persons")
     path = scratch_path(spark, "model")
     learning.save_model(model, path)
     loaded = learning.load_model(path)
@@ -372,15 +383,15 @@ def churn_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 def on_model(operator: Callable[..., DataFrame]) -> Query:
     @wraps(operator)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return operator(_scored(_model(spark, sf_dir), features(spark, sf_dir)))
+        return operator(_scored(*_model_and_persons(spark, sf_dir)))
 
     return query
 
 
 def validated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scoring request: accepted ones with the model's answer, rejected ones with their faults."""
-    model = _model(spark, sf_dir)
-    accepted, rejected = churn.split_requests(testdata.request_rows(features(spark, sf_dir)))
+    model, people = _model_and_persons(spark, sf_dir)
+    accepted, rejected = churn.split_requests(testdata.request_rows(people))
     answers = scoring.batch_score(_scored(model, accepted))
     faults = rejected.select(PERSON, F.array_join("violations", "; ").alias("violations"))
     return answers.unionByName(faults, allowMissingColumns=True)
@@ -389,25 +400,33 @@ def validated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _rule_fitted: dict[tuple[str, str], learning.ChurnModel] = {}
 
 
-def _rule_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).withColumn(LABEL, (F.col("payment_type_count") >= 3).cast("bigint"))
-
-
-def _rule_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    split = materialize(learning.stratified_split(_rule_features(spark, sf_dir)), "split")
-    return tuple(split.where(F.col("part") == part).drop("part") for part in ("train", "test"))
+def _rule_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All persons, and those to train and to test on."""
+    rule = features(spark, sf_dir).withColumn(LABEL, (F.col("payment_type_count") >= 3).cast("bigint"))
+    split = materialize(learning.stratified_split(rule), "split")
+    train, test = (split.where(F.col("part") == part).drop("part") for part in ("train", "test"))
+    return split.drop("part"), train, test
 
 
-def _rule_model(spark: SparkSession, sf_dir: str) -> learning.ChurnModel:
-    """A model for a label that one feature decides: SQL can state all of its answers.
+def _rule_fit(spark: SparkSession, sf_dir: str) -> tuple[learning.ChurnModel, DataFrame, DataFrame]:
+    """A model for a label that one feature decides: SQL can state all of its answers. With all persons and the test part.
 
     Leaves may be as small as they come. Else a table of few persons, once the rule is learned, leaves too little weight
     on one side of it, and trees would split on what else goes with the rule.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _rule_fitted:
-        _rule_fitted[key] = learning.train(*_rule_split(spark, sf_dir), {"min_child_weight": 0})
-    return _rule_fitted[key]
+    people, train, test = _rule_split(spark, sf_dir)
+    model = _rule_fitted[spark.sparkContext.applicationId, sf_dir] = learning.train(train, test, {"min_child_weight": 0})
+    return model, people, test
+
+
+def _rule_model(spark: SparkSession, sf_dir: str) -> learning.ChurnModel:
+    return _rule_fitted.get((spark.sparkContext.applicationId, sf_dir)) or _rule_fit(spark, sf_dir)[0]
+
+
+def _rule_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All persons with the probabilities of the rule's model; read anew if it was kept."""
+    kept = _rule_fitted.get((spark.sparkContext.applicationId, sf_dir))
+    return _scored(kept, features(spark, sf_dir)) if kept else _scored(*_rule_fit(spark, sf_dir)[:2])
 
 
 def rule_train_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +438,8 @@ def rule_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.permutation_importance(_rule_model(spark, sf_dir), _rule_split(spark, sf_dir)[1])
+    kept = _rule_fitted.get((spark.sparkContext.applicationId, sf_dir))
+    return learning.permutation_importance(*((kept, _rule_split(spark, sf_dir)[2]) if kept else _rule_fit(spark, sf_dir)[::2]))
 
 
 def rule_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,12 +447,11 @@ def rule_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(_rule_model(spark, sf_dir), features(spark, sf_dir))
-    return scoring.batch_score(scored).select(PERSON, "is_churned", "risk_level")
+    return scoring.batch_score(_rule_scored(spark, sf_dir)).select(PERSON, "is_churned", "risk_level")
 
 
 def rule_risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.risk_histogram(_scored(_rule_model(spark, sf_dir), features(spark, sf_dir)))
+    return scoring.risk_histogram(_rule_scored(spark, sf_dir))
 
 
 def learning_queries() -> dict[str, Query]:

@@ -292,6 +292,20 @@ def test_queries_of_a_kept_model_read_the_persons_anew(spark, tmp_path):
     assert 0 < after < before
 
 
+@pytest.mark.parametrize("name", ["mean_attribution", "model_risk_histogram", "rule_risk_histogram"])
+def test_a_query_that_fits_the_model_reads_the_persons_once(spark, monkeypatch, name):
+    reads, features = [], registry.features
+    monkeypatch.setattr(registry, "features", lambda *given: reads.append(given) or features(*given))
+    monkeypatch.setattr(registry, "_fitted", {})
+    monkeypatch.setattr(registry, "_rule_fitted", {})
+    monkeypatch.setattr(learning, "train", lambda *_: learning.ChurnModel([], FEATURES))
+    query = registry.learning_queries()[name]
+    first = query(spark, "/root/testdata/sf0.001").collect()
+    assert len(reads) == 1
+    assert query(spark, "/root/testdata/sf0.001").collect() == first
+    assert len(reads) == 2
+
+
 def test_parameters_are_drawn_from_the_space():
     points = learning.sample_params(50)
     assert points == learning.sample_params(50)
