@@ -282,7 +282,7 @@ def test_queries_of_a_kept_model_read_the_persons_anew(spark, tmp_path):
     import shutil
 
     folder = tmp_path / "tables"
-    shutil.copytree("/root/testdata/sf0.001", folder)
+    shutil.copytree("/root/testdata/sf0.001", folder, copy_function=shutil.copyfile)  # the tables are read-only
     query = registry.learning_queries()["model_batch_score"]
     before = query(spark, str(folder)).count()
     few = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_custkey % 2 = 0").toPandas()
