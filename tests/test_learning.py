@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,20 @@ def test_a_tree_equals_brute_force():
     assert tree.gain[0] == pytest.approx(gain, abs=1e-5) and tree.value[1:] == pytest.approx(leaves, abs=1e-6)
 
 
+def test_rows_of_a_block_are_walked_feature_by_feature():
+    draw = np.random.default_rng(7)
+    bins, y = draw.integers(0, boosting.BINS, (3000, 4)).astype(np.uint8), draw.integers(0, 2, 3000).astype(np.int8)
+    keys, cuts, lines = np.arange(3000), [np.arange(63.0)] * 4, np.ascontiguousarray(bins.T)
+    trees = boosting._grow(keys, bins, y, cuts, boosting.Settings(trees=3, depth=5), lambda own: own)
+    rows = np.flatnonzero(draw.random(3000) < 0.7)
+    for tree in [boosting._sapling(), *trees]:
+        assert (boosting._reached(lines, tree, rows) == boosting._leaves(bins[rows], tree)).all()
+    row = {"keys": keys.tobytes(), "bins": lines.tobytes(), "y": y.tobytes(), "margin": np.zeros(3000).tobytes()}
+    margin = boosting._advanced(boosting._unpacked(row, 4), trees)[-1]
+    assert (margin == sum(tree.leaf_values(bins) for tree in trees)).all()
+    assert (boosting._reached(np.zeros((4, 0), np.uint8), trees[0], np.arange(0)) == np.zeros(0)).all()
+
+
 def test_scores_are_the_margins_of_the_fit(features):
     import numpy as np
 
