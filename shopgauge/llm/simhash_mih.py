@@ -97,7 +97,9 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: Sequence[tuple[
     entries = prints.select(F.col("bits").alias("a"), F.inline(F.array(*entry)))
     probes = prints.select(F.col("bits").alias("b"), F.inline(F.array(*probe)))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    met = entries.join(probes, ["segment", "key"]).where((F.col("a") < F.col("b")) & (apart <= distance))
+    # Spark sizes either side by that of ``prints``, as if each fingerprint were one row, and would send tens of millions of
+    # probes through the driver. A sorted join spills, and splits a key that many fingerprints share.
+    met = entries.join(probes.hint("merge"), ["segment", "key"]).where((F.col("a") < F.col("b")) & (apart <= distance))
     return met.select("a", "b").distinct()
 
 

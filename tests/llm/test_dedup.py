@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopgauge.llm import simhash_mih, spotsigs, stream_dedup, superkmers
 
@@ -203,6 +204,14 @@ def test_links_lose_no_pair(spark):
         simhash_mih.links(spark.createDataFrame([], "bits long"), 5)
 
 
+def test_probes_are_never_broadcast(spark, tmp_path):
+    """Spark takes the probes for as many rows as there are fingerprints."""
+    spark.range(50).select(F.xxhash64("id").alias("bits")).write.parquet(str(tmp_path / "prints"))
+    met = simhash_mih.links(spark.read.parquet(str(tmp_path / "prints")))
+    assert met.collect() == []
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in simhash_mih.components(chain).collect()}
