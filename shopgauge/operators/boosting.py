@@ -114,21 +114,30 @@ def _leaves(bins: np.ndarray, tree: Tree) -> np.ndarray:
         node = lower
 
 
-def _reached(bins: np.ndarray, tree: Tree, rows: np.ndarray) -> np.ndarray:
-    """The node without children that each of the rows reaches; ``bins`` has a line for each feature.
+def _lookups(bins: np.ndarray, tree: Tree) -> tuple[np.ndarray, ...]:
+    """All bins, and by node the start of its feature's line, its cut and its left child.
 
     A leaf's child is itself: no bin is above its cut. So every step is the same few lookups for all rows.
     """
     feature, left = np.asarray(tree.feature), np.asarray(tree.left)
     leaf = feature < 0
     line = np.where(leaf, 0, feature) * bins.shape[1]
-    cut, left = np.where(leaf, BINS, tree.bin).astype(np.uint8), np.where(leaf, np.arange(len(leaf)), left)
-    flat, node = bins.ravel(), np.zeros(len(rows), np.int64)
-    for _ in range(_depth([tree])):
+    return bins.ravel(), line, np.where(leaf, BINS, tree.bin).astype(np.uint8), np.where(leaf, np.arange(len(leaf)), left)
+
+
+def _lower(bins: np.ndarray, tree: Tree, rows: np.ndarray, node: np.ndarray, steps: int = 1) -> np.ndarray:
+    """The nodes some levels below those of the rows; rows at a leaf stay. ``bins`` has a line for each feature."""
+    flat, line, cut, left = _lookups(bins, tree)
+    for _ in range(steps):
         node = left[node] + (flat[line[node] + rows] > cut[node])
     return node
 
 
+def _reached(bins: np.ndarray, tree: Tree, rows: np.ndarray) -> np.ndarray:
+    """The node without children that each of the rows reaches."""
+    return _lower(bins, tree, rows, np.zeros(len(rows), np.int64), _depth([tree]))
+
+
 def _drawn(keys: np.ndarray, s: Settings, tree: int) -> np.ndarray:
     """Whether a row takes part in a tree: by a hash of its key, the seed and the tree."""
     if s.row_share >= 1.0:
@@ -255,24 +264,30 @@ def grow(keys: np.ndarray, values: np.ndarray, y: np.ndarray, s: Settings) -> li
     return _grow(keys, bins_of(values, cuts), y, cuts, s, lambda own: own)
 
 
+def grow_binned(keys: np.ndarray, bins: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], s: Settings) -> list[Tree]:
+    """``grow`` for rows whose values are bins (rows, features) of the cuts already."""
+    return _grow(keys, bins, y, cuts, s, lambda own: own)
+
+
 def _grow(keys: np.ndarray, bins: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], s: Settings,
           total: Callable[[np.ndarray], np.ndarray]) -> list[Tree]:
     """Trees for binned rows; ``total`` adds the sums of the rows that others hold to those of these rows."""
-    trees, margin = [], np.zeros(len(y))
+    trees, margin, lines, every = [], np.zeros(len(y)), np.ascontiguousarray(bins.T), np.arange(len(y))
     for number in range(s.trees):
         tree, columns = _sapling(), _columns(len(cuts), s, number)
         drawn = np.flatnonzero(_drawn(keys, s, number))
-        g, h = (v[drawn] for v in _gradients(margin, y, s))
-        rows, few, node = bins[drawn], np.asfortranarray(bins[drawn][:, columns]), np.zeros(len(drawn), np.int64)
+        g, h = _gradients(margin[drawn], y[drawn], s)
+        node = np.zeros(len(drawn), np.int64)
 
         def sums(wanted: list[int]) -> np.ndarray:
             nonlocal node
-            node = _below(node, rows, tree)
+            node = _lower(lines, tree, drawn, node)
             live, place = _asked(node, wanted)
-            return total(_histogram(few[live].T, place, len(wanted), g[live], h[live]))
+            at = drawn[live]
+            return total(_histogram([lines[c][at] for c in columns], place, len(wanted), g[live], h[live]))
 
         _grown(sums, columns, cuts, tree, s)
-        margin = margin + tree.leaf_values(bins)
+        margin = margin + np.asarray(tree.value)[_reached(lines, tree, every)]
         trees.append(tree)
     return trees
 
@@ -311,6 +326,16 @@ def staged_margins(trees: Sequence[Tree], values: np.ndarray, stages: Sequence[i
         yield total
 
 
+def staged_binned(trees: Sequence[Tree], bins: np.ndarray, stages: Sequence[int]) -> Iterator[np.ndarray]:
+    """``staged_margins`` for trees that were fitted here, and rows (rows, features) of their bins."""
+    total, done, lines, every = np.zeros(len(bins)), 0, np.ascontiguousarray(bins.T), np.arange(len(bins))
+    for stage in stages:
+        for tree in trees[done:stage]:
+            total = total + np.asarray(tree.value)[_reached(lines, tree, every)]
+        done = stage
+        yield total
+
+
 # The distributed forms.
 
 _BLOCK = "keys binary, bins binary, y binary, margin binary"

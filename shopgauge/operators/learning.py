@@ -8,6 +8,7 @@ import random
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -98,8 +99,11 @@ class ChurnModel:
 IN_TASK, TOGETHER, LEAST_SHARE = 200_000, 0, 25_000
 #: Bytes of all tasks' sums of a level, up to which they are exchanged.
 MOST_EXCHANGED = 1 << 28
-#: Persons that tuning looks at, those with the smallest hash of their id.
-SAMPLE = 50_000
+#: Persons of a fit of the search inside one task, which holds some 150 bytes of each while it works. The fits of more are made
+#: by all tasks in passes, one fit after the other.
+SEARCH_IN_TASK = 4_000_000
+#: Persons that tuning looks at: all, unless a caller gives a number.
+SAMPLE: int | None = None
 
 
 def _narrow(rows: DataFrame, names: Sequence[str], *others: Column) -> DataFrame:
@@ -171,9 +175,9 @@ def sample_params(count: int, space: dict[str, tuple[float, float, str]] | None
     return points
 
 
-def sampled(rows: DataFrame, most: int, seed: int = SEED) -> DataFrame:
-    """At most ``most`` persons, those with the smallest hashes of their ids; all, if they are no more."""
-    return rows.orderBy(F.xxhash64(PERSON, F.lit(seed)), PERSON).limit(most)
+def sampled(rows: DataFrame, most: int | None, seed: int = SEED) -> DataFrame:
+    """All persons, or the ``most`` with the smallest hashes of their ids if a caller asks for so many only."""
+    return rows if most is None else rows.orderBy(F.xxhash64(PERSON, F.lit(seed)), PERSON).limit(most)
 
 
 def _auc(margin: np.ndarray, y: np.ndarray) -> float:
@@ -193,7 +197,7 @@ def _point_key(point: dict) -> str:
     return json.dumps(point, sort_keys=True)
 
 
-def study_key(rows: DataFrame, folds: int, seed: int, most: int) -> str:
+def study_key(rows: DataFrame, folds: int, seed: int, most: int | None) -> str:
     """Name of a search by what its values depend on: the rows, whatever their order, and how they are cut and sampled."""
     content = rows.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")).alias("digest")
@@ -227,14 +231,15 @@ def _fits(points: list[dict], folds: int, done: dict) -> list[tuple[dict, int, d
 
 def tune(
     train_rows: DataFrame, count: int = TRIALS, space: dict | None = None, folds: int = FOLDS, seed: int = SEED,
-    ledger: str | None = None, most: int = SAMPLE, wave: int | None = None,
+    ledger: str | None = None, most: int | None = SAMPLE, wave: int | None = None, in_task: int = SEARCH_IN_TASK,
 ) -> tuple[list[dict], dict]:
     """Mean cross-validated ROC-AUC of random parameter points; returns the trials and the best point.
 
-    All points share the stratified folds of at most ``most`` persons, which go to the executors once; a task is one fit
-    and gives the values of all points that differ in the number of trees only. The values of each ``wave`` of fits (four
-    for each core, unless given) are appended to the ``ledger``, and a later call over the same rows makes those fits only
-    that are not found there.
+    All points share the stratified folds of all persons (of ``most``, if given), which are written once as bins. A task
+    reads them for one fit and gives the values of all points that differ in the number of trees only; over more than
+    ``in_task`` persons all tasks make a fit together. The values of each ``wave`` of fits (four for each core, or one that
+    all make together, unless given) are appended to the ``ledger``, and a later call over the same rows makes those fits
+    only that are not found there.
     """
     spark = train_rows.sparkSession
     points = sample_params(count, space, seed)
@@ -244,16 +249,12 @@ def tune(
     done = _finished(spark, ledger, study)
     waiting = _fits(points, folds, done)
     if waiting:
-        folded = stratified_folds(sampled(train_rows, most, seed), folds, seed)
-        rows = _narrow(folded, names, F.col("fold")).toPandas()
-        parts = tuple(rows[c].to_numpy() for c in ("_key", "_y", "fold"))
-        data = spark.sparkContext.broadcast((*parts, rows[names].to_numpy(float)))
-        wave = wave or 4 * spark.sparkContext.defaultParallelism
+        data = _folded(stratified_folds(sampled(train_rows, most, seed), folds, seed), names, folds, in_task)
+        wave = wave or (4 * spark.sparkContext.defaultParallelism if data.blocks else 1)
         for at in range(0, len(waiting), wave):
             values = _cross_validated(spark, data, waiting[at : at + wave], study, seed)
             values.coalesce(1).write.mode("append").parquet(ledger)
         done = _finished(spark, ledger, study)
-        data.unpersist()
     trials = [
         {
             "number": i, "value": round(sum(done[_point_key(point), fold] for fold in range(folds)) / folds, 6),
@@ -265,21 +266,97 @@ def tune(
     return trials, best["params"]
 
 
-def _cross_validated(spark: SparkSession, data, fits: list[tuple[dict, int, dict[int, str]]], study: str, seed: int) -> DataFrame:
-    """One task for each fit; a row for each point and fold. Written, so that a fit is made once."""
-    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, y, fold, x = data.value
+@dataclass
+class _Folded:
+    """Written persons with their folds; and, for fits inside tasks, the cuts of the persons outside of each fold, and blocks of
+    keys, labels, folds and bins by each fold's cuts."""
+
+    rows: DataFrame
+    names: list[str]
+    cuts: list[list[np.ndarray]] = field(default_factory=list)
+    blocks: DataFrame | None = None
+
+
+def _folded(folded: DataFrame, names: list[str], folds: int, in_task: int) -> _Folded:
+    rows = materialize(folded.select(PERSON, LABEL, "fold", *names), "folds")
+    count = rows.count()
+    if count > in_task:
+        return _Folded(rows, names)
+    narrow = _narrow(rows, names, F.col("fold"))
+    cuts = _fold_cuts(narrow, names, folds, count)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for number in batch["id"]:
-                rest, held_out, stages = fits[number]
-                fitted, test = fold != held_out, fold == held_out
-                trees = boosting.grow(keys[fitted], x[fitted], y[fitted], Settings.of({**rest, "n_estimators": max(stages)}, seed))
-                wanted = sorted(stages)
-                aucs = [_auc(margin, y[test]) for margin in boosting.staged_margins(trees, x[test], wanted)]
-                yield pd.DataFrame({"study": study, "point": [stages[n] for n in wanted], "fold": held_out, "value": aucs})
-
-    jobs = spark.range(0, len(fits), 1, len(fits))
-    return materialize(jobs.mapInPandas(values, LEDGER_SCHEMA), "trial-values")
+            values = batch[names].to_numpy(float)
+            kinds = (("_key", np.int64), ("_y", np.int8), ("fold", np.int32))
+            block = {name: [batch[name].to_numpy(kind).tobytes()] for name, kind in kinds}
+            yield pd.DataFrame({**block, **{f"bins{k}": [boosting.bins_of(values, c).tobytes()] for k, c in enumerate(cuts)}})
+
+    schema = ", ".join(f"{name} binary" for name in ("_key", "_y", "fold", *(f"bins{k}" for k in range(folds))))
+    return _Folded(rows, names, cuts, materialize(narrow.mapInPandas(pack, schema), "fold-blocks"))
+
+
+def _fold_cuts(narrow: DataFrame, names: list[str], folds: int, count: int) -> list[list[np.ndarray]]:
+    """The cuts of the persons outside of each fold."""
+    if count > IN_TASK:
+        return [boosting.cuts_in(narrow.where(F.col("fold") != fold), names) for fold in range(folds)]
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in [pd.concat(held)] if (held := list(batches)) else []:
+            values, at = whole[names].to_numpy(float), whole["fold"].to_numpy()
+            cuts = [(fold, f, c) for fold in range(folds) for f, c in enumerate(boosting.cuts_of(values[at != fold]))]
+            yield pd.DataFrame(cuts, columns=["fold", "f", "cuts"])
+
+    rows = narrow.coalesce(1).mapInPandas(found, "fold int, f int, cuts array<double>").collect()
+    made = {(r.fold, r.f): np.array(r.cuts) for r in rows}
+    return [[made.get((fold, f), np.zeros(0)) for f in range(len(names))] for fold in range(folds)]
+
+
+def _cross_validated(spark: SparkSession, data: _Folded, fits: list[tuple[dict, int, dict[int, str]]], study: str, seed: int) -> DataFrame:
+    """A row for each point and fold, by one task for each fit. Written, so that a fit is made once."""
+    if data.blocks is None:
+        return _cross_validated_in_passes(spark, data, fits, study, seed)
+
+    def values(fit: tuple[dict, int, dict[int, str]]) -> DataFrame:
+        (rest, held_out, stages), cuts = fit, data.cuts[fit[1]]
+
+        def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [block for batch in batches for block in batch.itertuples(index=False, name=None)]
+
+            def column(at: int, kind: type) -> np.ndarray:
+                return np.concatenate([np.zeros(0, kind), *(np.frombuffer(block[at], kind) for block in held)])
+
+            keys, y, fold, bins = column(0, np.int64), column(1, np.int8), column(2, np.int32), column(3, np.uint8)
+            del held
+            bins, fitted, test = bins.reshape(len(y), len(cuts)), fold != held_out, fold == held_out
+            settings = Settings.of({**rest, "n_estimators": max(stages)}, seed)
+            trees, wanted = boosting.grow_binned(keys[fitted], bins[fitted], y[fitted], cuts, settings), sorted(stages)
+            aucs = [_auc(margin, y[test]) for margin in boosting.staged_binned(trees, bins[test], wanted)]
+            yield pd.DataFrame({"study": study, "point": [stages[n] for n in wanted], "fold": held_out, "value": aucs})
+
+        return data.blocks.select("_key", "_y", "fold", f"bins{held_out}").coalesce(1).mapInPandas(made, LEDGER_SCHEMA)
+
+    # Spark would take frames of one part each for one part together, and make all fits in one task.
+    setting = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(setting, "true")
+    spark.conf.set(setting, "false")
+    try:
+        return materialize(reduce(DataFrame.union, map(values, fits)), "trial-values")
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _cross_validated_in_passes(spark: SparkSession, data: _Folded, fits: list[tuple[dict, int, dict[int, str]]], study: str, seed: int) -> DataFrame:
+    """The same values of fits over more persons than a task holds."""
+    found = []
+    for rest, held_out, stages in fits:
+        model = fit(data.rows.where(F.col("fold") != held_out), {**rest, "n_estimators": max(stages)}, seed)
+        for count, point in stages.items():
+            margin = ChurnModel(model.trees[:count], model.feature_names).margin()
+            scored = materialize(data.rows.where(F.col("fold") == held_out).select(LABEL, margin.alias("margin")), "scored")
+            value = roc_auc(scored, LABEL, "margin").first().roc_auc
+            found.append((study, point, held_out, float("nan") if value is None else float(value)))
+    return spark.createDataFrame(found, LEDGER_SCHEMA)
 
 
 def trials_frame(spark: SparkSession, trials: list[dict]) -> DataFrame:

@@ -293,6 +293,33 @@ def test_tuned_values_are_those_of_single_fits(features, monkeypatch):
     assert value == pytest.approx(sum(aucs) / len(aucs), abs=1e-6)
 
 
+def test_the_search_looks_at_all_persons(spark, monkeypatch):
+    """More persons than the search once took."""
+    number = F.col("id").cast("int")
+    people = spark.range(52_001).select(F.col("id").cast("string").alias(PERSON), (number % 3 % 2).alias(LABEL), *[F.xxhash64("id", F.lit(n)).cast("double").alias(n) for n in FEATURES])
+    monkeypatch.setattr(learning, "sample_params", lambda *_: [{"n_estimators": 1, "max_depth": 1}])
+    seen, folds = [], learning.stratified_folds
+    monkeypatch.setattr(learning, "stratified_folds", lambda rows, *others: (seen.append(rows.count()), folds(rows, *others))[1])
+    learning.tune(people, 1)
+    assert seen == [52_001]
+
+
+def test_fits_inside_tasks_and_in_passes_are_worth_the_same(features, monkeypatch):
+    monkeypatch.setattr(learning, "sample_params", lambda *_: [{**SAMPLED, "n_estimators": n} for n in (2, 5)])
+    inside = learning.tune(features, 2)[0]
+    monkeypatch.setattr(learning, "IN_TASK", 0)  # cuts by all tasks
+    assert learning.tune(features, 2)[0] == inside
+    passes = learning.tune(features, 2, in_task=0)[0]
+    assert [t["value"] for t in passes] == pytest.approx([t["value"] for t in inside], abs=2e-6)
+
+
+def test_each_fit_of_the_search_has_a_task(spark, features):
+    data = learning._folded(learning.stratified_folds(features), FEATURES, 3, learning.SEARCH_IN_TASK)
+    fits = learning._fits([{"n_estimators": 1, "max_depth": depth} for depth in (1, 2)], 3, {})
+    values = learning._cross_validated(spark, data, fits, "s", 1)
+    assert len(values.inputFiles()) == len(fits) == values.count()
+
+
 def test_queries_of_a_kept_model_read_the_persons_anew(spark, tmp_path):
     import shutil
 
