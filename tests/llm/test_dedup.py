@@ -212,6 +212,18 @@ def test_probes_are_never_broadcast(spark, tmp_path):
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_stage_of_the_pipeline_broadcasts_no_probes(frame, monkeypatch):
+    plans, materialize = {}, simhash_mih.materialize
+
+    def seen(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(simhash_mih, "materialize", seen)
+    assert simhash_mih.one_per_group(frame).count() > 0
+    assert "SortMergeJoin" in plans["links"] and "Broadcast" not in plans["links"]
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in simhash_mih.components(chain).collect()}
